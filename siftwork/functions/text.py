@@ -70,3 +70,15 @@ def lines(c: Column | str) -> Column:
 def md5_prefix(c: Column, n: int = 12) -> Column:
     """First ``n`` hex characters of the MD5 of a string (stable ids)."""
     return F.substring(F.md5(c), 1, n)
+
+
+def fence(df):
+    """Projection fence: re-emits each row through a one-element generator.
+
+    Catalyst pushes filters below projections by inlining the projected
+    expressions, so a filter on a column derived from an expensive per-row
+    expression (HTML extraction) would evaluate that expression again inside
+    the filter.  Generator outputs cannot be inlined, so filters stop here and
+    the expensive projection runs exactly once per row.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))

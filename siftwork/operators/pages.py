@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fence
 from ..functions.html import main_region_html, region_text, strip_dropped, title_text
 
 
@@ -23,4 +24,4 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     body = F.regexp_extract(F.col("_stripped"), r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
     fallback = F.when(F.col("_stripped").rlike(r"(?i)<body\b"), region_text(body)).otherwise(region_text(F.col("_stripped")))
     content = F.when(F.coalesce(F.col("_main_txt"), F.lit("")) != "", F.col("_main_txt")).otherwise(fallback)
-    return staged.select(*keep, "title", content.alias("content"))
+    return fence(staged.select(*keep, "title", content.alias("content")))
