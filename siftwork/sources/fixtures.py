@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import fence
 from .tables import register_tables
 
 # name -> (sql, [views/tables it reads])
@@ -150,6 +151,26 @@ SELECT page_id, CASE page_id % 9
 FROM pages
 """)
 
+# Repository URLs requested for analysis: every repository of the tree table,
+# plus repository-style page URLs that have no tree (failed runs).
+_fx("fx_repo_urls", ["fx_paths", "fx_page_urls"], """
+SELECT concat('https://github.com/', owner, '/', repo) AS url, min(pos) AS pos FROM fx_paths GROUP BY owner, repo
+UNION ALL
+SELECT url, 1000000000 + page_id AS pos FROM fx_page_urls WHERE page_id % 9 IN (2, 8)
+""")
+
+# Raw files on several branches: fx_code_files plus alternative copies so the
+# main -> master fallback has something to choose from.
+_fx("fx_branch_files", ["fx_code_files"], """
+SELECT owner, repo, path, branch, content FROM fx_code_files
+UNION ALL
+SELECT owner, repo, path, 'master' AS branch, concat('// older copy', chr(10), content) AS content
+FROM fx_code_files WHERE branch = 'main' AND length(path) % 3 = 0
+UNION ALL
+SELECT owner, repo, path, 'develop' AS branch, 'develop copy' AS content
+FROM fx_code_files WHERE length(path) % 2 = 0
+""")
+
 
 def _closure(names) -> list[str]:
     """Fixture names plus their fixture dependencies, dependencies first."""
@@ -174,7 +195,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     register_tables(spark, sf_dir, base)
     df = None
     for n in order:
-        df = spark.sql(FIXTURE_SQL[n][0])
+        # fenced: a derived view behaves like a stored table, so predicates on
+        # its computed columns are not re-expanded into every downstream filter
+        df = fence(spark.sql(FIXTURE_SQL[n][0]))
         df.createOrReplaceTempView(n)
     return df
 
