@@ -83,7 +83,8 @@ def analyse_paths(paths: DataFrame, contents: DataFrame, max_files: int = MAX_FI
     A source blob is accepted only if its content exists, is non-empty and has
     at least 90 code words after cleaning.
     """
-    info = path_info(paths.where(~is_unwanted("path")))
+    # S-3: a tree entry without a size counts as size 0
+    info = path_info(paths.where(~is_unwanted("path")).withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long")))
     src = F.col("is_source") & (F.col("type") == "blob")
     others = info.where(~src).withColumns({"content": F.lit(None).cast("string"), "code_words": F.lit(None).cast("int")})
     files = resolve_branch(contents).select(*FILE_KEY, F.col("content").alias("_raw"))
@@ -94,7 +95,10 @@ def analyse_paths(paths: DataFrame, contents: DataFrame, max_files: int = MAX_FI
     sources = sources.where(F.col("code_words") >= MIN_SOURCE_WORDS)
     accepted = others.unionByName(sources)
     w = Window.partitionBy(*KEY).orderBy("pos")
-    return accepted.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_files).drop("_rn")
+    limited = accepted.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_files).drop("_rn")
+    # fenced: downstream plans reuse this result several times; without the
+    # fence the optimizer re-derives constraints over the whole cleaning chain
+    return fence(limited)
 
 
 def code_records(analysed: DataFrame) -> DataFrame:
@@ -222,7 +226,7 @@ def repo_runs(urls: DataFrame, paths: DataFrame, contents: DataFrame,
            .join(metrics, KEY, "left"))
     res = res.withColumn("files_limit_reached",
                          F.when(F.col("error").isNull(), F.col("total_files_analyzed") >= max_files))
-    return res, analysed
+    return fence(res), analysed
 
 
 def run_summary(results: DataFrame) -> DataFrame:

@@ -188,8 +188,22 @@ def _closure(names) -> list[str]:
     return out
 
 
+_CACHE: dict[tuple, DataFrame] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived view ``name`` as a DataFrame over the tables in ``sf_dir``."""
+    """The derived view ``name`` as a DataFrame over the tables in ``sf_dir``.
+
+    The DataFrame (a lazy plan, no data) is memoised per session and folder so
+    that a query reading a view twice shares one plan fragment.
+    """
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _CACHE:
+        _CACHE[key] = _build_fixture(spark, sf_dir, name)
+    return _CACHE[key]
+
+
+def _build_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     order = _closure([name])
     base = sorted({d for n in order for d in FIXTURE_SQL[n][1] if d not in FIXTURE_SQL})
     register_tables(spark, sf_dir, base)
