@@ -59,7 +59,7 @@ def _parts(path: Column) -> Column:
 
 
 def file_name(path: Column | str) -> Column:
-    return F.coalesce(F.element_at(_parts(col_(path)), -1), F.lit(""))
+    return F.coalesce(F.try_element_at(_parts(col_(path)), F.lit(-1)), F.lit(""))
 
 
 def path_depth(path: Column | str) -> Column:
@@ -103,15 +103,17 @@ def is_docs(path: Column | str) -> Column:
     return _any_match(lp, [p.replace("$", r"\n?\z") for p in DOCS_PATTERNS])
 
 
+def _literal_alternation(words) -> str:
+    import re
+    return "|".join(re.escape(w) for w in words)
+
+
 def is_unwanted(path: Column | str) -> Column:
+    """F-5: any unwanted directory pattern in the lower path, or any unwanted
+    name pattern in the lower file name (one regex scan each)."""
     lp = F.lower(col_(path))
     name = F.lower(file_name(path))
-    cond = F.lit(False)
-    for p in UNWANTED_DIR_PATTERNS:
-        cond = cond | lp.contains(p)
-    for p in UNWANTED_NAME_PATTERNS:
-        cond = cond | name.contains(p)
-    return cond
+    return lp.rlike(_literal_alternation(UNWANTED_DIR_PATTERNS)) | name.rlike(_literal_alternation(UNWANTED_NAME_PATTERNS))
 
 
 def repo_url_parts(url: Column | str) -> tuple[Column, Column, Column]:
