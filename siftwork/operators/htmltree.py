@@ -1,0 +1,35 @@
+"""U-2: HTML extraction with a real tree parser, in Arrow batches.
+
+Use where the regex chain is not exact (nested same-name elements, class or
+id selectors, numeric entities).  Spark partitions the pages; each Python
+worker parses its batch with the stdlib parser.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..functions.htmltree import extract
+
+
+def extract_with_parser(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id",),
+                        partitions: int | None = None) -> DataFrame:
+    src = pages.select(*keys, html)
+    if partitions:
+        src = src.repartition(partitions)
+    fields = [f for f in src.schema.fields if f.name in keys]
+    schema = StructType(fields + [StructField("title", StringType()), StructField("content", StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pairs = [extract(h) if isinstance(h, str) else ("", "") for h in pdf[html]]
+            res = pdf[list(keys)].copy()
+            res["title"] = [p[0] for p in pairs]
+            res["content"] = [p[1] for p in pairs]
+            yield res
+
+    return src.mapInPandas(run, schema)
