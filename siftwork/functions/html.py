@@ -84,17 +84,20 @@ def title_text(html: Column | str) -> Column:
 
 
 def clean_text_formatting(text: Column) -> Column:
-    """P-14: whitespace, punctuation spacing, adjacent repeated-word removal."""
+    """P-14: whitespace, punctuation spacing, adjacent repeated-word removal.
+
+    After the first pass every blank run is a single U+0020, so the later
+    passes match a plain space instead of the Unicode blank class.
+    """
     t = collapse_ws(text)
-    t = F.regexp_replace(t, rf"{WS}*([.!?]){WS}*", "$1 ")
-    t = F.regexp_replace(t, rf"{WS}*([,;:]){WS}*", "$1 ")
-    t = F.regexp_replace(t, rf"{WS}*\|{WS}*", " | ")
-    t = F.regexp_replace(t, rf"{WS}*>{WS}*", " > ")
-    words = F.split(py_strip(t), f"{WS}+")
-    prev = F.concat(F.array(F.lit("")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
-    # keep a word unless it repeats its predecessor (case-insensitively) and is longer than 3
-    kept = F.zip_with(words, prev, lambda w, p: F.when((F.length(w) <= 3) | (F.lower(w) != F.lower(p)), w))
-    return py_strip(collapse_ws(F.array_join(kept, " ")))
+    t = F.regexp_replace(t, r" *([.!?]) *", "$1 ")
+    t = F.regexp_replace(t, r" *([,;:]) *", "$1 ")
+    t = F.regexp_replace(t, r" *\| *", " | ")
+    t = F.regexp_replace(t, r" *> *", " > ")
+    # drop a word longer than 3 that repeats its predecessor case-insensitively:
+    # a token followed by one or more space-separated copies of itself -> the token
+    t = F.regexp_replace(t, r"(?iu)(?<![^ ])([^ ]{4,})(?: +\1(?![^ ]))+", "$1")
+    return F.trim(F.regexp_replace(t, " +", " "))
 
 
 def _clean_code(block_html: Column) -> Column:
