@@ -21,9 +21,42 @@ def _clamp(score: Column, lo: float = 0.0, hi: float = 10.0) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), score))
 
 
+def web_quality_inputs(content: Column | str, title: Column | str, prefix: str = "_q") -> dict[str, Column]:
+    """Per-row counters the quality score needs; stage them as columns (one
+    regex scan each) and combine with :func:`web_quality_from`."""
+    content = F.coalesce(col_(content), F.lit(""))
+    title = col_(title)
+    lower = F.lower(content)
+    return {
+        f"{prefix}wc": word_count(content),
+        f"{prefix}sw": word_count(F.replace(content, F.lit("."), F.lit(" "))),
+        f"{prefix}dots": count_substr(content, "."),
+        f"{prefix}bangs": count_substr(content, "!"),
+        f"{prefix}title": title.isNotNull() & (F.length(title) > 10),
+        f"{prefix}code": content.contains("```") | content.contains("<code>") | lower.contains("function"),
+        f"{prefix}kw": count_contains(lower, WEB_TECH_KEYWORDS),
+    }
+
+
+def web_quality_from(prefix: str = "_q", min_words: int = WEB_MIN_WORDS, max_words: int = WEB_MAX_WORDS) -> Column:
+    """P-18 from staged counters (see :func:`web_quality_inputs`)."""
+    c = lambda n: F.col(f"{prefix}{n}")
+    wc = c("wc")
+    score = F.lit(5.0)
+    score = score + F.when(wc.between(min_words, max_words), F.lit(1.0)).when(wc < min_words, F.lit(-2.0)).otherwise(F.lit(0.0))
+    score = score + F.when(c("title"), F.lit(0.5)).otherwise(F.lit(0.0))
+    score = score + F.when(c("code"), F.lit(1.0)).otherwise(F.lit(0.0))
+    score = score + F.least(c("kw") * F.lit(0.3), F.lit(1.5))
+    # sentences = content.split('.'): n = count('.') + 1, words summed over pieces.
+    avg_sentence = c("sw") / (c("dots") + 1)
+    score = score + F.when((avg_sentence >= 10) & (avg_sentence <= 25), F.lit(0.5)).otherwise(F.lit(0.0))
+    score = score + F.when(c("bangs") > wc * F.lit(0.05), F.lit(-1.0)).otherwise(F.lit(0.0))
+    return _clamp(score)
+
+
 def web_quality_score(content: Column | str, title: Column | str,
                       min_words: int = WEB_MIN_WORDS, max_words: int = WEB_MAX_WORDS) -> Column:
-    """Quality 0-10 of a page text (P-18)."""
+    """Quality 0-10 of a page text (P-18) as one expression (small inputs)."""
     content = F.coalesce(col_(content), F.lit(""))
     title = col_(title)
     lower = F.lower(content)
@@ -34,7 +67,6 @@ def web_quality_score(content: Column | str, title: Column | str,
     has_code = content.contains("```") | content.contains("<code>") | lower.contains("function")
     score = score + F.when(has_code, F.lit(1.0)).otherwise(F.lit(0.0))
     score = score + F.least(count_contains(lower, WEB_TECH_KEYWORDS) * F.lit(0.3), F.lit(1.5))
-    # sentences = content.split('.'): n = count('.') + 1, words summed over pieces.
     avg_sentence = word_count(F.replace(content, F.lit("."), F.lit(" "))) / (count_substr(content, ".") + 1)
     score = score + F.when((avg_sentence >= 10) & (avg_sentence <= 25), F.lit(0.5)).otherwise(F.lit(0.0))
     score = score + F.when(count_substr(content, "!") > wc * F.lit(0.05), F.lit(-1.0)).otherwise(F.lit(0.0))
@@ -62,11 +94,27 @@ def with_repeated_terms(df: DataFrame, content: str, out: str = "repeated_terms"
     return staged.withColumn(out, F.size(third)).drop(tmp)
 
 
+def web_coherence_inputs(content: Column | str, prefix: str = "_c") -> dict[str, Column]:
+    content = F.coalesce(col_(content), F.lit(""))
+    return {
+        # >= 2 non-blank '\n\n' paragraphs <=> the stripped text still holds a blank line
+        f"{prefix}para": py_strip(content).contains("\n\n"),
+        f"{prefix}dots": count_substr(content, "."),
+    }
+
+
+def web_coherence_from(repeated_terms: Column | str, prefix: str = "_c") -> Column:
+    score = F.lit(5.0)
+    score = score + F.when(F.col(f"{prefix}para"), F.lit(1.0)).otherwise(F.lit(0.0))
+    rep = F.least(col_(repeated_terms) * F.lit(0.2), F.lit(1.0))
+    score = score + F.when(F.col(f"{prefix}dots") >= 3, rep).otherwise(F.lit(0.0))
+    return _clamp(score)
+
+
 def web_coherence_score(content: Column | str, repeated_terms: Column | str) -> Column:
     """Coherence 0-10 (P-19) given the A-15 count for the same content."""
     content = F.coalesce(col_(content), F.lit(""))
     score = F.lit(5.0)
-    # >= 2 non-blank '\n\n' paragraphs <=> the stripped text still holds a blank line
     score = score + F.when(py_strip(content).contains("\n\n"), F.lit(1.0)).otherwise(F.lit(0.0))
     rep = F.least(col_(repeated_terms) * F.lit(0.2), F.lit(1.0))
     score = score + F.when(count_substr(content, ".") >= 3, rep).otherwise(F.lit(0.0))

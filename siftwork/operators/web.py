@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_substr, md5_prefix, word_count
-from ..functions.webscore import web_coherence_score, web_quality_score, with_repeated_terms
+from ..functions.text import count_substr, fence, md5_prefix, word_count
+from ..functions.webscore import (
+    web_coherence_from, web_coherence_inputs, web_quality_from, web_quality_inputs, with_repeated_terms,
+)
 
 # Fixed values that must equal the reference defaults.
 MIN_PAGE_WORDS = 50
@@ -29,14 +31,36 @@ def word_stats(df: DataFrame, content: str = "content") -> DataFrame:
     })
 
 
-def score_pages(df: DataFrame, content: str = "content", title: str = "title") -> DataFrame:
-    """Adds word_count, quality_score, repeated_terms and coherence_score."""
-    scored = with_repeated_terms(df, content)
-    return scored.withColumns({
-        "word_count": word_count(F.col(content)),
-        "quality_score": web_quality_score(F.col(content), F.col(title)),
-        "coherence_score": web_coherence_score(F.col(content), F.col("repeated_terms")),
-    })
+def score_pages(df: DataFrame, content: str = "content", title: str = "title",
+                quality: bool = True, coherence: bool = True) -> DataFrame:
+    """Adds word_count plus quality_score and/or coherence_score (with
+    repeated_terms).
+
+    The per-row counters (regex scans of the whole text) are computed once in
+    one projection behind a fence; the scores are arithmetic on them, so a
+    later filter on a score does not re-scan the text.  A fence also stops
+    column pruning, so only the requested scores are staged.
+    """
+    staged = with_repeated_terms(df, content) if coherence else df
+    inputs = {**web_quality_inputs(F.col(content), F.col(title))} if quality else {"_qwc": word_count(F.col(content))}
+    if coherence:
+        inputs.update(web_coherence_inputs(F.col(content)))
+    staged = fence(staged.withColumns(inputs))
+    outs = {"word_count": F.col("_qwc")}
+    if quality:
+        outs["quality_score"] = web_quality_from()
+    if coherence:
+        outs["coherence_score"] = web_coherence_from(F.col("repeated_terms"))
+    out = staged.withColumns(outs)
+    return out.drop(*[c for c in staged.columns if c.startswith("_q") or c.startswith("_c")])
+
+
+def add_coherence(df: DataFrame, content: str = "content") -> DataFrame:
+    """repeated_terms + coherence_score for rows that are already filtered
+    (coherence never decides a filter, so it is computed for survivors only)."""
+    staged = with_repeated_terms(df, content).withColumns(web_coherence_inputs(F.col(content)))
+    out = staged.withColumn("coherence_score", web_coherence_from(F.col("repeated_terms")))
+    return out.drop(*[c for c in staged.columns if c.startswith("_c")])
 
 
 def keep_quality_pages(scored: DataFrame, min_words: int = MIN_PAGE_WORDS, min_quality: float = MIN_QUALITY) -> DataFrame:

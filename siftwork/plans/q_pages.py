@@ -126,9 +126,11 @@ def _source_type_sql(u: str) -> str:
 # ----------------------------------------------------------------- spark side
 
 def scored_pages(spark, sf_dir, src="pages"):
+    """Extracted, quality-scored pages that pass F-1 / F-3, then coherence."""
     pages = read_table(spark, sf_dir, "pages") if src == "pages" else fixture(spark, sf_dir, src)
     x = extract_pages(pages.select("page_id", "url", "html"))
-    return web.score_pages(x).withColumn("source_type", web.source_type("url"))
+    kept = web.keep_quality_pages(web.score_pages(x, coherence=False))
+    return web.add_coherence(kept).withColumn("source_type", web.source_type("url"))
 
 
 @register("page_title_main", oracle([], "WITH " + extraction_ctes("pages") + """
@@ -168,9 +170,7 @@ FROM sc WHERE word_count >= 50 AND quality >= 6.0"""
 
 
 def _records(spark, sf_dir):
-    kept = web.keep_quality_pages(scored_pages(spark, sf_dir))
-    rec = web.retrieval_records(kept)
-    return rec
+    return web.retrieval_records(scored_pages(spark, sf_dir))
 
 
 @register("retrieval_records", oracle([], _RECORD_SQL))
@@ -199,8 +199,7 @@ FROM sc WHERE word_count >= 50 AND quality >= 6.0
 ORDER BY quality DESC, url LIMIT 50"""))
 def web_corpus_topk(spark, sf_dir):
     """Flagship: pages -> extract -> clean -> score -> filter -> top 50 records."""
-    kept = web.keep_quality_pages(scored_pages(spark, sf_dir))
-    top = web.rank_pages(kept, "url", k=web.MAX_PAGES)
+    top = web.rank_pages(scored_pages(spark, sf_dir), "url", k=web.MAX_PAGES)
     return web.retrieval_records(top).select(
         "id", "url", "title", F.col("metadata.source_type").alias("source_type"),
         F.round("metadata.quality_score", 6).alias("quality_score"),

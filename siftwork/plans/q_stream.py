@@ -57,8 +57,8 @@ def stream_web_corpus(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     ST.stage_files(pages, f"{run}/src", files=4, key="page_id")
     s = ST.read_files(spark, f"{run}/src", pages.schema)
-    scored = web.score_pages(extract_pages(s)).withColumn("source_type", web.source_type("url"))
-    rec = web.retrieval_records(web.keep_quality_pages(scored))
+    kept = web.keep_quality_pages(web.score_pages(extract_pages(s), coherence=False))
+    rec = web.retrieval_records(web.add_coherence(kept).withColumn("source_type", web.source_type("url")))
     flat = rec.select("id", "url", "title", F.col("metadata.source_type").alias("source_type"),
                       F.round("metadata.quality_score", 6).alias("quality_score"),
                       F.round("metadata.coherence_score", 6).alias("coherence_score"),

@@ -47,8 +47,9 @@ c AS (
 """
 
 
-def scored_docs(spark, sf_dir):
-    return web.score_pages(fixture(spark, sf_dir, "fx_web_docs"), content="content", title="title")
+def scored_docs(spark, sf_dir, quality=True, coherence=True):
+    return web.score_pages(fixture(spark, sf_dir, "fx_web_docs"), content="content", title="title",
+                           quality=quality, coherence=coherence)
 
 
 @register("web_word_stats", oracle([], f"""
@@ -66,14 +67,14 @@ def web_word_stats(spark, sf_dir):
 @register("web_quality", oracle(["fx_web_docs"], "WITH " + _QUALITY_SQL + """
 SELECT doc_id, CAST(wc AS INTEGER) AS word_count, round(quality, 6) AS quality_score FROM q"""))
 def web_quality(spark, sf_dir):
-    return scored_docs(spark, sf_dir).select(
+    return scored_docs(spark, sf_dir, coherence=False).select(
         "doc_id", "word_count", F.round("quality_score", 6).alias("quality_score"))
 
 
 @register("web_coherence", oracle(["fx_web_docs"], "WITH " + _COHERENCE_SQL + """
 SELECT doc_id, CAST(repeated_terms AS INTEGER) AS repeated_terms, round(coherence, 6) AS coherence_score FROM c"""))
 def web_coherence(spark, sf_dir):
-    return scored_docs(spark, sf_dir).select(
+    return scored_docs(spark, sf_dir, quality=False).select(
         "doc_id", "repeated_terms", F.round("coherence_score", 6).alias("coherence_score"))
 
 
@@ -85,7 +86,7 @@ WHERE q.wc >= 50 AND q.quality >= 6.0
 ORDER BY q.quality DESC, q.doc_id
 LIMIT 50"""))
 def web_filter_topk(spark, sf_dir):
-    kept = web.keep_quality_pages(scored_docs(spark, sf_dir))
+    kept = web.add_coherence(web.keep_quality_pages(scored_docs(spark, sf_dir, coherence=False)))
     return web.rank_pages(kept, "doc_id", k=web.MAX_PAGES).select(
         "doc_id", "word_count", F.round("quality_score", 6).alias("quality_score"),
         F.round("coherence_score", 6).alias("coherence_score"))
