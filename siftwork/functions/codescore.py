@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import WS, col_, count_contains, count_substr, word_count
-from .webscore import web_coherence_score, web_quality_score
+from .webscore import web_coherence_score, web_quality_from, web_quality_inputs
 
 # Fixed values that must equal the reference rules.
 BANNER_START = "/*" + "-" * 93
@@ -58,11 +58,11 @@ def clean_code(c: Column | str) -> Column:
     return F.when(c.isNull() | (c == ""), c).otherwise(kept)
 
 
-def code_quality_score(content: Column | str, path: Column | str) -> Column:
-    """P-20 on cleaned content."""
+def code_quality_score(content: Column | str, path: Column | str, words: Column | str | None = None) -> Column:
+    """P-20 on cleaned content; ``words`` = its code word count if already staged."""
     content = F.coalesce(col_(content), F.lit(""))
     lower = F.lower(content)
-    wc = code_word_count(content)
+    wc = col_(words) if words is not None else code_word_count(content)
     p = col_(path)
     ext = F.when(p.contains("."), F.lower(F.substring_index(p, ".", -1))).otherwise(F.lit(""))
     score = F.lit(5.0)
@@ -91,37 +91,58 @@ def code_coherence_score(content: Column | str) -> Column:
     return F.least(F.lit(10.0), F.greatest(F.lit(0.0), score))
 
 
-def complexity_score(content: Column | str, ext: Column | str) -> Column:
-    """P-23: weighted structure counts per non-blank line, capped at 10."""
+def complexity_inputs(content: Column | str, prefix: str = "_x") -> dict[str, Column]:
+    """P-23 counters: non-blank lines, functions, classes, control keywords."""
     content = F.coalesce(col_(content), F.lit(""))
-    non_blank = F.regexp_count(content, F.lit(rf"{_BOL}[^\n]*?{_NONWS}[^\n]*"))
-    funcs = F.regexp_count(content, F.lit(r"(?dU)function[\s\x1c-\x1f]+\w+|const[\s\x1c-\x1f]+\w+[\s\x1c-\x1f]*=.*=>"))
-    classes = F.regexp_count(content, F.lit(r"(?dU)class[\s\x1c-\x1f]+\w+"))
-    controls = F.regexp_count(content, F.lit(r"(?U)\b(?:if|for|while|switch|try)\b"))
-    cx = (funcs * F.lit(0.5) + classes * F.lit(1.0) + controls * F.lit(0.3)) / non_blank * F.lit(100.0)
+    return {
+        f"{prefix}lines": F.regexp_count(content, F.lit(rf"{_BOL}[^\n]*?{_NONWS}[^\n]*")),
+        f"{prefix}funcs": F.regexp_count(content, F.lit(r"(?dU)function[\s\x1c-\x1f]+\w+|const[\s\x1c-\x1f]+\w+[\s\x1c-\x1f]*=.*=>")),
+        f"{prefix}classes": F.regexp_count(content, F.lit(r"(?dU)class[\s\x1c-\x1f]+\w+")),
+        f"{prefix}controls": F.regexp_count(content, F.lit(r"(?U)\b(?:if|for|while|switch|try)\b")),
+    }
+
+
+def complexity_from(ext: Column | str, prefix: str = "_x") -> Column:
+    """P-23: weighted structure counts per non-blank line, capped at 10."""
+    c = lambda n: F.col(f"{prefix}{n}")
+    cx = (c("funcs") * F.lit(0.5) + c("classes") * F.lit(1.0) + c("controls") * F.lit(0.3)) / c("lines") * F.lit(100.0)
     return (F.when(~F.coalesce(col_(ext), F.lit("")).isin(COMPLEXITY_EXTENSIONS), F.lit(0.0))
-            .when(non_blank == 0, F.lit(0.0))
+            .when(c("lines") == 0, F.lit(0.0))
             .otherwise(F.least(F.lit(10.0), cx)))
 
 
-def file_quality(content: Column | str, path: Column | str, ext: Column | str, source: Column | str) -> dict:
-    """P-22 + P-24: quality, coherence, word count and flags for a fetched file."""
+def file_quality_inputs(content: Column | str, path: Column | str) -> dict[str, Column]:
+    """Staged per-row counters for P-22/23/24 (one regex scan each)."""
+    content = col_(content)
+    lower = F.lower(F.coalesce(content, F.lit("")))
+    return {
+        **web_quality_inputs(content, col_(path)),
+        **complexity_inputs(content),
+        "_freact": count_contains(lower, REACT_PATTERNS),
+        "_fexport": F.coalesce(content, F.lit("")).contains("export default"),
+        "_fprops": F.coalesce(content, F.lit("")).contains("PropTypes") | F.coalesce(content, F.lit("")).contains("interface"),
+        "_fcomments": content.contains("//") | content.contains("/*"),
+        "_fdocs": content.contains("/**") | content.contains("@param"),
+    }
+
+
+def file_quality_from(content: Column | str, ext: Column | str, source: Column | str) -> dict:
+    """P-22 + P-23 + P-24 from :func:`file_quality_inputs` columns."""
     content = col_(content)
     empty = content.isNull() | (content == "")
-    lower = F.lower(content)
     e = F.lower(F.coalesce(col_(ext), F.lit("")))
-    q = web_quality_score(content, col_(path))
+    q = web_quality_from()
     q = q + F.when(F.coalesce(col_(source), F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0))
     react = e.isin(REACT_EXTENSIONS)
-    q = q + F.when(react, count_contains(lower, REACT_PATTERNS) * F.lit(0.2)).otherwise(F.lit(0.0))
-    q = q + F.when(react & content.contains("export default"), F.lit(0.3)).otherwise(F.lit(0.0))
-    q = q + F.when(react & (content.contains("PropTypes") | content.contains("interface")), F.lit(0.5)).otherwise(F.lit(0.0))
+    q = q + F.when(react, F.col("_freact") * F.lit(0.2)).otherwise(F.lit(0.0))
+    q = q + F.when(react & F.col("_fexport"), F.lit(0.3)).otherwise(F.lit(0.0))
+    q = q + F.when(react & F.col("_fprops"), F.lit(0.5)).otherwise(F.lit(0.0))
     return {
         "quality_score": F.when(empty, F.lit(0.0)).otherwise(F.least(F.lit(10.0), q)),
-        "word_count": F.when(empty, F.lit(0)).otherwise(word_count(content)),
-        "has_comments": F.when(empty, F.lit(None).cast("boolean")).otherwise(content.contains("//") | content.contains("/*")),
-        "has_documentation": F.when(empty, F.lit(None).cast("boolean")).otherwise(content.contains("/**") | content.contains("@param")),
-        "complexity_score": F.when(empty, F.lit(None).cast("double")).otherwise(complexity_score(content, e)),
+        "word_count": F.when(empty, F.lit(0)).otherwise(F.col("_qwc")),
+        "has_comments": F.when(empty, F.lit(None).cast("boolean")).otherwise(F.col("_fcomments")),
+        "has_documentation": F.when(empty, F.lit(None).cast("boolean")).otherwise(F.col("_fdocs")),
+        "complexity_score": F.when(empty, F.lit(None).cast("double")).otherwise(complexity_from(e)),
     }
 
 

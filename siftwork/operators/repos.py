@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codescore import (
-    clean_code, code_coherence_score, code_quality_score, code_word_count, file_coherence, file_quality,
+    clean_code, code_coherence_score, code_quality_score, code_word_count, file_coherence, file_quality_from,
+    file_quality_inputs,
 )
 from ..functions.paths import (
     LAYOUT_PATTERNS, file_name, is_config, is_docs, is_source, is_test, is_unwanted, path_depth, path_extension,
@@ -110,7 +111,7 @@ def code_records(analysed: DataFrame) -> DataFrame:
         F.col("path").alias("file_path"),
         "content",
         F.col("code_words").alias("word_count"),
-        code_quality_score("content", "path").alias("quality_score"),
+        code_quality_score("content", "path", "code_words").alias("quality_score"),
         code_coherence_score("content").alias("coherence_score"),
         F.col("extension").alias("file_extension"),
         "depth",
@@ -270,13 +271,16 @@ def priority_files(analysed: DataFrame, max_files_per_repo: int = MAX_FILES_PER_
 
 def scored_files(files: DataFrame, contents: DataFrame) -> DataFrame:
     """J-5 + J-2 + P-22/23/24: fetch each priority file (main, then master) and
-    score the raw content; files without content are dropped."""
+    score the raw content; files without content are dropped.  Per-row
+    counters are staged once behind a fence, scores are arithmetic on them."""
     raw = resolve_branch(contents).select(*FILE_KEY, F.col("content").alias("raw_content"))
     j = files.drop("content").join(raw, FILE_KEY, "inner").where(
         F.col("raw_content").isNotNull() & (F.col("raw_content") != ""))
-    j = fence(with_repeated_terms(j, "raw_content"))
-    q = file_quality("raw_content", "path", "extension", "is_source")
-    return j.withColumns(q).withColumn("coherence_score", file_coherence("raw_content", "repeated_terms"))
+    j = with_repeated_terms(j, "raw_content")
+    staged = fence(j.withColumns(file_quality_inputs("raw_content", "path")))
+    out = staged.withColumns(file_quality_from("raw_content", "extension", "is_source")).withColumn(
+        "coherence_score", file_coherence("raw_content", "repeated_terms"))
+    return out.drop(*[c for c in staged.columns if c.startswith("_")])
 
 
 def file_records(scored: DataFrame, min_quality: float = MIN_FILE_QUALITY, min_words: int = MIN_SOURCE_WORDS) -> DataFrame:
