@@ -7,14 +7,22 @@ worker parses its batch with the stdlib parser.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions import htmltree as _tree
 from ..functions.htmltree import extract
 
+# Worker code travels with the task (by value): executors need not have this
+# package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(_tree)
+
 
 def extract_with_parser(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id",),
                         partitions: int | None = None) -> DataFrame:

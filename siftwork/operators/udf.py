@@ -9,24 +9,31 @@ prompts.  A failing batch is retried row by row so one bad prompt becomes one
 
 from __future__ import annotations
 
+import builtins
 import hashlib
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+# Worker code travels with the task (by value): executors need not have this
+# package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Sampling options of the reference (fixed values).
 GENERATION_OPTIONS = {"temperature": 0.8, "top_p": 0.9, "max_new_tokens": 512, "do_sample": True}
 JUDGE_OPTIONS = {"temperature": 0.3, "top_p": 0.8, "max_new_tokens": 300, "do_sample": True}
 
-_LOADED: dict[str, Callable] = {}
-
-
 def _model(loader: Callable[[], Callable], name: str) -> Callable:
-    if name not in _LOADED:
-        _LOADED[name] = loader()
-    return _LOADED[name]
+    """The loaded model, once per Python worker process (workers are reused
+    across tasks, so the cache lives in the process, not in the task)."""
+    cache = builtins.__dict__.setdefault("_siftwork_models", {})
+    if name not in cache:
+        cache[name] = loader()
+    return cache[name]
 
 
 def batch_generate(prompts: DataFrame, loader: Callable[[], Callable], prompt: str = "prompt",

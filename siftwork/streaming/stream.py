@@ -16,6 +16,7 @@ Checkpoints and sinks live under the shared checkpoint folder.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,23 @@ from pyspark.sql.types import StructType
 from ..session import scratch_path
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """Number of state-store partitions of a stateful streaming query.
+
+    A streaming query fixes its shuffle width at its first start (it is kept
+    in the checkpoint).  By default use the cluster's parallelism (total
+    executor cores) rather than the batch shuffle setting.
+    """
+    n = n or spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def new_run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one streaming run (sources, sink, checkpoint)."""
     return scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
@@ -35,7 +53,7 @@ def stage_files(df: DataFrame, path: str, files: int = 4, key: str | None = None
     out.write.mode("overwrite").parquet(path)
 
 
-def read_files(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
+def read_files(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 2) -> DataFrame:
     """File-stream source with an explicit schema (no inference on a stream)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
@@ -50,8 +68,9 @@ def first_sightings(stream: DataFrame, keys: list[str], event_time: str | None =
 
 def append_to(stream: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet") -> None:
     """ST-2: append mode file sink, run until the available input is consumed."""
-    q = (stream.writeStream.format(fmt).outputMode("append").option("path", sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with state_partitions(stream.sparkSession):
+        q = (stream.writeStream.format(fmt).outputMode("append").option("path", sink)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -62,8 +81,9 @@ def complete_to(agg: DataFrame, sink: str, checkpoint: str) -> None:
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with state_partitions(agg.sparkSession):
+        q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
