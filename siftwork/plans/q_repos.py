@@ -13,6 +13,7 @@ from ..functions.paths import (
     UNWANTED_DIR_PATTERNS, UNWANTED_NAME_PATTERNS, repo_url_parts,
 )
 from ..operators import repos as R
+from ..functions.text import fence
 from ..sources.fixtures import fixture
 from .registry import DWS, oracle, register
 
@@ -186,13 +187,26 @@ def _contents(spark, sf_dir, name="fx_code_files"):
     return fixture(spark, sf_dir, name)
 
 
+_PLANS: dict[tuple, object] = {}
+
+
+def _memo(spark, sf_dir, key, build):
+    """Lazy plans (no data) shared by several queries of one session."""
+    k = (id(spark), spark.sparkContext.applicationId, sf_dir, key)
+    if k not in _PLANS:
+        _PLANS[k] = build()
+    return _PLANS[k]
+
+
 def analysed(spark, sf_dir, max_files=ANALYSIS_MAX_FILES):
-    return R.analyse_paths(_paths(spark, sf_dir), _contents(spark, sf_dir), max_files)
+    return _memo(spark, sf_dir, ("analysed", max_files),
+                 lambda: R.analyse_paths(_paths(spark, sf_dir), _contents(spark, sf_dir), max_files))
 
 
 def runs(spark, sf_dir, max_files=ANALYSIS_MAX_FILES):
     urls = fixture(spark, sf_dir, "fx_repo_urls")
-    return R.repo_runs(urls, _paths(spark, sf_dir), _contents(spark, sf_dir), max_files)
+    return _memo(spark, sf_dir, ("runs", max_files),
+                 lambda: R.repo_runs(urls, _paths(spark, sf_dir), _contents(spark, sf_dir), max_files))
 
 
 @register("tree_explode", oracle(["fx_paths"], "WITH " + path_info_ctes() + """
@@ -234,8 +248,9 @@ SELECT owner, repo, path, CAST({_WC} AS INTEGER) AS word_count, round({_Q}, 6) A
        round({_C}, 6) AS coherence_score FROM cleaned"""))
 def code_scores(spark, sf_dir):
     c = _contents(spark, sf_dir).withColumn("content", clean_code("content"))
-    return c.select("owner", "repo", "path", code_word_count("content").alias("word_count"),
-                    F.round(code_quality_score("content", "path"), 6).alias("quality_score"),
+    c = fence(c.withColumn("word_count", code_word_count("content")))
+    return c.select("owner", "repo", "path", "word_count",
+                    F.round(code_quality_score("content", "path", "word_count"), 6).alias("quality_score"),
                     F.round(code_coherence_score("content"), 6).alias("coherence_score"))
 
 
