@@ -38,7 +38,7 @@ def code_word_count(c: Column | str) -> Column:
 
 
 def clean_code(c: Column | str) -> Column:
-    """P-15: drop banner blocks and single-line licence comments.
+    """P-15 (with the W-15 skip state): drop banner blocks and single-line licence comments.
 
     A banner starts on a line containing ``/*`` + 93 dashes and ends with the
     next later line that contains ``*/`` without starting another banner (or

@@ -94,7 +94,7 @@ def clean_text_formatting(text: Column) -> Column:
     t = F.regexp_replace(t, r" *([,;:]) *", "$1 ")
     t = F.regexp_replace(t, r" *\| *", " | ")
     t = F.regexp_replace(t, r" *> *", " > ")
-    # drop a word longer than 3 that repeats its predecessor case-insensitively:
+    # W-13: drop a word longer than 3 that repeats its predecessor case-insensitively:
     # a token followed by one or more space-separated copies of itself -> the token
     t = F.regexp_replace(t, r"(?iu)(?<![^ ])([^ ]{4,})(?: +\1(?![^ ]))+", "$1")
     return F.trim(F.regexp_replace(t, " +", " "))

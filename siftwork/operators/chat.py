@@ -44,7 +44,7 @@ def _role_of(line):
 def extract_pairs(df: DataFrame, text: str = "generated_text") -> DataFrame:
     """P-10 + P-9: adds ``user`` and ``assistant`` (cleaned) to each row.
 
-    Role-marked lines start segments; a segment commits when it has content and
+    W-14 as arrays: role-marked lines start segments; a segment commits when it has content and
     is the last one or the next segment has the other role; the last commit
     per role wins.  If a role is missing, the text is split on a blank line,
     else on lines.
@@ -147,7 +147,7 @@ def existing_hashes(flat: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- uniqueness
 
 def unique_pairs(pairs: DataFrame, existing: DataFrame) -> DataFrame:
-    """P-7 + J-1 + W-5 + W-6.
+    """P-7 + J-1 (the SET-4 except) + W-5 + W-6.
 
     Valid pairs not in ``existing``; per batch only the first attempt (<= 3)
     that produced such a pair; then the first occurrence of each hash in

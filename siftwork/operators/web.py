@@ -90,7 +90,8 @@ def source_type(url: str = "url") -> "F.Column":
 
 
 def retrieval_records(scored: DataFrame, url: str = "url") -> DataFrame:
-    """P-6 + P-32: id = first 12 hex of md5(url), nested metadata struct."""
+    """P-6 + P-32 + P-33: id = first 12 hex of md5(url), nested metadata with the
+    ingestion time (never compared)."""
     return scored.select(
         md5_prefix(F.col(url)).alias("id"),
         F.col(url).alias("url"),
