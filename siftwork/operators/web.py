@@ -71,7 +71,9 @@ def keep_quality_pages(scored: DataFrame, min_words: int = MIN_PAGE_WORDS, min_q
 def rank_pages(df: DataFrame, key: str, k: int | None = None) -> DataFrame:
     """W-1: quality descending, key ascending as unique tie-break; optional top-k."""
     ordered = df.orderBy(F.col("quality_score").desc(), F.col(key).asc())
-    return ordered.limit(k) if k is not None else ordered
+    # fenced top-k: later projections are not pushed below the limit, so the
+    # plan stays a TakeOrderedAndProject (k rows) instead of a full sort
+    return fence(ordered.limit(k)) if k is not None else ordered
 
 
 def source_type(url: str = "url") -> "F.Column":

@@ -125,12 +125,16 @@ def _source_type_sql(u: str) -> str:
 
 # ----------------------------------------------------------------- spark side
 
-def scored_pages(spark, sf_dir, src="pages"):
-    """Extracted, quality-scored pages that pass F-1 / F-3, then coherence."""
+def quality_pages(spark, sf_dir, src="pages"):
+    """Extracted, quality-scored pages that pass F-1 / F-3."""
     pages = read_table(spark, sf_dir, "pages") if src == "pages" else fixture(spark, sf_dir, src)
     x = extract_pages(pages.select("page_id", "url", "html"))
-    kept = web.keep_quality_pages(web.score_pages(x, coherence=False))
-    return web.add_coherence(kept).withColumn("source_type", web.source_type("url"))
+    return web.keep_quality_pages(web.score_pages(x, coherence=False))
+
+
+def scored_pages(spark, sf_dir, src="pages"):
+    """Pages that pass F-1 / F-3 with coherence and source type."""
+    return web.add_coherence(quality_pages(spark, sf_dir, src)).withColumn("source_type", web.source_type("url"))
 
 
 @register("page_title_main", oracle([], "WITH " + extraction_ctes("pages") + """
@@ -199,7 +203,9 @@ FROM sc WHERE word_count >= 50 AND quality >= 6.0
 ORDER BY quality DESC, url LIMIT 50"""))
 def web_corpus_topk(spark, sf_dir):
     """Flagship: pages -> extract -> clean -> score -> filter -> top 50 records."""
-    top = web.rank_pages(scored_pages(spark, sf_dir), "url", k=web.MAX_PAGES)
+    # the ranking uses quality only: take the top k first, score coherence for k rows
+    top = web.rank_pages(quality_pages(spark, sf_dir), "url", k=web.MAX_PAGES)
+    top = web.add_coherence(top).withColumn("source_type", web.source_type("url"))
     return web.retrieval_records(top).select(
         "id", "url", "title", F.col("metadata.source_type").alias("source_type"),
         F.round("metadata.quality_score", 6).alias("quality_score"),

@@ -86,7 +86,9 @@ WHERE q.wc >= 50 AND q.quality >= 6.0
 ORDER BY q.quality DESC, q.doc_id
 LIMIT 50"""))
 def web_filter_topk(spark, sf_dir):
-    kept = web.add_coherence(web.keep_quality_pages(scored_docs(spark, sf_dir, coherence=False)))
-    return web.rank_pages(kept, "doc_id", k=web.MAX_PAGES).select(
+    # the ranking uses quality only: take the top k first, score coherence for k rows
+    kept = web.keep_quality_pages(scored_docs(spark, sf_dir, coherence=False))
+    top = web.add_coherence(web.rank_pages(kept, "doc_id", k=web.MAX_PAGES))
+    return top.select(
         "doc_id", "word_count", F.round("quality_score", 6).alias("quality_score"),
         F.round("coherence_score", 6).alias("coherence_score"))
