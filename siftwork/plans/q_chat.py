@@ -126,12 +126,14 @@ def unique(spark, sf_dir):
 @register("pair_extract", oracle(["fx_completions"], "WITH " + extraction_ctes() + """
 SELECT prompt_id, attempt, batch_id, pos, "user", assistant FROM px WHERE length("user") > 5 AND length(assistant) > 5"""))
 def pair_extract(spark, sf_dir):
+    """P-34 + P-10 + P-9 + F-8: valid (user, assistant) pairs from model completions."""
     return C.valid_pairs(pairs(spark, sf_dir)).select("prompt_id", "attempt", "batch_id", "pos", "user", "assistant")
 
 
 @register("pair_unique", oracle(["fx_completions"], _UNIQUE_SQL + """
 SELECT batch_id, attempt, pos, prompt_id, pair_hash, "user", assistant FROM uq"""))
 def pair_unique(spark, sf_dir):
+    """P-7 + J-1 + W-5 + W-6: new, unique pairs in generation order."""
     return unique(spark, sf_dir).select("batch_id", "attempt", "pos", "prompt_id", "pair_hash", "user", "assistant")
 
 
@@ -164,6 +166,7 @@ SELECT batch_id, CAST(least({BATCH_SIZE}, ne.n - (running_total - produced)) AS
        CAST(running_total AS BIGINT) AS running_total
 FROM cu, ne"""))
 def batch_shortfall(spark, sf_dir):
+    """A-14: requested vs produced per batch, shortfall and running total."""
     prompts = fixture(spark, sf_dir, "fx_completions").select("prompt_id", "batch_id")
     return C.batch_shortfall(prompts, unique(spark, sf_dir), BATCH_SIZE)
 
@@ -185,6 +188,7 @@ SELECT t.total_messages, t.total_messages % 2 = 0 AS even_length,
 FROM (SELECT count(*) AS total_messages FROM conversations) t,
      (SELECT count(*) FILTER (WHERE valid) AS vp, count(*) FILTER (WHERE NOT valid) AS ip FROM pv) v"""))
 def flat_validate(spark, sf_dir):
+    """W-7 + V-1 + A-12: validation summary of the flat layout."""
     _, summary = C.validate_flat(flat_conversations(spark, sf_dir))
     return summary
 
@@ -192,6 +196,7 @@ def flat_validate(spark, sf_dir):
 @register("flat_invalid_pairs", oracle([], _FLAT_SQL + """
 SELECT "index" FROM pv WHERE NOT valid"""))
 def flat_invalid_pairs(spark, sf_dir):
+    """V-1: indices of invalid flat pairs."""
     per_pair, _ = C.validate_flat(flat_conversations(spark, sf_dir))
     return per_pair.where(~F.col("valid")).select("index")
 
@@ -220,6 +225,7 @@ v AS (SELECT entry_idx, coalesce(r, r0, r1) AS rule,
 @register("nested_validate", oracle(["fx_entry_json"], _NESTED_SQL + """
 SELECT entry_idx, rule, message_idx FROM v"""))
 def nested_validate(spark, sf_dir):
+    """V-2: first failing rule per nested entry."""
     return C.validate_nested(fixture(spark, sf_dir, "fx_entry_json"))
 
 
@@ -230,6 +236,7 @@ SELECT (SELECT count(*) FROM v) AS entries,
 FROM (SELECT 1) d LEFT JOIN (SELECT entry_idx, rule FROM v WHERE rule IS NOT NULL
                              ORDER BY entry_idx, coalesce(message_idx, -1), rule LIMIT 1) f ON true"""))
 def nested_validate_summary(spark, sf_dir):
+    """V-2: dataset verdict and first violation."""
     return C.nested_summary(C.validate_nested(fixture(spark, sf_dir, "fx_entry_json")))
 
 
@@ -245,6 +252,7 @@ s AS (SELECT kind,
   FROM k)
 SELECT kind, keys, messages_kind, messages_len, count(*) AS entries FROM s GROUP BY ALL"""))
 def entry_profile(spark, sf_dir):
+    """A-18: entries per JSON shape."""
     return C.entry_shapes(fixture(spark, sf_dir, "fx_entry_json"))
 
 
@@ -261,6 +269,7 @@ SELECT conv_id, turn FROM (
   SELECT conv_id, turn, row_number() OVER (PARTITION BY md5(text) ORDER BY conv_id, turn) AS rn
   FROM conversations WHERE length(text) BETWEEN 10 AND 2000) WHERE rn = 1"""))
 def length_limits(spark, sf_dir):
+    """F-12: content length 10..2000 and first copy of each text."""
     conv = read_table(spark, sf_dir, "conversations")
     return C.length_limits(conv, "text", ["conv_id", "turn"]).select("conv_id", "turn")
 
@@ -304,6 +313,7 @@ v AS (SELECT spec_id, topic, variable_descriptions AS d,
                                                         regexp_extract_all(output_template, '\\{([^}]+)\\}', 1))))) AS var FROM sp)
 SELECT spec_id, var, """ + _desc_sql("var", "topic", "d") + """ AS description FROM v"""))
 def template_vars(spark, sf_dir):
+    """P-25 + P-26 + A-17 + SET-3 + J-7: template variables and their descriptions."""
     from ..functions.chat import template_variables, variable_description
     sp = _specs(spark, sf_dir, _SPEC_REGION, "region")
     v = sp.select("spec_id", "topic", "variable_descriptions",

@@ -23,6 +23,7 @@ _TOPICAL_SQL = " OR ".join(f"contains(domain, '{k}')" for k in TOPICAL_KEYWORDS)
 @register("domain_clean", oracle(["fx_domains"], "WITH " + _CLEAN_SQL + """
 SELECT row_id, clean_domain FROM cd"""))
 def domain_clean(spark, sf_dir):
+    """F-14 + P-3: normalised domain of every usable raw domain value."""
     return dom.cleaned_domains(fixture(spark, sf_dir, "fx_domains")).select("row_id", "clean_domain")
 
 
@@ -30,6 +31,7 @@ def domain_clean(spark, sf_dir):
 dd AS (SELECT DISTINCT clean_domain AS domain FROM cd WHERE clean_domain <> '')
 SELECT 'https://' || domain AS url, domain FROM dd WHERE {_TOPICAL_SQL} ORDER BY domain"""))
 def domain_topical_urls(spark, sf_dir):
+    """A-13 + F-6 + W-11 + K-4: sorted https URLs of distinct topical domains."""
     cleaned = dom.cleaned_domains(fixture(spark, sf_dir, "fx_domains"))
     return dom.topical_urls(dom.distinct_domains(cleaned))
 
@@ -45,4 +47,5 @@ SELECT per.request,
   CAST(sum(coalesce(newd.n, 0)) OVER (ORDER BY per.request) AS BIGINT) AS unique_domains
 FROM per LEFT JOIN newd ON newd.request = per.request"""))
 def domain_progress(spark, sf_dir):
+    """S-4 + A-19: rows processed and unique domains after each request of 100 rows."""
     return dom.scan_progress(fixture(spark, sf_dir, "fx_domains"))

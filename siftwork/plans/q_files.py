@@ -91,12 +91,14 @@ fq AS (SELECT fb.owner, fb.repo, fb.path, CAST(wc AS INTEGER) AS word_count,
 @register("priority_files", oracle(_FX, "WITH " + analysis_ctes() + "," + _priority_cte() + """
 SELECT owner, repo, path, priority FROM prio"""))
 def priority_files(spark, sf_dir):
+    """F-7 + W-3: per repository, priority files in (source, size, depth, position) order."""
     return R.priority_files(analysed(spark, sf_dir)).select("owner", "repo", "path", "priority")
 
 
 @register("branch_fallback", oracle(["fx_paths", "fx_code_files", "fx_branch_files"], "WITH " + _branch_cte("fx_branch_files") + """
 SELECT owner, repo, path, branch, md5(content) AS content_md5 FROM rb"""))
 def branch_fallback(spark, sf_dir):
+    """J-5 + S-6: file content from main, else master."""
     rb = R.resolve_branch(fixture(spark, sf_dir, "fx_branch_files"))
     return rb.select("owner", "repo", "path", "branch", F.md5("content").alias("content_md5"))
 
@@ -111,6 +113,7 @@ fsrc AS (SELECT p.owner, p.repo, p.path, p.extension, p.is_source, rb.content AS
 SELECT owner, repo, path, word_count, round(quality_score, 6) AS quality_score, round(coherence_score, 6) AS coherence_score,
        round(complexity_score, 6) AS complexity_score, has_comments, has_documentation FROM fq"""))
 def file_quality(spark, sf_dir):
+    """P-22 + P-23 + P-24: quality, coherence, complexity and flags of fetched files."""
     info = R.path_info(fixture(spark, sf_dir, "fx_paths"))
     sc = R.scored_files(info, fixture(spark, sf_dir, "fx_code_files"))
     return sc.select("owner", "repo", "path", *_FQ_COLS[:1],
@@ -144,6 +147,7 @@ SELECT substr(md5(owner || '/' || repo || '/' || path), 1, 12) AS id,
        round(complexity_score, 6) AS complexity_score, has_comments, has_documentation
 FROM recs"""))
 def file_records(spark, sf_dir):
+    """W-2 + J-2 + F-4 + P-8 + P-32: file records of the best repositories' priority files."""
     rec = _records(spark, sf_dir)
     m = "metadata."
     return rec.select("id", "url", "title", F.col(m + "repository").alias("repository"),
@@ -157,6 +161,7 @@ def file_records(spark, sf_dir):
 SELECT count(*) AS total_files, CAST(coalesce(sum(length(raw)), 0) AS BIGINT) AS total_characters,
        round(coalesce(avg(quality_score), 0.0), 6) AS avg_quality_score FROM recs"""))
 def file_stats(spark, sf_dir):
+    """A-9: files, characters and mean quality of the file records."""
     st = R.file_stats(_records(spark, sf_dir))
     return st.select("total_files", "total_characters", F.round("avg_quality_score", 6).alias("avg_quality_score"))
 
@@ -167,6 +172,7 @@ SELECT topic, c_custkey, stars, rnk FROM (
          row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rnk
   FROM customer WHERE c_acctbal > {S.MIN_STARS}) WHERE rnk <= {S.MAX_RESULTS_PER_TOPIC}"""))
 def topic_topn(spark, sf_dir):
+    """S-7 + W-9: per topic, best 25 by stars above the minimum."""
     c = read_table(spark, sf_dir, "customer").select(
         F.col("c_mktsegment").alias("topic"), "c_custkey", F.col("c_acctbal").alias("stars"))
     return S.top_per_topic(c, "topic", "stars", "c_custkey").select("topic", "c_custkey", "stars", "rnk")
@@ -178,6 +184,7 @@ SELECT event_type, event_id, value, 'https://stackoverflow.com/questions/' || CA
          row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST, event_id) AS rnk
   FROM events) WHERE rnk <= {S.QA_PAGE_SIZE} AND coalesce(value, 0) >= {S.QA_MIN_SCORE}"""))
 def qa_select(spark, sf_dir):
+    """S-8 + F-10: per query, a page of 20 items by score, then score >= 5."""
     ev = read_table(spark, sf_dir, "events").select("event_type", "event_id", "value")
     sel = S.qa_items(ev, "event_type", "value", "event_id")
     return sel.select("event_type", "event_id", "value",

@@ -57,6 +57,7 @@ def evals(spark, sf_dir):
 @register("judge_scores", oracle(["fx_evaluations"], _SCORES_SQL + """
 SELECT entry_id, """ + ", ".join(DIMENSIONS) + """, overall, reason FROM js"""))
 def judge_scores(spark, sf_dir):
+    """P-29 + P-30: judge text parsed into five scores, overall and reason."""
     from ..functions.judge import fill_overall, keyed_lines, parse_scores
     from ..functions.text import fence
     ev = fixture(spark, sf_dir, "fx_evaluations")
@@ -68,6 +69,7 @@ def judge_scores(spark, sf_dir):
 @register("judge_filter", oracle(["fx_evaluations"], _SCORES_SQL + "," + _ENTRIES_SQL + f"""
 SELECT entry_id, overall FROM ev WHERE well_formed AND overall >= {J.MIN_SCORE}"""))
 def judge_filter(spark, sf_dir):
+    """F-11 + J-3 + F-9: well-formed entries whose overall score is at least 6."""
     kept = J.keep_high_quality(evals(spark, sf_dir))
     return kept.select("entry_id", F.col("scores.overall").alias("overall"))
 
@@ -81,6 +83,7 @@ SELECT count(*) AS original_count, count(*) FILTER (WHERE well_formed) AS evalua
        """ + ", ".join(f"round(avg({d}) FILTER (WHERE well_formed AND {d} > 0), 6) AS avg_{d}" for d in DIMENSIONS + ["overall"]) + """
 FROM ev"""))
 def judge_summary(spark, sf_dir):
+    """A-10 + A-11: evaluation counts, kept rate and mean scores."""
     s = J.evaluation_summary(evals(spark, sf_dir))
     return s.select(*[F.round(c, 6).alias(c) if c.startswith("avg_") or c == "quality_rate" else F.col(c)
                       for c in s.columns])

@@ -140,6 +140,7 @@ def scored_pages(spark, sf_dir, src="pages"):
 @register("page_title_main", oracle([], "WITH " + extraction_ctes("pages") + """
 SELECT page_id, title, md5(content) AS content_md5, CAST(length(content) AS INTEGER) AS content_chars FROM px"""))
 def page_title_main(spark, sf_dir):
+    """S-5 + P-11 + P-12: title and main text (hash, length) of each raw page."""
     x = extract_pages(read_table(spark, sf_dir, "pages").select("page_id", "html"))
     return x.select("page_id", "title", F.md5("content").alias("content_md5"),
                     F.length("content").alias("content_chars"))
@@ -148,6 +149,7 @@ def page_title_main(spark, sf_dir):
 @register("page_clean_text", oracle([], "WITH " + extraction_ctes("pages") + f"""
 SELECT page_id, content, CAST(len(regexp_extract_all(content, '{DWORD}')) AS INTEGER) AS word_count FROM px"""))
 def page_clean_text(spark, sf_dir):
+    """P-12 + P-14 (+ W-13): cleaned main text and its word count per page."""
     x = extract_pages(read_table(spark, sf_dir, "pages").select("page_id", "html"))
     return x.select("page_id", "content", web.word_count(F.col("content")).alias("word_count"))
 
@@ -155,6 +157,7 @@ def page_clean_text(spark, sf_dir):
 @register("page_code_blocks", oracle(["fx_pages_code"], "WITH " + extraction_ctes("fx_pages_code") + """
 SELECT page_id, content, CAST(length(content) - length(replace(content, '```', '')) AS INTEGER) / 6 AS code_blocks FROM px"""))
 def page_code_blocks(spark, sf_dir):
+    """P-13: code blocks protected during cleaning and restored as fenced blocks."""
     x = extract_pages(fixture(spark, sf_dir, "fx_pages_code").select("page_id", "html"))
     return x.select("page_id", "content", (web.count_substr(F.col("content"), "```") / 2).cast("int").alias("code_blocks"))
 
@@ -163,6 +166,7 @@ def page_code_blocks(spark, sf_dir):
 SELECT {_source_type_sql('url')} AS source_type, count(*) AS pages
 FROM fx_page_urls GROUP BY 1"""))
 def page_source_type(spark, sf_dir):
+    """P-4 + A-8: source type from the URL authority, counted per type."""
     urls = fixture(spark, sf_dir, "fx_page_urls").withColumn("source_type", web.source_type("url"))
     return urls.groupBy("source_type").agg(F.count(F.lit(1)).alias("pages"))
 
@@ -179,6 +183,7 @@ def _records(spark, sf_dir):
 
 @register("retrieval_records", oracle([], _RECORD_SQL))
 def retrieval_records(spark, sf_dir):
+    """P-6 + P-32: retrieval records (flattened) of pages passing F-1 / F-3."""
     rec = _records(spark, sf_dir)
     return rec.select("id", "url", "title", F.col("metadata.source_type").alias("source_type"),
                       F.round("metadata.quality_score", 6).alias("quality_score"),
@@ -191,6 +196,7 @@ SELECT count(*) AS total_documents, round(avg(quality), 6) AS avg_quality_score,
        round(avg(coherence), 6) AS avg_coherence_score, CAST(coalesce(sum(word_count), 0) AS BIGINT) AS total_words
 FROM sc WHERE word_count >= 50 AND quality >= 6.0"""))
 def retrieval_stats(spark, sf_dir):
+    """A-7: documents, mean quality, mean coherence, total words of the records."""
     st = web.retrieval_stats(_records(spark, sf_dir))
     return st.select("total_documents", F.round("avg_quality_score", 6).alias("avg_quality_score"),
                      F.round("avg_coherence_score", 6).alias("avg_coherence_score"), "total_words")
@@ -223,6 +229,7 @@ firsts AS (SELECT url, origin, pos, row_number() OVER (PARTITION BY url ORDER BY
 seen AS (SELECT DISTINCT url FROM pages WHERE page_id % 5 = 0)
 SELECT f.url, f.origin, f.pos FROM firsts f WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.url = f.url)"""))
 def url_frontier(spark, sf_dir):
+    """SET-2 + W-10 + J-4: seed then searched URLs, capped, first sighting, minus seen URLs."""
     pages = read_table(spark, sf_dir, "pages")
     seeds = pages.select("url", F.col("page_id").alias("pos"))
     found = pages.select(F.regexp_replace("url", r"[?#].*$", "").alias("url"), F.col("page_id").alias("pos"))

@@ -226,6 +226,7 @@ def tree_explode(spark, sf_dir):
 @register("path_features", oracle(["fx_paths"], "WITH " + path_info_ctes() + """
 SELECT owner, repo, pos, depth, extension, is_config, is_source, is_test, is_docs, is_unwanted FROM pinfo"""))
 def path_features(spark, sf_dir):
+    """P-16 + P-17 + F-5: depth, extension, class flags and unwanted flag per tree entry."""
     from ..functions.paths import is_unwanted
     info = R.path_info(_paths(spark, sf_dir))
     return info.select("owner", "repo", "pos", "depth", "extension", "is_config", "is_source", "is_test",
@@ -235,6 +236,7 @@ def path_features(spark, sf_dir):
 @register("code_clean", oracle(["fx_code_files"], "WITH " + clean_ctes() + """
 SELECT owner, repo, path, md5(content) AS content_md5, CAST(length(content) AS INTEGER) AS content_chars FROM cleaned"""))
 def code_clean(spark, sf_dir):
+    """P-15 (W-15): cleaned file content (hash, length) per file."""
     c = _contents(spark, sf_dir).withColumn("content", clean_code("content"))
     return c.select("owner", "repo", "path", F.md5("content").alias("content_md5"),
                     F.length("content").alias("content_chars"))
@@ -247,6 +249,7 @@ _WC, _Q, _C = code_score_sql()
 SELECT owner, repo, path, CAST({_WC} AS INTEGER) AS word_count, round({_Q}, 6) AS quality_score,
        round({_C}, 6) AS coherence_score FROM cleaned"""))
 def code_scores(spark, sf_dir):
+    """P-2 + P-20 + P-21: code words, quality and coherence of cleaned files."""
     c = _contents(spark, sf_dir).withColumn("content", clean_code("content"))
     c = fence(c.withColumn("word_count", code_word_count("content")))
     return c.select("owner", "repo", "path", "word_count",
@@ -263,6 +266,7 @@ SELECT substr(md5(owner || '/' || repo || '/' || path), 1, 12) AS id, owner || '
        round({_Q2}, 6) AS quality_score, round({_C2}, 6) AS coherence_score, extension AS file_extension, depth
 FROM analysed WHERE content IS NOT NULL"""))
 def code_corpus(spark, sf_dir):
+    """F-5 + F-2 + W-4 + P-6: code records of accepted source files, first 20 accepted per repo."""
     rec = R.code_records(analysed(spark, sf_dir))
     return rec.select("id", "repository", "file_path", F.md5("content").alias("content_md5"), "word_count",
                       F.round("quality_score", 6).alias("quality_score"),
@@ -279,6 +283,7 @@ SELECT owner, repo, {', '.join(_METRIC_COLS)}, CAST(maxd AS INTEGER) AS max_dept
        round(organization_score, 6) AS organization_score, round(overall_quality, 6) AS overall_quality
 FROM metrics"""))
 def repo_metrics(spark, sf_dir):
+    """A-1 + A-3..A-6: repository metrics over the analysed entries."""
     m = R.repo_metrics(analysed(spark, sf_dir))
     return m.select("owner", "repo", *_METRIC_COLS, "max_depth", F.round("avg_depth", 6).alias("avg_depth"),
                     *[F.round(c, 6).alias(c) for c in ("structure_score", "completeness_score",
@@ -289,6 +294,7 @@ def repo_metrics(spark, sf_dir):
 SELECT owner, repo, extension, count(*) AS files FROM analysed
 WHERE extension IS NOT NULL AND extension <> '' GROUP BY owner, repo, extension"""))
 def repo_extensions(spark, sf_dir):
+    """A-2: extension histogram per repository (exploded)."""
     return R.extension_histogram(analysed(spark, sf_dir))
 
 
@@ -298,6 +304,7 @@ SELECT count(*) FILTER (WHERE error IS NULL) AS successful_repos, count(*) FILTE
        count(*) FILTER (WHERE error IS NULL AND total_files_analyzed >= {ANALYSIS_MAX_FILES}) AS repos_limit_reached
 FROM runs"""))
 def repo_run_summary(spark, sf_dir):
+    """P-5 + F-13 + A-16: successful / failed analyses, files analysed, limits reached."""
     res, _ = runs(spark, sf_dir)
     return R.run_summary(res)
 
@@ -307,6 +314,7 @@ SELECT owner || '/' || repo AS repository, total_files AS files, source_files AS
        round(overall_quality, 6) AS quality, pos
 FROM runs WHERE error IS NULL ORDER BY pos LIMIT 10"""))
 def repo_summary_table(spark, sf_dir):
+    """W-8: first 10 successful repositories in request order."""
     res, _ = runs(spark, sf_dir)
     t = R.summary_table(res)
     return t.withColumn("quality", F.round("quality", 6))
@@ -318,6 +326,7 @@ WITH u0 AS (SELECT page_id, url, string_split(regexp_replace(regexp_extract(url,
 SELECT page_id, CASE WHEN len(parts) >= 2 THEN parts[1] END AS owner, CASE WHEN len(parts) >= 2 THEN parts[2] END AS repo,
        CASE WHEN len(parts) < 2 THEN 'Invalid GitHub URL format: ' || url END AS error FROM u0"""))
 def repo_url_parse(spark, sf_dir):
+    """P-5: owner / repo / error from repository URLs."""
     owner, repo, err = repo_url_parts("url")
     return fixture(spark, sf_dir, "fx_page_urls").select("page_id", owner.alias("owner"), repo.alias("repo"),
                                                          err.alias("error"))

@@ -60,6 +60,7 @@ SELECT doc_id,
   CAST(length(text) AS INTEGER) AS char_count
 FROM documents"""))
 def web_word_stats(spark, sf_dir):
+    """P-1: word, sentence, exclamation and character counts per document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     return web.word_stats(docs).select("doc_id", "word_count", "sentence_count", "exclamation_count", "char_count")
 
@@ -67,6 +68,7 @@ def web_word_stats(spark, sf_dir):
 @register("web_quality", oracle(["fx_web_docs"], "WITH " + _QUALITY_SQL + """
 SELECT doc_id, CAST(wc AS INTEGER) AS word_count, round(quality, 6) AS quality_score FROM q"""))
 def web_quality(spark, sf_dir):
+    """P-18: page quality score (title = first line) per document."""
     return scored_docs(spark, sf_dir, coherence=False).select(
         "doc_id", "word_count", F.round("quality_score", 6).alias("quality_score"))
 
@@ -74,6 +76,7 @@ def web_quality(spark, sf_dir):
 @register("web_coherence", oracle(["fx_web_docs"], "WITH " + _COHERENCE_SQL + """
 SELECT doc_id, CAST(repeated_terms AS INTEGER) AS repeated_terms, round(coherence, 6) AS coherence_score FROM c"""))
 def web_coherence(spark, sf_dir):
+    """P-19 + A-15: coherence score and repeated-term count per document."""
     return scored_docs(spark, sf_dir, quality=False).select(
         "doc_id", "repeated_terms", F.round("coherence_score", 6).alias("coherence_score"))
 
@@ -87,6 +90,7 @@ ORDER BY q.quality DESC, q.doc_id
 LIMIT 50"""))
 def web_filter_topk(spark, sf_dir):
     # the ranking uses quality only: take the top k first, score coherence for k rows
+    """F-1 + F-3 + W-1 + W-10: documents above the word and quality floors, top 50 by quality."""
     kept = web.keep_quality_pages(scored_docs(spark, sf_dir, coherence=False))
     top = web.add_coherence(web.rank_pages(kept, "doc_id", k=web.MAX_PAGES))
     return top.select(
