@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WS, col_, count_contains, count_substr, py_split, py_strip, word_count
+from .text import WORD_RUN, WS, col_, count_contains, count_substr, py_strip, word_count
 
 # Fixed values that must equal the reference rules.
 WEB_TECH_KEYWORDS = ["react", "javascript", "python", "api", "component", "function", "method"]
@@ -29,7 +29,8 @@ def web_quality_inputs(content: Column | str, title: Column | str, prefix: str =
     lower = F.lower(content)
     return {
         f"{prefix}wc": word_count(content),
-        f"{prefix}sw": word_count(F.replace(content, F.lit("."), F.lit(" "))),
+        # words of content.split('.') pieces = runs of characters that are neither blank nor '.'
+        f"{prefix}sw": F.regexp_count(content, F.lit(WORD_RUN.replace("]+", ".]+"))).cast("int"),
         f"{prefix}dots": count_substr(content, "."),
         f"{prefix}bangs": count_substr(content, "!"),
         f"{prefix}title": title.isNotNull() & (F.length(title) > 10),
@@ -84,7 +85,10 @@ def with_repeated_terms(df: DataFrame, content: str, out: str = "repeated_terms"
     tmp = f"__{out}_sorted"
     staged = df.withColumn(
         tmp,
-        F.array_sort(F.filter(py_split(F.lower(F.coalesce(F.col(content), F.lit("")))), lambda x: F.length(x) > 4)),
+        # after the strip, splitting on blank runs leaves no empty token except for
+        # an empty text, and the length filter drops that one
+        F.array_sort(F.filter(F.split(py_strip(F.lower(F.coalesce(F.col(content), F.lit("")))), f"{WS}+"),
+                              lambda x: F.length(x) > 4)),
     )
     s = F.col(tmp)
     third = F.filter(
