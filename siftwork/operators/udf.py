@@ -91,3 +91,18 @@ def stub_judge_loader() -> Callable:
             out.append(f"RELEVANCE: {n % 10}\nACCURACY: {n % 7 + 3}\nOVERALL: {n % 11}\nREASON: stub {h[:6]}")
         return out
     return model
+
+
+def stub_generation_loader() -> Callable:
+    """Deterministic stand-in for a generation model (tests and oracle checks):
+    echoes the prompt, then one role-marked pair derived from the prompt's md5;
+    fails for prompts whose md5 starts with '00'."""
+    def model(prompts, **_opts):
+        out = []
+        for p in prompts:
+            h = hashlib.md5(p.encode("utf-8")).hexdigest()
+            if h.startswith("00"):
+                raise ValueError("stub failure")
+            out.append(f"{p}\nUser: How do I {h[:8]}?\nAssistant: Use {h[8:20]} carefully.")
+        return out
+    return model

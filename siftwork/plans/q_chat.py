@@ -322,7 +322,9 @@ def template_vars(spark, sf_dir):
                                                            F.col("topic")).alias("description"))
 
 
-def _prompt_oracle() -> str:
+def _prompt_ctes(spec_sql: str) -> str:
+    """CTEs ``sp, v, r, p, e`` ending in ``e(spec_id, prompt, batch_size, entry_no)``:
+    the DuckDB rendering of P-27 and the J-6 expansion for the given specs."""
     from ..functions.chat import (PROMPT_FORMAT, PROMPT_FORMAT_2, PROMPT_HEAD, PROMPT_RULES, PROMPT_VARS_HEAD,
                                   PROMPT_VARS_MEANINGS, PROMPT_VARS_TAIL)
 
@@ -333,7 +335,7 @@ def _prompt_oracle() -> str:
     rules_head, rules_tail = PROMPT_RULES.split("{vars}")
     rules_tail = rules_tail.replace("{{", "{").replace("}}", "}")
     desc = _desc_sql("x", "topic", "variable_descriptions")
-    return "WITH sp AS (" + _SPEC_NATION.replace("MAPFN", "MAP") + f"""),
+    return "sp AS (" + spec_sql.replace("MAPFN", "MAP") + f"""),
 v AS (SELECT *, list_sort(list_distinct(list_concat(regexp_extract_all(input_template, '\\{{([^}}]+)\\}}', 1),
                                                     regexp_extract_all(output_template, '\\{{([^}}]+)\\}}', 1)))) AS vars FROM sp),
 r AS (SELECT *, CASE WHEN len(vars) > 0 THEN concat({lit(PROMPT_VARS_HEAD)}, array_to_string(vars, ', '), chr(10), 'Topic: ', topic,
@@ -342,7 +344,11 @@ r AS (SELECT *, CASE WHEN len(vars) > 0 THEN concat({lit(PROMPT_VARS_HEAD)}, arr
 p AS (SELECT spec_id, num_entries, batch_size,
         {_strip(f"concat({lit(PROMPT_HEAD)}, topic, {lit(PROMPT_FORMAT)}, input_template, {lit(PROMPT_FORMAT_2)}, output_template, {lit(rules_head)}, vb, {lit(rules_tail)})")} AS prompt
       FROM r),
-e AS (SELECT spec_id, prompt, batch_size, unnest(range(1, num_entries + 1)) AS entry_no FROM p)
+e AS (SELECT spec_id, prompt, batch_size, unnest(range(1, num_entries + 1)) AS entry_no FROM p)"""
+
+
+def _prompt_oracle() -> str:
+    return "WITH " + _prompt_ctes(_SPEC_NATION) + """
 SELECT spec_id, entry_no, CAST((entry_no - 1) // batch_size AS BIGINT) AS batch_id, prompt FROM e"""
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.chat import DEFAULT_JUDGE_TOPIC, JUDGE_HEAD, JUDGE_MID, JUDGE_TAIL, judge_prompt
 from ..operators import chat as C
 from ..operators.htmltree import extract_with_parser
-from ..operators.udf import JUDGE_OPTIONS, batch_generate, stub_judge_loader
+from ..functions.chat import remove_prompt_echo
+from ..operators.udf import (
+    GENERATION_OPTIONS, JUDGE_OPTIONS, batch_generate, stub_generation_loader, stub_judge_loader,
+)
 from ..sources.tables import read_table
-from .q_chat import _FLAT_SQL, flat_conversations
+from .q_chat import _FLAT_SQL, _existing_ctes, _prompt_ctes, _specs, flat_conversations
 from .q_pages import extraction_ctes
 from .registry import oracle, register
 
@@ -58,3 +61,39 @@ def html_tree_extract(spark, sf_dir):
     """U-2: tree-parser extraction; on these pages it equals the regex chain."""
     pages = read_table(spark, sf_dir, "pages")
     return extract_with_parser(pages, keys=("page_id",))
+
+
+# One generation spec per document: its first word is the topic, its second
+# word goes into the question template; 1-3 entries per spec, batches of 2.
+_SPEC_DOCS = """
+SELECT doc_id AS spec_id, split_part(text, ' ', 1) AS topic,
+  concat('How do I {task} with ', split_part(text, ' ', 2), '?') AS input_template,
+  'Here is how to {task}: {explanation}' AS output_template,
+  MAPFN(['task'], ['a concrete programming task']) AS variable_descriptions,
+  doc_id % 3 + 1 AS num_entries, 2 AS batch_size
+FROM documents
+"""
+
+
+@register("generate_pairs_stub", oracle([], "WITH " + _prompt_ctes(_SPEC_DOCS) + "," + _existing_ctes() + """,
+g AS (SELECT spec_id, entry_no, CAST(spec_id * 1000 + (entry_no - 1) // batch_size AS BIGINT) AS batch_id, md5(prompt) AS h FROM e),
+pr AS (SELECT spec_id, entry_no, batch_id, 'How do I ' || substr(h, 1, 8) || '?' AS "user",
+              'Use ' || substr(h, 9, 12) || ' carefully.' AS assistant FROM g WHERE substr(h, 1, 2) <> '00'),
+hx AS (SELECT *, md5("user" || assistant) AS pair_hash FROM pr WHERE pair_hash NOT IN (SELECT pair_hash FROM ex_hash)),
+uq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_hash ORDER BY batch_id, entry_no, spec_id) AS rn FROM hx)
+       WHERE rn = 1)
+SELECT spec_id, entry_no, pair_hash, "user", assistant FROM uq"""))
+def generate_pairs_stub(spark, sf_dir):
+    """Pipeline A end to end: J-6 + P-27 prompts per spec, U-1 generation (stub
+    loader, failing rows isolated), P-34 echo removal, P-10 / P-9 extraction,
+    F-8, then P-7 + J-1 + W-5 + W-6 uniqueness against the stored pairs."""
+    specs = _specs(spark, sf_dir, _SPEC_DOCS, "documents")
+    prompts = C.expand_specs(specs)
+    gen = batch_generate(prompts, stub_generation_loader, keys=("spec_id", "entry_no", "batch_id"),
+                         options=GENERATION_OPTIONS, model_name="stub-generator")
+    comp = gen.where(F.col("error").isNull()).select(
+        F.col("spec_id").alias("prompt_id"), F.lit(1).alias("attempt"),
+        (F.col("spec_id") * 1000 + F.col("batch_id")).alias("batch_id"), F.col("entry_no").alias("pos"),
+        remove_prompt_echo("generated_text", "prompt").alias("generated_text"))
+    uq = C.unique_pairs(C.extract_pairs(comp), C.existing_hashes(flat_conversations(spark, sf_dir)))
+    return uq.select(F.col("prompt_id").alias("spec_id"), F.col("pos").alias("entry_no"), "pair_hash", "user", "assistant")
