@@ -20,7 +20,9 @@ def evaluations(entries: DataFrame, judged: DataFrame, key: str = "entry_id",
                 text: str = "evaluation_text") -> DataFrame:
     """F-11 + J-3 + P-29/30: one row per entry with ``scores`` or ``error``.
 
-    ``entries`` carry ``messages``; ``judged`` carries the judge text per key.
+    ``entries`` carry ``messages``; ``judged`` carries the judge text per key
+    and, optionally, an ``error`` from the judge call (a failed call is an
+    error row, as is a malformed entry, which is never sent to the judge).
     """
     ok = F.size("messages") == 2
     base = entries.select(
@@ -29,7 +31,10 @@ def evaluations(entries: DataFrame, judged: DataFrame, key: str = "entry_id",
         F.when(ok, F.col("messages")[1]["content"]).alias("assistant_message"),
         F.when(~ok, F.lit(INVALID_ENTRY)).alias("error"),
     )
-    j = base.join(judged.select(key, text), key, "left")
+    call_error = [F.col("error").alias("_call_error")] if "error" in judged.columns else []
+    j = base.join(judged.select(key, text, *call_error), key, "left")
+    if call_error:
+        j = j.withColumn("error", F.coalesce(F.col("error"), F.col("_call_error"))).drop("_call_error")
     parsed = fence(j.withColumn("_kl", keyed_lines(F.col(text))).withColumn("_s", parse_scores(F.col("_kl"))).drop("_kl"))
     scores = F.struct(*[F.col("_s")[d].alias(d) for d in DIMENSIONS],
                       fill_overall(F.col("_s")).alias("overall"), F.col("_s")["reason"].alias("reason"))

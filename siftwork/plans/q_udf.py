@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chat import DEFAULT_JUDGE_TOPIC, JUDGE_HEAD, JUDGE_MID, JUDGE_TAIL, judge_prompt
 from ..operators import chat as C
+from ..operators import judge as J
 from ..operators.htmltree import extract_with_parser
 from ..functions.chat import remove_prompt_echo
 from ..operators.udf import (
@@ -97,3 +98,25 @@ def generate_pairs_stub(spark, sf_dir):
         remove_prompt_echo("generated_text", "prompt").alias("generated_text"))
     uq = C.unique_pairs(C.extract_pairs(comp), C.existing_hashes(flat_conversations(spark, sf_dir)))
     return uq.select(F.col("prompt_id").alias("spec_id"), F.col("pos").alias("entry_no"), "pair_hash", "user", "assistant")
+
+
+@register("judge_pipeline_stub", oracle([], _PAIRS_SQL + f""",
+jp AS (SELECT pid AS entry_id, {_judge_prompt_sql('ut', 'atx')} AS prompt FROM xp WHERE n = 2),
+sc AS (SELECT entry_id, CASE WHEN substr(md5(prompt), 1, 1) = '0' THEN 'stub failure' END AS error,
+              greatest(1.0, least(10.0, CAST(length(prompt) % 11 AS DOUBLE))) AS ov FROM jp)
+SELECT entry_id, CASE WHEN error IS NULL THEN ov END AS overall,
+       error IS NULL AND ov >= {J.MIN_SCORE} AS kept, error FROM sc"""))
+def judge_pipeline_stub(spark, sf_dir):
+    """Pipeline B end to end: P-35 + P-28 judge prompts for the stored pairs,
+    U-1 scoring (stub judge, failed calls become error rows), P-29 / P-30
+    parsing, F-9 keep decision."""
+    flat = flat_conversations(spark, sf_dir)
+    entries = C.nested_entries(C.flat_to_pairs(flat).where(F.col("n") == 2)).select(
+        F.col("pair_idx").alias("entry_id"), "messages")
+    m = F.col("messages")
+    prompts = entries.select("entry_id", judge_prompt(m[0]["content"], m[1]["content"]).alias("prompt"))
+    judged = batch_generate(prompts, stub_judge_loader, keys=("entry_id",), options=JUDGE_OPTIONS,
+                            model_name="stub-judge").withColumnRenamed("generated_text", "evaluation_text")
+    ev = J.evaluations(entries, judged)
+    kept = F.col("error").isNull() & (F.col("scores.overall") >= J.MIN_SCORE)
+    return ev.select("entry_id", F.col("scores.overall").alias("overall"), kept.alias("kept"), "error")
