@@ -295,9 +295,11 @@ FROM nation
 
 
 def _specs(spark, sf_dir, sql, table):
-    read_table(spark, sf_dir, table).createOrReplaceTempView(table)
+    from ..sources.tables import private_sql, private_view
+
+    read_table(spark, sf_dir, table).createOrReplaceTempView(private_view(table))
     spark_sql = sql.replace("MAPFN([", "map_from_arrays(array(").replace("], [", "), array(").replace("])", "))")
-    return spark.sql(spark_sql)
+    return spark.sql(private_sql(spark_sql))
 
 
 def _desc_sql(var: str, topic: str, descs: str) -> str:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import fence
-from .tables import register_tables
+from .tables import private_sql, private_view, register_tables
 
 # name -> (sql, [views/tables it reads])
 FIXTURE_SQL: dict[str, tuple[str, list[str]]] = {}
@@ -211,8 +211,8 @@ def _build_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for n in order:
         # fenced: a derived view behaves like a stored table, so predicates on
         # its computed columns are not re-expanded into every downstream filter
-        df = fence(spark.sql(FIXTURE_SQL[n][0]))
-        df.createOrReplaceTempView(n)
+        df = fence(spark.sql(private_sql(FIXTURE_SQL[n][0])))
+        df.createOrReplaceTempView(private_view(n))
     return df
 
 
