@@ -226,12 +226,12 @@ WITH cand AS (
   SELECT regexp_replace(url, '[?#].*$', '') AS url, 1 AS origin, page_id AS pos FROM pages),
 capped AS (SELECT * FROM cand ORDER BY origin, pos LIMIT 50),
 firsts AS (SELECT url, origin, pos, row_number() OVER (PARTITION BY url ORDER BY origin, pos) AS rn FROM capped),
-seen AS (SELECT DISTINCT url FROM pages WHERE page_id % 5 = 0)
+seen AS (SELECT DISTINCT url FROM pages WHERE contains(url, '/en/'))
 SELECT f.url, f.origin, f.pos FROM firsts f WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.url = f.url)"""))
 def url_frontier(spark, sf_dir):
     """SET-2 + W-10 + J-4: seed then searched URLs, capped, first sighting, minus seen URLs."""
     pages = read_table(spark, sf_dir, "pages")
     seeds = pages.select("url", F.col("page_id").alias("pos"))
     found = pages.select(F.regexp_replace("url", r"[?#].*$", "").alias("url"), F.col("page_id").alias("pos"))
-    seen = pages.where(F.col("page_id") % 5 == 0).select("url")
+    seen = pages.where(F.col("url").contains("/en/")).select("url")  # English pages were scraped before
     return web.url_frontier(seeds, found, seen)

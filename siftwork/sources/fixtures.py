@@ -156,7 +156,7 @@ FROM pages
 _fx("fx_repo_urls", ["fx_paths", "fx_page_urls"], """
 SELECT concat('https://github.com/', owner, '/', repo) AS url, min(pos) AS pos FROM fx_paths GROUP BY owner, repo
 UNION ALL
-SELECT url, 1000000000 + page_id AS pos FROM fx_page_urls WHERE page_id % 9 IN (2, 8)
+SELECT url, 1000000000 + page_id AS pos FROM fx_page_urls WHERE url LIKE 'https://github.com/%'
 """)
 
 # Raw files on several branches: fx_code_files plus alternative copies so the
