@@ -212,18 +212,18 @@ def repo_runs(urls: DataFrame, paths: DataFrame, contents: DataFrame,
     """
     owner, repo, err = repo_url_parts("url")
     req = urls.select("url", "pos", owner.alias("owner"), repo.alias("repo"), err.alias("error"))
-    existing = paths.select(*KEY).distinct()
-    usable = paths.where(~is_unwanted("path")).select(*KEY).distinct()
+    # one pass over the tree: does the repository exist, and does it have wanted entries
+    flags = paths.groupBy(*KEY).agg(F.bool_or(~is_unwanted("path")).alias("_has"))
+    usable = flags.where(F.col("_has")).select(*KEY)
     analysed = analyse_paths(paths.join(req.where("error IS NULL").select(*KEY).distinct(), KEY, "left_semi"),
                              contents, max_files)
     metrics = repo_metrics(analysed, usable)
-    res = (req.join(existing.withColumn("_exists", F.lit(True)), KEY, "left")
-           .join(usable.withColumn("_has", F.lit(True)), KEY, "left")
+    res = (req.join(flags, KEY, "left")
            .withColumn("error", F.coalesce(
                F.col("error"),
-               F.when(F.col("_exists").isNull(), F.lit("Repository not found or not accessible")),
-               F.when(F.col("_has").isNull(), F.lit("Could not fetch repository files"))))
-           .drop("_exists", "_has")
+               F.when(F.col("_has").isNull(), F.lit("Repository not found or not accessible")),
+               F.when(~F.col("_has"), F.lit("Could not fetch repository files"))))
+           .drop("_has")
            .join(metrics, KEY, "left"))
     res = res.withColumn("files_limit_reached",
                          F.when(F.col("error").isNull(), F.col("total_files_analyzed") >= max_files))
