@@ -11,7 +11,7 @@ from ..operators import search as S
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
 from .q_pages import _strip
-from .q_repos import analysis_ctes, analysed, runs, runs_ctes
+from .q_repos import _memo, analysis_ctes, analysed, runs, runs_ctes
 from .q_web import _KW_SQL
 from .registry import DWORD, DWS, oracle, register
 
@@ -122,10 +122,12 @@ def file_quality(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    res, an = runs(spark, sf_dir)
-    top = R.top_repos(res).select(*R.KEY)
-    files = R.priority_files(an.join(top, R.KEY, "left_semi"))
-    return R.file_records(R.scored_files(files, fixture(spark, sf_dir, "fx_code_files")))
+    def build():
+        res, an = runs(spark, sf_dir)
+        top = R.top_repos(res).select(*R.KEY)
+        files = R.priority_files(an.join(top, R.KEY, "left_semi"))
+        return R.file_records(R.scored_files(files, fixture(spark, sf_dir, "fx_code_files")))
+    return _memo(spark, sf_dir, ("file_records",), build)
 
 
 _RECORDS_SQL = "WITH " + runs_ctes() + """,
