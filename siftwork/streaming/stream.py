@@ -20,7 +20,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from ..session import scratch_path
 
@@ -62,6 +62,9 @@ def first_sightings(stream: DataFrame, keys: list[str], event_time: str | None =
                     delay: str = "1 hour") -> DataFrame:
     """ST-1: keep the first row per key across micro-batches."""
     if event_time is not None:
+        if isinstance(stream.schema[event_time].dataType, TimestampNTZType):
+            # watermarks need TIMESTAMP; a zone-less time is read in the session time zone
+            stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
         return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
     return stream.dropDuplicates(keys)
 
