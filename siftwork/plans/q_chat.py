@@ -10,7 +10,7 @@ from ..operators import chat as C
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
 from .q_pages import _strip
-from .registry import DWS, oracle, register
+from .registry import DWS, memo, oracle, register
 
 BATCH_SIZE = 8   # fx_completions batches are floor(conv_id / 8)
 
@@ -110,17 +110,21 @@ def completions(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    return C.extract_pairs(completions(spark, sf_dir))
+    return memo(spark, sf_dir, ("pairs",), lambda: C.extract_pairs(completions(spark, sf_dir)))
 
 
 def flat_conversations(spark, sf_dir):
-    conv = read_table(spark, sf_dir, "conversations")
-    flat = C.flat_positions(conv, "conv_id", "turn")
-    return flat.select("idx", "role", F.col("text").alias("content"), F.col("text").isNotNull().alias("has_content"))
+    def build():
+        conv = read_table(spark, sf_dir, "conversations")
+        flat = C.flat_positions(conv, "conv_id", "turn")
+        return flat.select("idx", "role", F.col("text").alias("content"),
+                           F.col("text").isNotNull().alias("has_content"))
+    return memo(spark, sf_dir, ("flat_conversations",), build)
 
 
 def unique(spark, sf_dir):
-    return C.unique_pairs(pairs(spark, sf_dir), C.existing_hashes(flat_conversations(spark, sf_dir)))
+    return memo(spark, sf_dir, ("unique_pairs",), lambda: C.unique_pairs(
+        pairs(spark, sf_dir), C.existing_hashes(flat_conversations(spark, sf_dir))))
 
 
 @register("pair_extract", oracle(["fx_completions"], "WITH " + extraction_ctes() + """

@@ -15,7 +15,7 @@ from ..functions.paths import (
 from ..operators import repos as R
 from ..functions.text import fence
 from ..sources.fixtures import fixture
-from .registry import DWS, oracle, register
+from .registry import DWS, memo as _memo, oracle, register
 
 ANALYSIS_MAX_FILES = 20   # per-repository analysis limit used by the registered queries
 
@@ -187,17 +187,6 @@ def _contents(spark, sf_dir, name="fx_code_files"):
     return fixture(spark, sf_dir, name)
 
 
-_PLANS: dict[tuple, object] = {}
-
-
-def _memo(spark, sf_dir, key, build):
-    """Lazy plans (no data) shared by several queries of one session."""
-    k = (id(spark), spark.sparkContext.applicationId, sf_dir, key)
-    if k not in _PLANS:
-        _PLANS[k] = build()
-    return _PLANS[k]
-
-
 def analysed(spark, sf_dir, max_files=ANALYSIS_MAX_FILES):
     return _memo(spark, sf_dir, ("analysed", max_files),
                  lambda: R.analyse_paths(_paths(spark, sf_dir), _contents(spark, sf_dir), max_files))
