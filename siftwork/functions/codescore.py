@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, col_, count_contains, count_substr, word_count
+from .text import col_, count_contains, count_substr
 from .webscore import web_coherence_score, web_quality_from, web_quality_inputs
 
 # Fixed values that must equal the reference rules.

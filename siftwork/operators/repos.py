@@ -21,7 +21,7 @@ from ..functions.codescore import (
     file_quality_inputs,
 )
 from ..functions.paths import (
-    LAYOUT_PATTERNS, file_name, is_config, is_docs, is_source, is_test, is_unwanted, path_depth, path_extension,
+    LAYOUT_PATTERNS, is_config, is_docs, is_source, is_test, is_unwanted, path_depth, path_extension,
     repo_url_parts,
 )
 from ..functions.text import fence, md5_prefix
@@ -314,5 +314,3 @@ def file_stats(records: DataFrame) -> DataFrame:
         F.coalesce(F.avg("metadata.quality_score"), F.lit(0.0)).alias("avg_quality_score"),
     )
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["file_name"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.domains import TOPICAL_KEYWORDS
 from ..operators import domains as dom
 from ..sources.fixtures import fixture

@@ -3,14 +3,12 @@ search-result selections (repository search, Q&A search)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import repos as R
 from ..operators import search as S
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
-from .q_pages import _strip
 from .q_repos import _memo, analysis_ctes, analysed, runs, runs_ctes
 from .q_web import _KW_SQL
 from .registry import DWORD, DWS, oracle, register

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import web
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
-from .registry import DWORD, DWS, oracle, register
+from .registry import DWORD, oracle, register
 
 _KW = ["react", "javascript", "python", "api", "component", "function", "method"]
 _KW_SQL = " + ".join(f"contains(lc, '{k}')::INT" for k in _KW)
