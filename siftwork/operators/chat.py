@@ -201,12 +201,15 @@ def _kind(v):
             .otherwise("scalar"))
 
 
-def validate_nested(entries: DataFrame, entry: str = "entry", entry_idx: str = "entry_idx") -> DataFrame:
+def validate_nested(entries: DataFrame, entry: str = "entry", entry_idx: str = "entry_idx",
+                    keys: tuple[str, ...] = (), parsed: bool = False) -> DataFrame:
     """V-2 per entry: the first failing rule (3 object, 4 has messages, 5 two
     messages, then per message 6 object, 7 content+role present, 8 role is
-    user/assistant); 0 = not parseable JSON; null = valid."""
-    v = F.try_parse_json(F.col(entry))
-    staged = entries.select(entry_idx, v.alias("_v"))
+    user/assistant); 0 = not parseable JSON; null = valid.  ``parsed``: the
+    entry column already holds VARIANT values (no text round trip, so JSON
+    nulls stay present)."""
+    v = F.col(entry) if parsed else F.try_parse_json(F.col(entry))
+    staged = entries.select(*keys, entry_idx, v.alias("_v"))
     msgs = F.try_variant_get(F.col("_v"), "$.messages", "variant")
     staged = staged.withColumns({"_m": msgs, "_ml": F.try_variant_get(F.col("_v"), "$.messages", "array<variant>")})
 
@@ -223,15 +226,44 @@ def validate_nested(entries: DataFrame, entry: str = "entry", entry_idx: str = "
             .when(F.col("_m").isNull(), 4)
             .when((_kind(F.col("_m")) != "array") | (F.size(F.col("_ml")) != 2), 5))
     m0, m1 = msg_rule(0), msg_rule(1)
-    out = staged.select(entry_idx, rule.alias("_r"), m0.alias("_r0"), m1.alias("_r1"))
+    out = staged.select(*keys, entry_idx, rule.alias("_r"), m0.alias("_r0"), m1.alias("_r1"))
     return out.select(
-        entry_idx,
+        *keys, entry_idx,
         F.coalesce("_r", "_r0", "_r1").alias("rule"),
         F.when(F.col("_r").isNull() & F.col("_r0").isNotNull(), F.lit(0))
         .when(F.col("_r").isNull() & F.col("_r1").isNotNull(), F.lit(1)).alias("message_idx"),
     )
 
 
+def validate_dataset_files(spark, path: str) -> DataFrame:
+    """V-2 on the reference layout: one JSON document per file.
+
+    Per file: rule 0 (not JSON), 1 (not an array), 2 (empty), else the first
+    violating entry rule in (entry, message, rule) order; ``is_valid`` when
+    none.  A document is read whole (one task per file), so large datasets
+    should be stored as JSON lines and validated with :func:`validate_nested`.
+    """
+    docs = (spark.read.text(path, wholetext=True)
+            .select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("_v")))
+    arr = F.try_variant_get(F.col("_v"), "$", "array<variant>")
+    files = docs.select("file", (F.when(F.col("_v").isNull(), F.lit(0)).when(arr.isNull(), 1)
+                                 .when(F.size(arr) == 0, 2)).alias("file_rule"), arr.alias("_arr"))
+    entries = (files.where(F.col("_arr").isNotNull())
+               .select("file", F.posexplode("_arr").alias("entry_idx", "entry")))
+    bad = validate_nested(entries, keys=("file",), parsed=True).where(F.col("rule").isNotNull())
+    first = bad.groupBy("file").agg(
+        F.min(F.struct("entry_idx", F.coalesce("message_idx", F.lit(-1)).alias("m"), "rule")).alias("f"),
+        F.count(F.lit(1)).alias("violations"))
+    out = files.join(first, "file", "left")
+    return out.select(
+        "file", F.coalesce(F.size("_arr"), F.lit(0)).alias("entries"),
+        (F.col("file_rule").isNull() & F.col("f").isNull()).alias("is_valid"),
+        F.coalesce(F.col("file_rule"), F.col("f.rule")).alias("first_violation_rule"),
+        F.when(F.col("file_rule").isNull(), F.col("f.entry_idx")).alias("first_violation_entry"),
+        F.when(F.col("file_rule").isNull() & (F.col("f.m") >= 0), F.col("f.m")).alias("first_violation_message"),
+        F.coalesce(F.col("violations"), F.lit(0)).alias("violations"))
+
+
 def nested_summary(violations: DataFrame, entry_idx: str = "entry_idx") -> DataFrame:
     """Dataset verdict: non-empty and no violation; first violation by
     (entry, message, rule)."""
