@@ -31,10 +31,21 @@ CODE_ELEMENT = r"(?is)<pre\b[^>]*>.*?</pre\s*>|<code\b[^>]*>.*?</code\s*>"
 _MARK = "\u0001"
 
 
+# HTML5 legacy names that are also decoded without the trailing ';' (as the
+# stdlib parser does for text), plus the numeric apostrophe.
+BARE_ENTITIES = [("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#39", "'"), ("&nbsp", "\u00a0"),
+                 ("&copy", "©"), ("&reg", "®"), ("&middot", "·")]
+
+
 def decode_entities(c: Column) -> Column:
+    """Named / numeric entities of ``ENTITIES``, their legacy forms without ';',
+    and '&amp' last in one pass (decoded text is never decoded again)."""
     for ent, ch in ENTITIES:
+        if ent != "&amp;":
+            c = F.replace(c, F.lit(ent), F.lit(ch))
+    for ent, ch in BARE_ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    return F.regexp_replace(c, "&amp;?", "&")
 
 
 def _element_re(selector: str) -> str:

@@ -22,10 +22,12 @@ def _strip(x: str) -> str:
 
 def _dec(x: str) -> str:
     for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
-                    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-                    ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]:
+                    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
+                    ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
+                    ("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#39", "''"), ("&nbsp", " "),
+                    ("&copy", "©"), ("&reg", "®"), ("&middot", "·")]:
         x = f"replace({x}, '{ent}', '{ch}')"
-    return x
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
 _TAG = "<[a-zA-Z/!?][^>]*>"
