@@ -1,33 +1,41 @@
-"""Ordered running totals without a single-partition window.
+"""Ordered running totals without a single-task window.
 
-A window ordered over the whole table runs in one task.  Here rows are grouped
-into blocks of consecutive keys; block totals (``n / block`` rows) get their
-prefix sums, and each block adds its offset to a window partitioned by block.
+A window ordered over a whole table runs in one task.  Here the rows are dealt
+by ranges of the order, so each task holds a stretch of it; one total per range
+(as many rows as there are shuffle partitions, whatever the table holds) gives
+the offsets, and a window inside each range does the rest.  The dealt rows are
+written once: ranges come from a sample, and both uses must see the same ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 
-def running_sum(df: DataFrame, order_key: str, value_cols: list[str], block: int = 4096,
-                suffix: str = "_cum") -> DataFrame:
+
+def ranked(df: DataFrame, order: list[Column], values: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """Adds each value and ``<value>_cum``, its sum over the rows up to this one."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(df.withColumns(values).repartitionByRange(n, *order)
+                   .withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (dealt.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+               .select("_range", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}")
+                                   for v in values]))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # at most one row per shuffle partition
+    return dealt.join(F.broadcast(offsets), "_range").select(
+        *df.columns, *[c for c in values if c not in df.columns],
+        *[(F.col(f"_o_{v}") + F.sum(v).over(inside)).alias(f"{v}_cum") for v in values])
+
+
+def running_sum(df: DataFrame, order_key: str, value_cols: list[str], suffix: str = "_cum") -> DataFrame:
     """Adds ``<col><suffix>`` = sum of ``col`` over rows with key <= this key.
 
-    ``order_key`` must be an integral, unique key.  The block-totals table has
-    ``distinct_keys / block`` rows; its global window is therefore small
-    (1e9 keys -> 244k rows) and the per-block windows spread over the cluster.
+    Keys may be sparse, but must be unique: rows of one key would be summed one
+    after the other.
     """
-    blk = F.floor(F.col(order_key) / block).alias("_blk")
-    with_blk = df.withColumn("_blk", blk)
-    totals = with_blk.groupBy("_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
-    w_all = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_blk", *[F.coalesce(F.sum(f"_t_{c}").over(w_all), F.lit(0)).alias(f"_o_{c}")
-                                      for c in value_cols])
-    w_blk = Window.partitionBy("_blk").orderBy(order_key).rowsBetween(Window.unboundedPreceding, 0)
-    out = with_blk.join(offsets, "_blk", "left")
-    return out.select(
-        *df.columns,
-        *[(F.col(f"_o_{c}") + F.sum(c).over(w_blk)).alias(f"{c}{suffix}") for c in value_cols],
-    )
+    out = ranked(df, [F.col(order_key)], {c: F.col(c) for c in value_cols})
+    return out.withColumnsRenamed({f"{c}_cum": f"{c}{suffix}" for c in value_cols})
