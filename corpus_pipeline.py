@@ -13,18 +13,29 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import exact_dedup, mixing, packing
+from siftwork.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from siftwork.session import staged
 from siftwork.sources.tables import read_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in none of the learned languages, go."""
+    return language_id.keep_identified(docs)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (but for A-Z case) the row with the largest doc_id stays."""
     return exact_dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles (similarity 0.75 or more) the one with the
+    smallest doc_id stays."""
+    return ngram_join.keep_representatives(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, or up to three times."""
     return mixing.mixed_documents(docs)
@@ -36,7 +47,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("language_id", known_language),
     ("exact_dedup", drop_exact_copies),
+    ("near_duplicates", drop_near_copies),
     ("source_mix", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]
