@@ -184,7 +184,7 @@ def incidence(docs: DataFrame, doc_id: str, text: str, blocks: int, size: int) -
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PACKET)
 
 
-def shared_columns(key, table: pa.Table) -> pa.Table:
+def shared_columns(key, table):
     """Step 1, block side: entries of columns that have another one, back to their batches."""
     rows: dict[str, list] = {"kind": [], "key": [], "batch": [], "payload": []}
 
@@ -230,7 +230,7 @@ def shared_columns(key, table: pa.Table) -> pa.Table:
 
 def shared_rows(percent: int):
     """Step 2: documents of a batch with their shared columns, where those suffice for a link."""
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         kinds = table.column("kind").to_pylist()
         payloads = table.column("payload")
         out: dict[str, list] = {"kind": [], "doc_id": [], "n": [], "set_key": [], "columns": []}
