@@ -82,15 +82,20 @@ def pair_hash(user: Column | str, assistant: Column | str) -> Column:
     return F.md5(F.concat(py_strip(F.coalesce(col_(user), F.lit(""))), py_strip(F.coalesce(col_(assistant), F.lit("")))))
 
 
+#: Word characters as the reference's patterns have them: letters, digits and underscore of any script.
+WORD_NAME = r"[\p{L}\p{N}_]+"
+
+
 def remove_prompt_echo(text: Column | str, prompt: Column | str) -> Column:
     """P-34: drop an echoed prompt (then strip), only when it occurs."""
     t, p = col_(text), col_(prompt)
     return F.when((F.length(p) > 0) & t.contains(p), py_strip(F.replace(t, p, F.lit("")))).otherwise(t)
 
 
-def template_variables(*templates: Column) -> Column:
-    """P-25 + A-17 + SET-3: sorted distinct ``{name}`` variables of the templates."""
-    found = [F.regexp_extract_all(t, F.lit(r"\{([^}]+)\}"), 1) for t in templates]
+def template_variables(*templates: Column, name: str = r"[^}]+") -> Column:
+    """P-25 + A-17 + SET-3: sorted distinct ``{name}`` variables of the templates;
+    ``name`` is what may stand in the braces (``WORD_NAME`` in the interactive form)."""
+    found = [F.regexp_extract_all(t, F.lit(r"\{(" + name + r")\}"), 1) for t in templates]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
 
 

@@ -48,8 +48,8 @@ def clean_code(c: Column | str) -> Column:
     c = col_(c)
     start = BANNER_START.replace("*", r"\*")
     line_with_start = rf"[^\n]*{start}[^\n]*"
-    line_without_end = r"(?:(?!\*/)[^\n])*"
-    banner = (rf"{_BOL}{line_with_start}(?:\n(?:{line_with_start}|{line_without_end}){_EOL})*"
+    line_without_end = r"(?:(?!\*/)[^\n])*+"
+    banner = (rf"{_BOL}{line_with_start}(?:\n(?:{line_with_start}|{line_without_end}){_EOL})*+"
               rf"(?:\n[^\n]*\*/[^\n]*)?")
     marked = F.regexp_replace(c, banner, _SKIP)
     licence = rf"(?iu){_BOL}{LINE_WS}*(?://|#)[^\n]*(?:copyright|license)[^\n]*{_EOL}"

@@ -1,9 +1,6 @@
-"""HTML title / main-text extraction as native regex expressions (P-11..P-14).
+"""Cleaning of extracted page text and code blocks as column expressions (P-13, P-14).
 
-The chain is exact for pages whose selected regions do not nest elements of
-the same name (the common case for ``main``/``article``).  For arbitrary
-markup use :func:`siftwork.operators.htmltree.extract_with_parser`, which runs
-a real tree parser in Arrow batches.
+The text comes from :mod:`.htmlregion` with a mark in place of each code block.
 """
 
 from __future__ import annotations
@@ -11,87 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, col_, collapse_ws, py_strip
-
-# Fixed values that must equal the reference rules.
-DROPPED_TAGS = ["script", "style", "nav", "header", "footer", "aside", "iframe", "noscript"]
-MAIN_SELECTORS = ["main", "article", ".content", ".post-content", ".entry-content", ".article-body", "#content"]
-CODE_PLACEHOLDER = "__CODE_BLOCK_{i}__"
-
-# Named entities decoded natively; '&amp;' must come last.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-    ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"),
-]
-
-TAG = r"<[a-zA-Z/!?][^>]*>"
-COMMENT = r"(?s)<!--.*?-->"
-CODE_ELEMENT = r"(?is)<pre\b[^>]*>.*?</pre\s*>|<code\b[^>]*>.*?</code\s*>"
-_MARK = "\u0001"
-
-
-# HTML5 legacy names that are also decoded without the trailing ';' (as the
-# stdlib parser does for text), plus the numeric apostrophe.
-BARE_ENTITIES = [("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#39", "'"), ("&nbsp", "\u00a0"),
-                 ("&copy", "©"), ("&reg", "®"), ("&middot", "·")]
-
-
-def decode_entities(c: Column) -> Column:
-    """Named / numeric entities of ``ENTITIES``, their legacy forms without ';',
-    and '&amp' last in one pass (decoded text is never decoded again)."""
-    for ent, ch in ENTITIES:
-        if ent != "&amp;":
-            c = F.replace(c, F.lit(ent), F.lit(ch))
-    for ent, ch in BARE_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return F.regexp_replace(c, "&amp;?", "&")
-
-
-def _element_re(selector: str) -> str:
-    """Regex whose group 1 (or last group) is the inner HTML of the first match."""
-    if selector.startswith("."):
-        name = selector[1:]
-        attr = rf"""\bclass\s*=\s*["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["']"""
-    elif selector.startswith("#"):
-        attr = rf"""\bid\s*=\s*["']{selector[1:]}["']"""
-    else:
-        return rf"(?is)<{selector}\b[^>]*>(.*?)(?:</{selector}\s*>|\z)"
-    return rf"(?is)<([a-z][a-z0-9]*)\b[^>]*{attr}[^>]*>(.*?)(?:</\1\s*>|\z)"
-
-
-def _element_open_re(selector: str) -> str:
-    if selector.startswith("."):
-        return rf"""(?is)<[a-z][a-z0-9]*\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{selector[1:]}(?:\s[^"']*)?["']"""
-    if selector.startswith("#"):
-        return rf"""(?is)<[a-z][a-z0-9]*\b[^>]*\bid\s*=\s*["']{selector[1:]}["']"""
-    return rf"(?is)<{selector}\b"
-
-
-def strip_dropped(html: Column) -> Column:
-    """Remove raw-text elements, comments, then the other dropped elements."""
-    h = html
-    for t in ("script", "style"):
-        h = F.regexp_replace(h, rf"(?is)<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)", " ")
-    h = F.regexp_replace(h, COMMENT, " ")
-    for t in DROPPED_TAGS:
-        if t in ("script", "style"):
-            continue
-        h = F.regexp_replace(h, rf"(?is)<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)", " ")
-    return h
-
-
-def title_text(html: Column | str) -> Column:
-    """P-11: text of the first <title>, else of the first <h1>, stripped."""
-    h = F.regexp_replace(col_(html), COMMENT, "")
-    def inner(tag):
-        raw = F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
-        return py_strip(decode_entities(F.regexp_replace(raw, TAG, "")))
-    return (
-        F.when(h.rlike(r"(?i)<title\b"), inner("title"))
-        .when(h.rlike(r"(?i)<h1\b"), inner("h1"))
-        .otherwise(F.lit(""))
-    )
+from .text import WS, collapse_ws, py_strip
 
 
 def clean_text_formatting(text: Column) -> Column:
@@ -107,52 +24,19 @@ def clean_text_formatting(text: Column) -> Column:
     t = F.regexp_replace(t, r" *> *", " > ")
     # W-13: drop a word longer than 3 that repeats its predecessor case-insensitively:
     # a token followed by one or more space-separated copies of itself -> the token
-    t = F.regexp_replace(t, r"(?iu)(?<![^ ])([^ ]{4,})(?: +\1(?![^ ]))+", "$1")
+    t = F.regexp_replace(t, r"(?iu)(?<![^ ])([^ ]{4,})(?: +\1(?![^ ]))++", "$1")
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
-def _clean_code(block_html: Column) -> Column:
-    code = decode_entities(F.regexp_replace(block_html, TAG, ""))
-    return F.regexp_replace(py_strip(code), rf"\n{WS}*\n", "\n")
+def fenced_code(code: Column) -> Column:
+    """P-13: a code block stripped, without blank lines, between fences."""
+    lines = F.regexp_replace(py_strip(code), rf"\n{WS}*\n", "\n")
+    return F.concat(F.lit("\n\n```\n"), lines, F.lit("\n```\n\n"))
 
 
-def region_text(region: Column) -> Column:
-    """P-13 + P-14 on an HTML fragment: code blocks protected, text cleaned,
-    code restored as fenced blocks."""
-    blocks = F.transform(F.regexp_extract_all(region, F.lit(CODE_ELEMENT), 0), _clean_code)
-    marked = F.regexp_replace(region, CODE_ELEMENT, f" {_MARK} ")
-    parts = F.split(marked, _MARK)
-    numbered = F.array_join(
-        F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(
-            F.concat(F.lit(" __CODE_BLOCK_"), (i - 1).cast("string"), F.lit("__ "), p))),
-        "",
-    )
-    text = decode_entities(F.regexp_replace(numbered, TAG, " "))
-    cleaned = clean_text_formatting(text)
+def with_code(cleaned: Column, codes: Column) -> Column:
+    """P-13: the code blocks put back where their marks stand in the cleaned text."""
     pieces = F.split(cleaned, r"__CODE_BLOCK_\d+__")
-    fenced = F.transform(blocks, lambda b: F.concat(F.lit("\n\n```\n"), b, F.lit("\n```\n\n")))
-    restored = F.array_join(
-        F.zip_with(pieces, F.concat(F.array(F.lit("")), fenced), lambda p, b: F.concat(F.coalesce(b, F.lit("")), p)),
-        "",
-    )
-    return F.when(F.size(blocks) == 0, cleaned).otherwise(py_strip(restored))
-
-
-def main_region_html(stripped: Column) -> Column:
-    """Inner HTML of the first selector that exists, or null."""
-    out = F.lit(None).cast("string")
-    for sel in reversed(MAIN_SELECTORS):
-        rx = _element_re(sel)
-        grp = 2 if sel[0] in ".#" else 1
-        out = F.when(stripped.rlike(_element_open_re(sel)), F.regexp_extract(stripped, rx, grp)).otherwise(out)
-    return out
-
-
-def main_text(html: Column | str) -> Column:
-    """P-12: text of the main region, else of <body>, else of the document."""
-    stripped = strip_dropped(col_(html))
-    main = main_region_html(stripped)
-    main_txt = F.when(main.isNotNull(), region_text(main))
-    body = F.regexp_extract(stripped, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
-    body_txt = F.when(stripped.rlike(r"(?i)<body\b"), region_text(body)).otherwise(region_text(stripped))
-    return F.when(F.coalesce(main_txt, F.lit("")) != "", main_txt).otherwise(body_txt)
+    blocks = F.concat(F.array(F.lit("")), F.transform(codes, fenced_code))
+    joined = F.array_join(F.zip_with(pieces, blocks, lambda p, b: F.concat(F.coalesce(b, F.lit("")), p)), "")
+    return F.when(F.size(codes) == 0, cleaned).otherwise(py_strip(joined))

@@ -22,7 +22,6 @@ from ..functions.chat import (
 from ..functions.text import fence, py_strip
 from .running import running_sum
 
-MAX_ATTEMPTS = 3
 MIN_PAIR_CHARS = 5
 MIN_CONTENT_LENGTH = 10
 MAX_CONTENT_LENGTH = 2000
@@ -58,7 +57,7 @@ def extract_pairs(df: DataFrame, text: str = "generated_text") -> DataFrame:
 
     def seg_struct(s):
         first = F.substring_index(s, "\n", 1)
-        after = py_strip(F.regexp_extract(first, r"^[^:]*:(.*)$", 1))
+        after = py_strip(F.regexp_extract(first, r"(?s)\A[^:]*:(.*)\z", 1))
         nl = F.instr(s, "\n")
         rest = F.when(nl > 0, F.substring(s, nl + 1, 1 << 30))
         content = py_strip(F.concat_ws("\n", F.when(after != "", after), rest))
@@ -146,18 +145,21 @@ def existing_hashes(flat: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- uniqueness
 
-def unique_pairs(pairs: DataFrame, existing: DataFrame) -> DataFrame:
+def unique_pairs(pairs: DataFrame, existing: DataFrame, max_attempts: int | None = None) -> DataFrame:
     """P-7 + J-1 (the SET-4 except) + W-5 + W-6.
 
-    Valid pairs not in ``existing``; per batch only the first attempt (<= 3)
-    that produced such a pair; then the first occurrence of each hash in
+    Valid pairs not in ``existing``; per batch only the first attempt
+    (of ``max_attempts``, if given) that produced such a pair; then the first occurrence of each hash in
     (batch, attempt, position, prompt) order.  Unlike the sequential loop, an
     attempt whose only pairs repeat another new batch is not skipped.
     """
-    cand = valid_pairs(pairs).where(F.col("attempt") <= MAX_ATTEMPTS).withColumn("pair_hash", pair_hash("user", "assistant"))
+    cand = valid_pairs(pairs).withColumn("pair_hash", pair_hash("user", "assistant"))
+    if max_attempts is not None:
+        cand = cand.where(F.col("attempt") <= max_attempts)
     fresh = cand.join(existing, "pair_hash", "left_anti")
-    first_attempt = Window.partitionBy("batch_id")
-    chosen = fresh.withColumn("_a", F.min("attempt").over(first_attempt)).where(F.col("attempt") == F.col("_a")).drop("_a")
+    # partial aggregation first: a batch that holds a third of all rows sends one per task
+    first_attempt = fresh.groupBy("batch_id").agg(F.min("attempt").alias("attempt"))
+    chosen = fresh.join(first_attempt, ["batch_id", "attempt"], "left_semi")
     w = Window.partitionBy("pair_hash").orderBy("batch_id", "attempt", "pos", "prompt_id")
     return chosen.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
@@ -287,6 +289,18 @@ def entry_shapes(entries: DataFrame, entry: str = "entry") -> DataFrame:
     return shape.groupBy("kind", "keys", "messages_kind", "messages_len").agg(F.count(F.lit(1)).alias("entries"))
 
 
+def key_profile(entries: DataFrame, entry: str = "entry") -> DataFrame:
+    """A-18 per key: how often each key of an object entry holds each kind of value,
+    and, for lists, of how many items."""
+    v = F.try_parse_json(F.col(entry))
+    pairs = entries.select(v.alias("_v")).where(_kind(F.col("_v")) == "object").select(
+        F.explode(F.try_variant_get("_v", "$", "map<string,variant>")).alias("key", "value"))
+    kind = F.coalesce(_kind(F.col("value")), F.lit("null"))
+    items = F.when(kind == "array", F.size(F.try_variant_get("value", "$", "array<variant>")))
+    return pairs.select("key", kind.alias("value_kind"), items.alias("items")).groupBy(
+        "key", "value_kind", "items").agg(F.count(F.lit(1)).alias("entries"))
+
+
 def length_limits(rows: DataFrame, content: str, order: list[str], lo: int = MIN_CONTENT_LENGTH,
                   hi: int = MAX_CONTENT_LENGTH, unique: bool = True) -> DataFrame:
     """F-12: content length within [lo, hi]; optionally first copy of each text."""

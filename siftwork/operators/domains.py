@@ -16,6 +16,12 @@ def cleaned_domains(rows: DataFrame, domain: str = "domain") -> DataFrame:
     return rows.where(usable_domain(domain)).withColumn("clean_domain", clean_domain(domain))
 
 
+def nested_rows(pages: DataFrame, rows: str = "rows") -> DataFrame:
+    """S-4: scan pages as the API returns them, ``rows[].row.domain``, one row each."""
+    return pages.select(F.explode(rows).alias("r")).select(F.col("r.row_idx").alias("row_id"),
+                                                           F.col("r.row.domain").alias("domain"))
+
+
 def distinct_domains(cleaned: DataFrame) -> DataFrame:
     """A-13: the set of non-empty clean domains (partial distinct per task first)."""
     return cleaned.where(F.col("clean_domain") != "").select(F.col("clean_domain").alias("domain")).distinct()

@@ -14,6 +14,7 @@ from ..functions.text import fence
 
 MIN_SCORE = 6.0
 INVALID_ENTRY = "Invalid entry format"
+NOT_JUDGED = "No evaluation"
 
 
 def evaluations(entries: DataFrame, judged: DataFrame, key: str = "entry_id",
@@ -24,7 +25,7 @@ def evaluations(entries: DataFrame, judged: DataFrame, key: str = "entry_id",
     and, optionally, an ``error`` from the judge call (a failed call is an
     error row, as is a malformed entry, which is never sent to the judge).
     """
-    ok = F.size("messages") == 2
+    ok = F.coalesce(F.size("messages"), F.lit(0)) == 2
     base = entries.select(
         key,
         F.when(ok, F.col("messages")[0]["content"]).alias("user_message"),
@@ -32,9 +33,11 @@ def evaluations(entries: DataFrame, judged: DataFrame, key: str = "entry_id",
         F.when(~ok, F.lit(INVALID_ENTRY)).alias("error"),
     )
     call_error = [F.col("error").alias("_call_error")] if "error" in judged.columns else []
-    j = base.join(judged.select(key, text, *call_error), key, "left")
+    j = base.join(judged.select(key, text, F.lit(True).alias("_judged"), *call_error), key, "left")
     if call_error:
         j = j.withColumn("error", F.coalesce(F.col("error"), F.col("_call_error"))).drop("_call_error")
+    # an entry that the judge never answered counts as failed, not as scored 0
+    j = j.withColumn("error", F.coalesce(F.col("error"), F.when(F.col("_judged").isNull(), F.lit(NOT_JUDGED)))).drop("_judged")
     parsed = fence(j.withColumn("_kl", keyed_lines(F.col(text))).withColumn("_s", parse_scores(F.col("_kl"))).drop("_kl"))
     scores = F.struct(*[F.col("_s")[d].alias(d) for d in DIMENSIONS],
                       fill_overall(F.col("_s")).alias("overall"), F.col("_s")["reason"].alias("reason"))

@@ -1,27 +1,46 @@
 """Page extraction: raw HTML rows -> (title, content) rows.
 
-Intermediate HTML fragments are staged as columns so each regex pass runs
-once per row (lambdas and CASE branches do not share sub-expressions).
+Spark partitions the pages; each task reads them with the event parser in Arrow
+batches (nested and unclosed elements are beyond regular expressions), and the
+cleaning that follows is column expressions.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..functions import htmlregion
+from ..functions.html import clean_text_formatting, with_code
 from ..functions.text import fence
-from ..functions.html import main_region_html, region_text, strip_dropped, title_text
+
+# Worker code travels with the task (by value): executors need not have this
+# package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(htmlregion)
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``title`` (P-11) and ``content`` (P-12/13/14); drops the HTML."""
     keep = [c for c in pages.columns if c != html]
-    staged = pages.select(*keep, title_text(F.col(html)).alias("title"),
-                          strip_dropped(F.col(html)).alias("_stripped"))
-    staged = staged.select(*keep, "title", "_stripped", main_region_html(F.col("_stripped")).alias("_main"))
-    staged = staged.select(*keep, "title", "_stripped",
-                           F.when(F.col("_main").isNotNull(), region_text(F.col("_main"))).alias("_main_txt"))
-    body = F.regexp_extract(F.col("_stripped"), r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
-    fallback = F.when(F.col("_stripped").rlike(r"(?i)<body\b"), region_text(body)).otherwise(region_text(F.col("_stripped")))
-    content = F.when(F.coalesce(F.col("_main_txt"), F.lit("")) != "", F.col("_main_txt")).otherwise(fallback)
-    return fence(staged.select(*keep, "title", content.alias("content")))
+    schema = StructType([pages.schema[c] for c in keep] + [
+        StructField("title", StringType()), StructField("_text", StringType()),
+        StructField("_codes", ArrayType(StringType()))])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [htmlregion.read_page(h.as_py()) for h in batch.column(html)]
+            found = [pa.array([r[0] for r in read], pa.string()), pa.array([r[1] for r in read], pa.string()),
+                     pa.array([r[2] for r in read], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + found, names)
+
+    staged = pages.select(*keep, html).mapInArrow(run, schema)
+    staged = staged.withColumn("_clean", clean_text_formatting(F.col("_text")))
+    return fence(staged.select(*keep, "title", with_code(F.col("_clean"), F.col("_codes")).alias("content")))

@@ -1,14 +1,14 @@
 """Repository analysis and code corpus (pipeline D).
 
 Shuffle plan at scale:
-* contents are resolved to one branch per file with a window keyed by the
-  full file key (owner, repo, path): no hot key even if one repository holds a
-  third of all files;
-* only source blobs join the contents (other paths never shuffle for it);
-* the per-repository "first N accepted paths" is ``row_number() <= N``, which
-  Spark plans as a WindowGroupLimit: each map task keeps at most N rows per
-  repository before the shuffle, so a huge repository sends N rows per task;
-* per-repository metrics aggregate at most N rows per repository.
+* contents are filtered by their own path and reduced to the wanted files before
+  any of them moves, then resolved to one branch per file with a window keyed by
+  the full file key (owner, repo, path): no hot key even if one repository holds
+  a third of all files;
+* all limits are parameters and off by default; a per-repository "first N" is
+  ``row_number() <= N``, which Spark plans as a WindowGroupLimit: each map task
+  keeps at most N rows per repository before the shuffle;
+* per-repository metrics are partial aggregations over every entry.
 """
 
 from __future__ import annotations
@@ -28,10 +28,9 @@ from ..functions.text import fence, md5_prefix
 from ..functions.webscore import with_repeated_terms
 
 # Fixed values that must equal the reference defaults.
-MAX_FILES_ANALYSED = 50
+FIRST_FILES = 50            # limit of the "first N files" form
+FIRST_PRIORITY_FILES = 30   # limit of the "first N priority files" form
 MIN_SOURCE_WORDS = 90
-MAX_REPOS = 10
-MAX_FILES_PER_REPO = 30
 MIN_FILE_QUALITY = 5.0
 PRIORITY_EXTENSIONS = [".md", ".json", ".yml", ".yaml"]
 FILE_BRANCHES = ["main", "master"]          # raw-file fetch order
@@ -60,6 +59,24 @@ def resolve_branch(contents: DataFrame, branches=FILE_BRANCHES) -> DataFrame:
     return cand.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_prio")
 
 
+def wanted_contents(contents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One branch of each wanted file.  The semi join and the branch window share
+    their keys, so the contents of the wanted files move once and no others stay."""
+    return resolve_branch(contents.join(wanted.select(*FILE_KEY), FILE_KEY, "left_semi"))
+
+
+def resolve_tree(trees: DataFrame, default_branch: str = "default_branch", branches=TREE_BRANCHES) -> DataFrame:
+    """J-5, tree half: per repository the tree of its default branch, else of the
+    first of ``branches`` that has one.  Only branch names are ranked; the chosen
+    (owner, repo, branch) is joined back to the entries."""
+    prio = F.when(F.col("branch") == F.col(default_branch), F.lit(0)).otherwise(
+        F.array_position(F.array(*[F.lit(b) for b in branches]), F.col("branch")))
+    cand = trees.select(*KEY, "branch", prio.alias("_prio")).where(
+        (F.col("branch") == F.col(default_branch)) | F.col("branch").isin(branches))
+    best = cand.groupBy(*KEY).agg(F.min_by("branch", "_prio").alias("branch"))
+    return trees.join(best, [*KEY, "branch"], "left_semi")
+
+
 # ------------------------------------------------------------ path analysis
 
 def path_info(paths: DataFrame) -> DataFrame:
@@ -76,9 +93,9 @@ def path_info(paths: DataFrame) -> DataFrame:
     })
 
 
-def analyse_paths(paths: DataFrame, contents: DataFrame, max_files: int = MAX_FILES_ANALYSED) -> DataFrame:
-    """F-5, P-16/17, F-2 and W-4: the first ``max_files`` accepted entries of each
-    repository in tree order.  Source blobs carry ``content`` (cleaned),
+def analyse_paths(paths: DataFrame, contents: DataFrame, max_files: int | None = None) -> DataFrame:
+    """F-5, P-16/17, F-2 and W-4: the accepted entries of each repository, with
+    ``max_files`` the first so many in tree order.  Source blobs carry ``content`` (cleaned),
     ``code_words``; other entries have nulls there.
 
     A source blob is accepted only if its content exists, is non-empty and has
@@ -88,18 +105,21 @@ def analyse_paths(paths: DataFrame, contents: DataFrame, max_files: int = MAX_FI
     info = path_info(paths.where(~is_unwanted("path")).withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long")))
     src = F.col("is_source") & (F.col("type") == "blob")
     others = info.where(~src).withColumns({"content": F.lit(None).cast("string"), "code_words": F.lit(None).cast("int")})
-    files = resolve_branch(contents).select(*FILE_KEY, F.col("content").alias("_raw"))
+    own = contents.where(~is_unwanted("path") & is_source(path_extension("path", F.lit("blob"))))
+    files = wanted_contents(own, info.where(src)).select(*FILE_KEY, F.col("content").alias("_raw"))
     sources = (info.where(src).join(files, FILE_KEY, "inner")
                .where(F.col("_raw").isNotNull() & (F.col("_raw") != ""))
                .withColumn("content", clean_code("_raw")).drop("_raw"))
-    sources = sources.withColumn("code_words", code_word_count("content"))
+    # fenced: the filter on the word count must not expand the cleaning again
+    sources = fence(sources).withColumn("code_words", code_word_count("content"))
     sources = sources.where(F.col("code_words") >= MIN_SOURCE_WORDS)
     accepted = others.unionByName(sources)
-    w = Window.partitionBy(*KEY).orderBy("pos")
-    limited = accepted.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_files).drop("_rn")
+    if max_files is not None:
+        w = Window.partitionBy(*KEY).orderBy("pos")
+        accepted = accepted.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_files).drop("_rn")
     # fenced: downstream plans reuse this result several times; without the
     # fence the optimizer re-derives constraints over the whole cleaning chain
-    return fence(limited)
+    return fence(accepted)
 
 
 def code_records(analysed: DataFrame) -> DataFrame:
@@ -203,7 +223,7 @@ def extension_maps(analysed: DataFrame) -> DataFrame:
 
 
 def repo_runs(urls: DataFrame, paths: DataFrame, contents: DataFrame,
-              max_files: int = MAX_FILES_ANALYSED) -> tuple[DataFrame, DataFrame]:
+              max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """P-5 + S-3 + analysis per requested URL.
 
     Returns (results, analysed): results has one row per URL with ``error``
@@ -226,7 +246,8 @@ def repo_runs(urls: DataFrame, paths: DataFrame, contents: DataFrame,
            .drop("_has")
            .join(metrics, KEY, "left"))
     res = res.withColumn("files_limit_reached",
-                         F.when(F.col("error").isNull(), F.col("total_files_analyzed") >= max_files))
+                         F.when(F.col("error").isNull(), F.lit(False) if max_files is None
+                                else F.col("total_files_analyzed") >= max_files))
     return fence(res), analysed
 
 
@@ -251,18 +272,25 @@ def summary_table(results: DataFrame, n: int = 10) -> DataFrame:
 
 # ------------------------------------------------------------ file corpus
 
-def top_repos(results: DataFrame, max_repos: int = MAX_REPOS) -> DataFrame:
-    """F-13 + W-2: successful analyses by overall quality desc, request order
-    breaking ties, first ``max_repos``."""
+def top_repos(results: DataFrame, max_repos: int | None = None) -> DataFrame:
+    """F-13 + W-2: successful analyses; with ``max_repos`` the best so many by
+    overall quality, request order breaking ties."""
     ok = results.where(F.col("error").isNull() & F.col("overall_quality").isNotNull())
+    if max_repos is None:
+        return ok
     return ok.orderBy(F.col("overall_quality").desc(), F.col("pos")).limit(max_repos)
 
 
-def priority_files(analysed: DataFrame, max_files_per_repo: int = MAX_FILES_PER_REPO) -> DataFrame:
-    """F-7 + W-3: blobs that are source, config or .md/.json/.yml/.yaml, ordered
-    by (source desc, size > 100 desc, depth asc, tree position), first N."""
-    cand = analysed.where((F.col("type") == "blob") & (
+def candidate_files(analysed: DataFrame) -> DataFrame:
+    """F-7: blobs that are source, config or .md/.json/.yml/.yaml."""
+    return analysed.where((F.col("type") == "blob") & (
         F.col("is_source") | F.col("is_config") | F.col("extension").isin(PRIORITY_EXTENSIONS)))
+
+
+def priority_files(analysed: DataFrame, max_files_per_repo: int) -> DataFrame:
+    """F-7 + W-3: candidate files ordered by (source desc, size > 100 desc, depth
+    asc, tree position), the first ``max_files_per_repo`` of each repository."""
+    cand = candidate_files(analysed)
     w = Window.partitionBy(*KEY).orderBy(F.col("is_source").desc(), (F.col("size") > 100).desc(),
                                          F.col("depth").asc(), F.col("pos").asc())
     return (cand.withColumn("priority", F.row_number().over(w))
@@ -270,23 +298,28 @@ def priority_files(analysed: DataFrame, max_files_per_repo: int = MAX_FILES_PER_
 
 
 def scored_files(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """J-5 + J-2 + P-22/23/24: fetch each priority file (main, then master) and
+    """J-5 + J-2 + P-22/24: fetch each wanted file (main, then master) and
     score the raw content; files without content are dropped.  Per-row
     counters are staged once behind a fence, scores are arithmetic on them."""
-    raw = resolve_branch(contents).select(*FILE_KEY, F.col("content").alias("raw_content"))
+    raw = wanted_contents(contents, files).select(*FILE_KEY, F.col("content").alias("raw_content"))
     j = files.drop("content").join(raw, FILE_KEY, "inner").where(
         F.col("raw_content").isNotNull() & (F.col("raw_content") != ""))
-    j = with_repeated_terms(j, "raw_content")
     staged = fence(j.withColumns(file_quality_inputs("raw_content", "path")))
-    out = staged.withColumns(file_quality_from("raw_content", "extension", "is_source")).withColumn(
-        "coherence_score", file_coherence("raw_content", "repeated_terms"))
+    out = staged.withColumns(file_quality_from("raw_content", "extension", "is_source"))
     return out.drop(*[c for c in staged.columns if c.startswith("_")])
 
 
+def with_file_coherence(scored: DataFrame) -> DataFrame:
+    """P-23: no filter reads it, so it is computed for the files that are left."""
+    out = with_repeated_terms(scored, "raw_content").withColumn(
+        "coherence_score", file_coherence("raw_content", "repeated_terms"))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
 def file_records(scored: DataFrame, min_quality: float = MIN_FILE_QUALITY, min_words: int = MIN_SOURCE_WORDS) -> DataFrame:
     """F-4 + P-6 + P-8 + P-32: nested file records of good files."""
     good = scored.where((F.col("quality_score") >= min_quality) & (F.col("word_count") >= min_words))
-    return good.select(
+    return with_file_coherence(good).select(
         md5_prefix(F.concat_ws("/", *FILE_KEY)).alias("id"),
         F.concat(F.lit("https://raw.githubusercontent.com/"), F.col("owner"), F.lit("/"), F.col("repo"),
                  F.lit("/main/"), F.col("path")).alias("url"),

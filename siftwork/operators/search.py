@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 # Fixed values (search parameters of the reference).
 MIN_STARS = 500
 MAX_RESULTS_PER_TOPIC = 25
-QA_PAGE_SIZE = 20
 QA_MIN_SCORE = 5
 
 
@@ -26,9 +25,11 @@ def top_per_topic(repos: DataFrame, topic: str, stars: str, key: str,
 
 
 def qa_items(items: DataFrame, query: str, score: str, key: str,
-             page_size: int = QA_PAGE_SIZE, min_score: float = QA_MIN_SCORE) -> DataFrame:
-    """S-8 + F-10: a result page of ``page_size`` items per query by score,
-    then items scoring at least ``min_score`` (missing score = 0)."""
+             page_size: int | None = None, min_score: float = QA_MIN_SCORE) -> DataFrame:
+    """S-8 + F-10: items scoring at least ``min_score`` (missing score = 0); with
+    ``page_size`` the first so many per query by score."""
+    good = items.where(F.coalesce(F.col(score), F.lit(0)) >= min_score)
+    if page_size is None:
+        return good
     w = Window.partitionBy(query).orderBy(F.col(score).desc_nulls_last(), F.col(key).asc())
-    page = items.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= page_size)
-    return page.where(F.coalesce(F.col(score), F.lit(0)) >= min_score)
+    return good.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= page_size)

@@ -27,13 +27,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 GENERATION_OPTIONS = {"temperature": 0.8, "top_p": 0.9, "max_new_tokens": 512, "do_sample": True}
 JUDGE_OPTIONS = {"temperature": 0.3, "top_p": 0.8, "max_new_tokens": 300, "do_sample": True}
 
-def _model(loader: Callable[[], Callable], name: str) -> Callable:
+def _model(loader: Callable[[], Callable], key: tuple[str, str]) -> Callable:
     """The loaded model, once per Python worker process (workers are reused
     across tasks, so the cache lives in the process, not in the task)."""
     cache = builtins.__dict__.setdefault("_siftwork_models", {})
-    if name not in cache:
-        cache[name] = loader()
-    return cache[name]
+    if key not in cache:
+        cache[key] = loader()
+    return cache[key]
 
 
 def batch_generate(prompts: DataFrame, loader: Callable[[], Callable], prompt: str = "prompt",
@@ -42,6 +42,8 @@ def batch_generate(prompts: DataFrame, loader: Callable[[], Callable], prompt: s
     """Adds ``generated_text`` / ``error`` per prompt row; other columns in
     ``keys`` are carried through."""
     opts = dict(options or {})
+    # two loaders never share a model, whatever they are called
+    model_key = (model_name, hashlib.sha256(cloudpickle.dumps(loader)).hexdigest())
     src = prompts.select(*keys, prompt)
     if partitions:
         src = src.repartition(partitions)
@@ -50,7 +52,7 @@ def batch_generate(prompts: DataFrame, loader: Callable[[], Callable], prompt: s
                                   StructField("error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(loader, model_name)
+        model = _model(loader, model_key)
         for pdf in batches:
             texts = pdf[prompt].fillna("").tolist()
             out: list = []

@@ -125,15 +125,16 @@ def source_breakdown(records: DataFrame) -> DataFrame:
 
 
 def url_frontier(seeds: DataFrame, found: DataFrame, seen: DataFrame, url: str = "url",
-                 max_pages: int = MAX_PAGES) -> DataFrame:
-    """SET-2 + W-10 + J-4: seed URLs then searched URLs (bag union), capped at
-    ``max_pages`` in (origin, position) order; a URL is handled once (first
-    sighting) and never if it was already scraped (anti join)."""
+                 max_pages: int | None = None) -> DataFrame:
+    """SET-2 + W-10 + J-4: seed URLs then searched URLs (bag union); a URL is handled
+    once (first sighting) and never if it was already scraped (anti join).  With
+    ``max_pages`` only the first so many in (origin, position) order are candidates."""
     cand = seeds.select(F.col(url).alias("url"), F.lit(0).alias("origin"), F.col("pos")).unionByName(
         found.select(F.col(url).alias("url"), F.lit(1).alias("origin"), F.col("pos"))
     )
-    capped = cand.orderBy("origin", "pos").limit(max_pages)  # top-k: at most max_pages rows after this
-    first = capped.withColumn(
+    if max_pages is not None:
+        cand = cand.orderBy("origin", "pos").limit(max_pages)  # top-k: at most max_pages rows after this
+    first = cand.withColumn(
         "_rn", F.row_number().over(Window.partitionBy("url").orderBy("origin", "pos"))
     ).where(F.col("_rn") == 1).drop("_rn")
     return first.join(seen.select(F.col(url).alias("url")).distinct(), "url", "left_anti")

@@ -10,7 +10,7 @@ from ..operators import chat as C
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
 from .q_pages import _strip
-from .registry import DWS, memo, oracle, register
+from .registry import DWS, oracle, register
 
 BATCH_SIZE = 8   # fx_completions batches are floor(conv_id / 8)
 
@@ -89,7 +89,7 @@ ex_hash AS (SELECT DISTINCT md5({_strip("coalesce(u, '')")} || {_strip("coalesce
 
 _UNIQUE_SQL = "WITH " + extraction_ctes() + "," + _existing_ctes() + f""",
 vp AS (SELECT *, md5({_strip('"user"')} || {_strip('assistant')}) AS pair_hash FROM px
-       WHERE length("user") > 5 AND length(assistant) > 5 AND attempt <= 3),
+       WHERE length("user") > 5 AND length(assistant) > 5),
 fresh AS (SELECT * FROM vp WHERE pair_hash NOT IN (SELECT pair_hash FROM ex_hash)),
 ch AS (SELECT * FROM fresh WHERE attempt = (SELECT min(f2.attempt) FROM fresh f2 WHERE f2.batch_id = fresh.batch_id)),
 uq AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY pair_hash ORDER BY batch_id, attempt, pos, prompt_id) AS rn FROM ch)
@@ -110,21 +110,17 @@ def completions(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    return memo(spark, sf_dir, ("pairs",), lambda: C.extract_pairs(completions(spark, sf_dir)))
+    return C.extract_pairs(completions(spark, sf_dir))
 
 
 def flat_conversations(spark, sf_dir):
-    def build():
-        conv = read_table(spark, sf_dir, "conversations")
-        flat = C.flat_positions(conv, "conv_id", "turn")
-        return flat.select("idx", "role", F.col("text").alias("content"),
-                           F.col("text").isNotNull().alias("has_content"))
-    return memo(spark, sf_dir, ("flat_conversations",), build)
+    conv = read_table(spark, sf_dir, "conversations")
+    flat = C.flat_positions(conv, "conv_id", "turn")
+    return flat.select("idx", "role", F.col("text").alias("content"), F.col("text").isNotNull().alias("has_content"))
 
 
 def unique(spark, sf_dir):
-    return memo(spark, sf_dir, ("unique_pairs",), lambda: C.unique_pairs(
-        pairs(spark, sf_dir), C.existing_hashes(flat_conversations(spark, sf_dir))))
+    return C.unique_pairs(pairs(spark, sf_dir), C.existing_hashes(flat_conversations(spark, sf_dir)))
 
 
 @register("pair_extract", oracle(["fx_completions"], "WITH " + extraction_ctes() + """
@@ -143,20 +139,21 @@ def pair_unique(spark, sf_dir):
 
 @register("pair_union", oracle(["fx_completions"], _UNIQUE_SQL + """,
 xe AS (SELECT pid, u, a FROM xp WHERE n = 2)
-SELECT 'existing' AS origin, pid AS entry_idx, u AS user_content, 'user' AS user_role, a AS assistant_content, 'assistant' AS assistant_role FROM xe
+SELECT 'existing' AS origin, pid AS entry_idx, 0 AS entry_pos, u AS user_content, 'user' AS user_role, a AS assistant_content, 'assistant' AS assistant_role FROM xe
 UNION ALL
-SELECT 'generated', batch_id * 1000000 + pos, "user", 'user', assistant, 'assistant' FROM uq"""))
+SELECT 'generated', batch_id, pos, "user", 'user', assistant, 'assistant' FROM uq"""))
 def pair_union(spark, sf_dir):
     """SET-1 + P-31: existing entries then generated entries as nested
     messages (flattened for comparison)."""
     flat = flat_conversations(spark, sf_dir).withColumnRenamed("has_content", "has_content")
     ex = C.flat_to_pairs(flat).where(F.col("n") == 2).select(
-        F.lit("existing").alias("origin"), F.col("pair_idx").alias("entry_idx"), "user", "assistant")
-    gen = unique(spark, sf_dir).select(F.lit("generated").alias("origin"),
-                                       (F.col("batch_id") * 1000000 + F.col("pos")).alias("entry_idx"), "user", "assistant")
+        F.lit("existing").alias("origin"), F.col("pair_idx").alias("entry_idx"), F.lit(0).cast("long").alias("entry_pos"),
+        "user", "assistant")
+    gen = unique(spark, sf_dir).select(F.lit("generated").alias("origin"), F.col("batch_id").cast("long").alias("entry_idx"),
+                                       F.col("pos").cast("long").alias("entry_pos"), "user", "assistant")
     entries = C.nested_entries(ex.unionByName(gen))
     m = F.col("messages")
-    return entries.select("origin", "entry_idx", m[0]["content"].alias("user_content"), m[0]["role"].alias("user_role"),
+    return entries.select("origin", "entry_idx", "entry_pos", m[0]["content"].alias("user_content"), m[0]["role"].alias("user_role"),
                           m[1]["content"].alias("assistant_content"), m[1]["role"].alias("assistant_role"))
 
 
@@ -260,6 +257,17 @@ def entry_profile(spark, sf_dir):
     return C.entry_shapes(fixture(spark, sf_dir, "fx_entry_json"))
 
 
+@register("entry_key_profile", oracle(["fx_entry_json"], """
+WITH o AS (SELECT entry, unnest(json_keys(entry)) AS key FROM fx_entry_json WHERE json_valid(entry) AND json_type(entry) = 'OBJECT'),
+t AS (SELECT key, json_extract(entry, '$.' || key) AS value FROM o),
+k AS (SELECT key, CASE json_type(value) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'scalar' END AS value_kind,
+             CASE WHEN json_type(value) = 'ARRAY' THEN CAST(json_array_length(value) AS INTEGER) END AS items FROM t)
+SELECT key, value_kind, items, count(*) AS entries FROM k GROUP BY ALL"""))
+def entry_key_profile(spark, sf_dir):
+    """A-18: kinds of value and list sizes per key."""
+    return C.key_profile(fixture(spark, sf_dir, "fx_entry_json"))
+
+
 @register("entry_preview", oracle(["fx_entry_json"], """
 SELECT entry_idx, substr(entry, 1, 200) AS preview FROM fx_entry_json ORDER BY entry_idx LIMIT 3"""))
 def entry_preview(spark, sf_dir):
@@ -387,3 +395,18 @@ def judge_prompt_q(spark, sf_dir):
     m = F.col("messages")
     return entries.select(F.col("pair_idx").alias("entry_idx"),
                           F.md5(judge_prompt(m[0]["content"], m[1]["content"])).alias("prompt_md5"))
+
+
+_SPEC_WORDS = """
+SELECT conv_id, turn, concat('Say {', split_part(text, ' ', 1), '} or {', split_part(text, ' ', 2), ' x} to {user_', role, '}') AS template
+FROM conversations
+"""
+
+
+@register("template_vars_words", oracle([], "WITH sp AS (" + _SPEC_WORDS + """)
+SELECT conv_id, turn, unnest(list_sort(list_distinct(regexp_extract_all(template, '\\{([\\pL\\pN_]+)\\}', 1)))) AS var FROM sp"""))
+def template_vars_words(spark, sf_dir):
+    """P-25, interactive form: only names of word characters are variables."""
+    from ..functions.chat import WORD_NAME, template_variables
+    sp = _specs(spark, sf_dir, _SPEC_WORDS, "conversations")
+    return sp.select("conv_id", "turn", F.explode(template_variables(F.col("template"), name=WORD_NAME)).alias("var"))

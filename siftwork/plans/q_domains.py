@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.domains import TOPICAL_KEYWORDS
 from ..operators import domains as dom
+from ..session import fresh_path
 from ..sources.fixtures import fixture
 from .registry import DWS, oracle, register
 
@@ -47,3 +50,25 @@ FROM per LEFT JOIN newd ON newd.request = per.request"""))
 def domain_progress(spark, sf_dir):
     """S-4 + A-19: rows processed and unique domains after each request of 100 rows."""
     return dom.scan_progress(fixture(spark, sf_dir, "fx_domains"))
+
+
+@register("domain_nested_rows", oracle(["fx_domains"], "SELECT row_id, domain FROM fx_domains"))
+def domain_nested_rows(spark, sf_dir):
+    """S-4: rows read back from scan pages in the API's nested JSON form."""
+    rows = fixture(spark, sf_dir, "fx_domains")
+    entry = F.struct(F.col("row_id").alias("row_idx"), F.struct("domain").alias("row"))
+    pages = rows.groupBy(F.floor(F.col("row_id") / dom.ROWS_PER_REQUEST)).agg(
+        F.to_json(F.struct(F.collect_list(entry).alias("rows"))).alias("body")).select("body")
+    schema = "rows array<struct<row_idx:bigint,row:struct<domain:string>>>"
+    return dom.nested_rows(pages.select(F.from_json("body", schema)["rows"].alias("rows")))
+
+
+@register("sink_url_text", oracle(["fx_domains"], "WITH " + _CLEAN_SQL + f""",
+dd AS (SELECT DISTINCT clean_domain AS domain FROM cd WHERE clean_domain <> '')
+SELECT 'https://' || domain AS value FROM dd WHERE {_TOPICAL_SQL}"""))
+def sink_url_text(spark, sf_dir):
+    """K-4: the topical URLs as a text dataset, one per line, read back."""
+    path = fresh_path(spark, "url-text")
+    cleaned = dom.cleaned_domains(fixture(spark, sf_dir, "fx_domains"))
+    dom.write_url_list(dom.topical_urls(dom.distinct_domains(cleaned)), path)
+    return spark.read.text(path)

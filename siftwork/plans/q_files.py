@@ -9,7 +9,7 @@ from ..operators import repos as R
 from ..operators import search as S
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
-from .q_repos import _memo, analysis_ctes, analysed, runs, runs_ctes
+from .q_repos import analysis_ctes, analysed, runs, runs_ctes
 from .q_web import _KW_SQL
 from .registry import DWORD, DWS, oracle, register
 
@@ -20,13 +20,13 @@ _W = r"[\pL\pN_]"
 # ---------------------------------------------------------------- oracle side
 
 
-def _priority_cte(src: str = "analysed") -> str:
+def _priority_cte(src: str = "analysed", limit: int | None = None) -> str:
     return f"""
 prio AS (SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY owner, repo
               ORDER BY is_source DESC, coalesce(size, 0) > 100 DESC, depth ASC, pos ASC) AS priority
     FROM {src} WHERE type = 'blob' AND (is_source OR is_config OR extension IN ('.md', '.json', '.yml', '.yaml')))
-  WHERE priority <= 30)
+  {f"WHERE priority <= {limit}" if limit else ""})
 """
 
 
@@ -86,11 +86,11 @@ fq AS (SELECT fb.owner, fb.repo, fb.path, CAST(wc AS INTEGER) AS word_count,
 
 # ----------------------------------------------------------------- spark side
 
-@register("priority_files", oracle(_FX, "WITH " + analysis_ctes() + "," + _priority_cte() + """
+@register("priority_files", oracle(_FX, "WITH " + analysis_ctes() + "," + _priority_cte(limit=30) + """
 SELECT owner, repo, path, priority FROM prio"""))
 def priority_files(spark, sf_dir):
-    """F-7 + W-3: per repository, priority files in (source, size, depth, position) order."""
-    return R.priority_files(analysed(spark, sf_dir)).select("owner", "repo", "path", "priority")
+    """F-7 + W-3: per repository, the first 30 priority files in (source, size, depth, position) order."""
+    return R.priority_files(analysed(spark, sf_dir), R.FIRST_PRIORITY_FILES).select("owner", "repo", "path", "priority")
 
 
 @register("branch_fallback", oracle(["fx_paths", "fx_code_files", "fx_branch_files"], "WITH " + _branch_cte("fx_branch_files") + """
@@ -113,23 +113,21 @@ SELECT owner, repo, path, word_count, round(quality_score, 6) AS quality_score,
 def file_quality(spark, sf_dir):
     """P-22 + P-23 + P-24: quality, coherence, complexity and flags of fetched files."""
     info = R.path_info(fixture(spark, sf_dir, "fx_paths"))
-    sc = R.scored_files(info, fixture(spark, sf_dir, "fx_code_files"))
+    sc = R.with_file_coherence(R.scored_files(info, fixture(spark, sf_dir, "fx_code_files")))
     return sc.select("owner", "repo", "path", *_FQ_COLS[:1],
                      *[F.round(c, 6).alias(c) for c in ("quality_score", "coherence_score", "complexity_score")],
                      *_FQ_COLS[1:])
 
 
 def _records(spark, sf_dir):
-    def build():
-        res, an = runs(spark, sf_dir)
-        top = R.top_repos(res).select(*R.KEY)
-        files = R.priority_files(an.join(top, R.KEY, "left_semi"))
-        return R.file_records(R.scored_files(files, fixture(spark, sf_dir, "fx_code_files")))
-    return _memo(spark, sf_dir, ("file_records",), build)
+    res, an = runs(spark, sf_dir)
+    top = R.top_repos(res).select(*R.KEY)
+    files = R.candidate_files(an.join(top, R.KEY, "left_semi"))
+    return R.file_records(R.scored_files(files, fixture(spark, sf_dir, "fx_code_files")))
 
 
 _RECORDS_SQL = "WITH " + runs_ctes() + """,
-toprepos AS (SELECT owner, repo FROM runs WHERE error IS NULL ORDER BY overall_quality DESC, pos LIMIT 10),
+toprepos AS (SELECT owner, repo FROM runs WHERE error IS NULL AND overall_quality IS NOT NULL),
 an2 AS (SELECT a.* FROM analysed a JOIN toprepos t ON t.owner = a.owner AND t.repo = a.repo),""" + _priority_cte("an2") + "," + _branch_cte() + """,
 fsrc AS (SELECT p.owner, p.repo, p.path, p.extension, p.is_source, rb.content AS raw
          FROM prio p JOIN rb ON rb.owner = p.owner AND rb.repo = p.repo AND rb.path = p.path
@@ -178,13 +176,11 @@ def topic_topn(spark, sf_dir):
     return S.top_per_topic(c, "topic", "stars", "c_custkey").select("topic", "c_custkey", "stars", "rnk")
 
 
-@register("qa_select", oracle([], f"""
-SELECT event_type, event_id, value, 'https://stackoverflow.com/questions/' || CAST(event_id AS VARCHAR) AS link FROM (
-  SELECT event_type, event_id, value,
-         row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST, event_id) AS rnk
-  FROM events) WHERE rnk <= {S.QA_PAGE_SIZE} AND coalesce(value, 0) >= {S.QA_MIN_SCORE}"""))
+@register("qa_select", oracle([], """
+SELECT event_type, event_id, value, 'https://stackoverflow.com/questions/' || CAST(event_id AS VARCHAR) AS link
+FROM events WHERE coalesce(value, 0) >= 5"""))
 def qa_select(spark, sf_dir):
-    """S-8 + F-10: per query, a page of 20 items by score, then score >= 5."""
+    """S-8 + F-10: items scoring 5 or more."""
     ev = read_table(spark, sf_dir, "events").select("event_type", "event_id", "value")
     sel = S.qa_items(ev, "event_type", "value", "event_id")
     return sel.select("event_type", "event_id", "value",

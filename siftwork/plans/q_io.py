@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..session import scratch_path
-from ..sources.io import read_dataset, write_dataset
+from ..operators import chat as C
+from ..session import fresh_path
+from ..sources.fixtures import fixture
+from ..sources.io import append_increment, read_dataset, read_json_documents, write_dataset
 from ..sources.tables import read_table
+from .q_chat import _NESTED_SQL
 from .registry import oracle, register
 
 CONVERSATION_SCHEMA = StructType([
@@ -19,9 +23,98 @@ CONVERSATION_SCHEMA = StructType([
 def json_roundtrip(spark, sf_dir):
     """K-1 then S-1: the conversations written as UTF-8 JSON lines and read
     back with an explicit schema: the same rows come back."""
-    import uuid
-
-    path = scratch_path(spark, f"json-roundtrip-{uuid.uuid4().hex[:12]}")
+    path = fresh_path(spark, "json-roundtrip")
     write_dataset(read_table(spark, sf_dir, "conversations"), path, mode="overwrite")
     back = read_dataset(spark, path, CONVERSATION_SCHEMA)
     return back.select("conv_id", "turn", "role", "text")
+
+
+def _turns(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+
+def _back(spark, path):
+    return read_dataset(spark, path, CONVERSATION_SCHEMA).select("conv_id", "turn", "role", "text")
+
+
+@register("sink_overwrite", oracle([], "SELECT conv_id, turn, role, text FROM conversations WHERE role = 'assistant'"))
+def sink_overwrite(spark, sf_dir):
+    """K-2: a dataset written again holds the second contents only."""
+    path = fresh_path(spark, "overwrite")
+    write_dataset(_turns(spark, sf_dir), path)
+    write_dataset(_turns(spark, sf_dir).where("role = 'assistant'"), path)
+    return _back(spark, path)
+
+
+@register("sink_append", oracle([], "SELECT conv_id, turn, role, text FROM conversations"))
+def sink_append(spark, sf_dir):
+    """S-2 + K-3: no dataset is an empty one; increments are added to it."""
+    path = fresh_path(spark, "append")
+    before = _back(spark, path)
+    turns = _turns(spark, sf_dir)
+    append_increment(before.unionByName(turns.where("turn < 2")), path)
+    append_increment(turns.where("turn >= 2"), path)
+    return _back(spark, path)
+
+
+@register("sink_ignore", oracle([], """
+SELECT 'kept' AS output, conv_id, turn FROM conversations WHERE role = 'user'
+UNION ALL SELECT 'was empty', conv_id, turn FROM conversations"""))
+def sink_ignore(spark, sf_dir):
+    """K-7: an output with records is kept, one without is written."""
+    turns = _turns(spark, sf_dir)
+    kept, empty = fresh_path(spark, "ignore"), fresh_path(spark, "ignore-empty")
+    write_dataset(turns.where("role = 'user'"), kept)
+    write_dataset(turns.where("false"), empty)
+    out = []
+    for name, path in (("kept", kept), ("was empty", empty)):
+        write_dataset(turns, path, mode="ignore")
+        out.append(_back(spark, path).select(F.lit(name).alias("output"), "conv_id", "turn"))
+    return out[0].unionByName(out[1])
+
+
+def _documents(spark, sf_dir, path):
+    """One JSON document per 16 conversations: an array of entries, but some are broken
+    off, objects, or empty."""
+    e = fixture(spark, sf_dir, "fx_entry_json")
+    bucket = F.floor(F.col("entry_idx") / 16).cast("long")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_idx", "entry"))), lambda x: x["entry"]), ",")
+    docs = e.groupBy(bucket.alias("bucket")).agg(joined.alias("all"))
+    kind = F.col("bucket") % 5
+    text = (F.when(kind == 1, F.concat(F.lit("["), "all")).when(kind == 2, F.lit('{"messages":[]}'))
+            .when(kind == 3, F.lit("[]")).otherwise(F.concat(F.lit("["), "all", F.lit("]"))))
+    docs.select("bucket", text.alias("value")).write.partitionBy("bucket").text(path)
+
+
+_BUCKETS_SQL = _NESTED_SQL + """,
+e AS (SELECT v.*, v.entry_idx // 16 AS bucket, row_number() OVER (PARTITION BY v.entry_idx // 16 ORDER BY v.entry_idx) - 1 AS place FROM v),
+f AS (SELECT bucket, bucket % 5 AS kind, count(*) AS n, min(place) FILTER (WHERE rule IS NOT NULL) AS first_at FROM e GROUP BY bucket)
+"""
+
+
+@register("validate_files", oracle(["fx_entry_json"], _BUCKETS_SQL + """
+SELECT f.bucket, CASE WHEN kind IN (0, 4) THEN n ELSE 0 END AS entries,
+       kind IN (0, 4) AND first_at IS NULL AS is_valid,
+       CASE kind WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE e.rule END AS first_violation_rule,
+       CASE WHEN kind IN (0, 4) THEN first_at END AS first_violation_entry
+FROM f LEFT JOIN e ON e.bucket = f.bucket AND e.place = f.first_at"""))
+def validate_files(spark, sf_dir):
+    """V-2 on whole dataset files: malformed, not an array, empty, or the first bad entry."""
+    path = fresh_path(spark, "documents")
+    _documents(spark, sf_dir, path)
+    out = C.validate_dataset_files(spark, path)
+    bucket = F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long")
+    return out.select(bucket.alias("bucket"), "entries", "is_valid", "first_violation_rule", "first_violation_entry")
+
+
+@register("read_rejects", oracle(["fx_entry_json"], _BUCKETS_SQL + """,
+bad AS (SELECT entry_idx // 16 AS bucket, bool_or(json_type(entry) <> 'OBJECT') AS odd FROM fx_entry_json GROUP BY 1)
+SELECT f.bucket, CASE WHEN kind = 1 THEN 'not JSON' WHEN kind = 2 THEN 'not an array' ELSE 'an entry is not an object' END AS reason
+FROM f JOIN bad ON bad.bucket = f.bucket WHERE kind IN (1, 2) OR (kind IN (0, 4) AND odd)"""))
+def read_rejects(spark, sf_dir):
+    """S-1: dataset files that the reader refuses, each with the reason."""
+    path = fresh_path(spark, "documents")
+    _documents(spark, sf_dir, path)
+    schema = StructType([StructField("foo", LongType())])
+    _, rejects = read_json_documents(spark, path, schema)
+    return rejects.select(F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("bucket"), "reason")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.judge import DIMENSIONS, SCORE_KEYS
 from ..operators import judge as J
+from ..session import fresh_path
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
 from .q_pages import _strip
@@ -87,3 +88,20 @@ def judge_summary(spark, sf_dir):
     s = J.evaluation_summary(evals(spark, sf_dir))
     return s.select(*[F.round(c, 6).alias(c) if c.startswith("avg_") or c == "quality_rate" else F.col(c)
                       for c in s.columns])
+
+
+@register("sink_evaluation", oracle(["fx_evaluations"], _SCORES_SQL + "," + _ENTRIES_SQL + """,
+k AS (SELECT entry_id FROM ev WHERE well_formed AND overall >= 6.0)
+SELECT 'dataset' AS part, entry_id FROM k
+UNION ALL SELECT 'evaluations', entry_id FROM ev WHERE well_formed
+UNION ALL SELECT 'summary', count(*) FROM k"""))
+def sink_evaluation(spark, sf_dir):
+    """K-6: the filtered dataset and the evaluation report, read back."""
+    path = fresh_path(spark, "evaluation")
+    J.write_evaluation(entries(spark, sf_dir), evals(spark, sf_dir), path)
+    kept = spark.read.schema("entry_id long").json(f"{path}/dataset")
+    every = spark.read.schema("entry_id long").json(f"{path}/evaluation_report/evaluations")
+    summary = spark.read.schema("high_quality_count long").json(f"{path}/evaluation_report/summary")
+    return (kept.select(F.lit("dataset").alias("part"), "entry_id")
+            .unionByName(every.select(F.lit("evaluations").alias("part"), "entry_id"))
+            .unionByName(summary.select(F.lit("summary").alias("part"), F.col("high_quality_count").alias("entry_id"))))

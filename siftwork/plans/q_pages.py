@@ -164,6 +164,28 @@ def page_code_blocks(spark, sf_dir):
     return x.select("page_id", "content", (web.count_substr(F.col("content"), "```") / 2).cast("int").alias("code_blocks"))
 
 
+@register("page_nested_regions", oracle([], "WITH " + extraction_ctes("pages") + """
+SELECT px.page_id, trim(CASE px.page_id % 5 WHEN 0 THEN concat('zq', px.page_id, ' ', content) WHEN 1 THEN concat('zq', px.page_id, ' ', content)
+         WHEN 2 THEN concat('zq’s café — ', content) ELSE content END) AS content
+FROM px JOIN pages p ON p.page_id = px.page_id WHERE contains(p.html, '<article>') AND contains(p.html, '</article>')"""))
+def page_nested_regions(spark, sf_dir):
+    """P-12: regions that hold elements of their own name, class regions, references
+    of every kind, and dropped elements that are never closed."""
+    mark = F.concat(F.lit("zq"), F.col("page_id").cast("string"))
+    kind = F.col("page_id") % 5
+    opened = (F.when(kind == 0, F.concat(F.lit("<article><div class=toc><article>"), mark, F.lit("</article></div>")))
+              .when(kind == 1, F.concat(F.lit('<section class="big content"><section><div>'), mark, F.lit("</div></section>")))
+              .when(kind == 2, F.lit("<article><p>zq&#8217;s caf&eacute; &#x2014;</p>"))
+              .when(kind == 3, F.lit("<article><div><aside>gone<p>too</div>"))
+              .otherwise(F.lit("<div><nav>gone</div><article>")))
+    closed = F.when(kind == 1, F.lit("</section>")).otherwise(F.lit("</article>"))
+    pages = read_table(spark, sf_dir, "pages").where(
+        F.col("html").contains("<article>") & F.col("html").contains("</article>"))
+    nested = pages.select("page_id", F.replace(F.replace("html", F.lit("<article>"), opened), F.lit("</article>"),
+                                               closed).alias("html"))
+    return extract_pages(nested).select("page_id", "content")
+
+
 @register("page_source_type", oracle(["fx_page_urls"], f"""
 SELECT {_source_type_sql('url')} AS source_type, count(*) AS pages
 FROM fx_page_urls GROUP BY 1"""))
@@ -226,12 +248,11 @@ WITH cand AS (
   SELECT url, 0 AS origin, page_id AS pos FROM pages
   UNION ALL
   SELECT regexp_replace(url, '[?#].*$', '') AS url, 1 AS origin, page_id AS pos FROM pages),
-capped AS (SELECT * FROM cand ORDER BY origin, pos LIMIT 50),
-firsts AS (SELECT url, origin, pos, row_number() OVER (PARTITION BY url ORDER BY origin, pos) AS rn FROM capped),
+firsts AS (SELECT url, origin, pos, row_number() OVER (PARTITION BY url ORDER BY origin, pos) AS rn FROM cand),
 seen AS (SELECT DISTINCT url FROM pages WHERE contains(url, '/en/'))
 SELECT f.url, f.origin, f.pos FROM firsts f WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.url = f.url)"""))
 def url_frontier(spark, sf_dir):
-    """SET-2 + W-10 + J-4: seed then searched URLs, capped, first sighting, minus seen URLs."""
+    """SET-2 + W-10 + J-4: all seed then searched URLs, first sighting, minus seen URLs."""
     pages = read_table(spark, sf_dir, "pages")
     seeds = pages.select("url", F.col("page_id").alias("pos"))
     found = pages.select(F.regexp_replace("url", r"[?#].*$", "").alias("url"), F.col("page_id").alias("pos"))

@@ -15,9 +15,9 @@ from ..functions.paths import (
 from ..operators import repos as R
 from ..functions.text import fence
 from ..sources.fixtures import fixture
-from .registry import DWS, memo as _memo, oracle, register
+from .registry import DWS, oracle, register
 
-ANALYSIS_MAX_FILES = 20   # per-repository analysis limit used by the registered queries
+FIRST_N = 20   # limit of the "first N files" query
 
 # ---------------------------------------------------------------- oracle side
 
@@ -96,8 +96,8 @@ def code_score_sql(c: str = "content", path: str = "path") -> tuple[str, str, st
     return wc, quality, coherence
 
 
-def analysis_ctes(max_files: int = ANALYSIS_MAX_FILES, files_src: str = "fx_code_files") -> str:
-    """CTEs ending in ``analysed``: accepted entries (F-5, F-2) limited per repo (W-4)."""
+def analysis_ctes(max_files: int | None = None, files_src: str = "fx_code_files") -> str:
+    """CTEs ending in ``analysed``: accepted entries (F-5, F-2), optionally limited per repo (W-4)."""
     wc, _, _ = code_score_sql("c.content")
     return path_info_ctes() + "," + clean_ctes(files_src) + f""",
 srcs AS (SELECT p.*, c.content, CAST({wc} AS INTEGER) AS code_words
@@ -111,7 +111,7 @@ acc AS (SELECT owner, repo, pos, path, type, size, depth, extension, is_config,
         SELECT owner, repo, pos, path, type, size, depth, extension, is_config, is_source, is_test, is_docs, content, code_words
         FROM srcs WHERE code_words >= 90),
 analysed AS (SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY owner, repo ORDER BY pos) AS rn FROM acc) WHERE rn <= {max_files})
+    SELECT *, row_number() OVER (PARTITION BY owner, repo ORDER BY pos) AS rn FROM acc) {f"WHERE rn <= {max_files}" if max_files else ""})
 """
 
 
@@ -156,7 +156,7 @@ metrics AS (SELECT *, (structure_score + completeness_score + organization_score
 """
 
 
-def runs_ctes(max_files: int = ANALYSIS_MAX_FILES) -> str:
+def runs_ctes(max_files: int | None = None) -> str:
     """CTE ``runs``: one row per requested URL with error or metrics."""
     return analysis_ctes(max_files) + "," + metrics_ctes() + f""",
 u0 AS (SELECT url, pos, list_filter(string_split(regexp_replace(regexp_extract(url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1),
@@ -187,15 +187,13 @@ def _contents(spark, sf_dir, name="fx_code_files"):
     return fixture(spark, sf_dir, name)
 
 
-def analysed(spark, sf_dir, max_files=ANALYSIS_MAX_FILES):
-    return _memo(spark, sf_dir, ("analysed", max_files),
-                 lambda: R.analyse_paths(_paths(spark, sf_dir), _contents(spark, sf_dir), max_files))
+def analysed(spark, sf_dir, max_files=None):
+    return R.analyse_paths(_paths(spark, sf_dir), _contents(spark, sf_dir), max_files)
 
 
-def runs(spark, sf_dir, max_files=ANALYSIS_MAX_FILES):
+def runs(spark, sf_dir, max_files=None):
     urls = fixture(spark, sf_dir, "fx_repo_urls")
-    return _memo(spark, sf_dir, ("runs", max_files),
-                 lambda: R.repo_runs(urls, _paths(spark, sf_dir), _contents(spark, sf_dir), max_files))
+    return R.repo_runs(urls, _paths(spark, sf_dir), _contents(spark, sf_dir), max_files)
 
 
 @register("tree_explode", oracle(["fx_paths"], "WITH " + path_info_ctes() + """
@@ -249,14 +247,27 @@ def code_scores(spark, sf_dir):
 _WC2, _Q2, _C2 = code_score_sql("content", "path")
 
 
-@register("code_corpus", oracle(["fx_paths", "fx_code_files"], "WITH " + analysis_ctes() + f"""
+_CORPUS_SQL = f"""
 SELECT substr(md5(owner || '/' || repo || '/' || path), 1, 12) AS id, owner || '/' || repo AS repository,
        path AS file_path, md5(content) AS content_md5, code_words AS word_count,
        round({_Q2}, 6) AS quality_score, round({_C2}, 6) AS coherence_score, extension AS file_extension, depth
-FROM analysed WHERE content IS NOT NULL"""))
+FROM analysed WHERE content IS NOT NULL"""
+
+
+@register("code_corpus", oracle(["fx_paths", "fx_code_files"], "WITH " + analysis_ctes() + _CORPUS_SQL))
 def code_corpus(spark, sf_dir):
-    """F-5 + F-2 + W-4 + P-6: code records of accepted source files, first 20 accepted per repo."""
-    rec = R.code_records(analysed(spark, sf_dir))
+    """F-5 + F-2 + P-6: code records of all accepted source files."""
+    return _corpus(analysed(spark, sf_dir))
+
+
+@register("code_corpus_first_n", oracle(["fx_paths", "fx_code_files"], "WITH " + analysis_ctes(FIRST_N) + _CORPUS_SQL))
+def code_corpus_first_n(spark, sf_dir):
+    """W-4: the same, of the first 20 accepted entries of each repository."""
+    return _corpus(analysed(spark, sf_dir, FIRST_N))
+
+
+def _corpus(entries):
+    rec = R.code_records(entries)
     return rec.select("id", "repository", "file_path", F.md5("content").alias("content_md5"), "word_count",
                       F.round("quality_score", 6).alias("quality_score"),
                       F.round("coherence_score", 6).alias("coherence_score"), "file_extension", "depth")
@@ -287,10 +298,40 @@ def repo_extensions(spark, sf_dir):
     return R.extension_histogram(analysed(spark, sf_dir))
 
 
-@register("repo_run_summary", oracle(["fx_paths", "fx_code_files", "fx_page_urls", "fx_repo_urls"], "WITH " + runs_ctes() + f"""
+@register("repo_extension_maps", oracle(["fx_paths", "fx_code_files"], "WITH " + analysis_ctes() + """,
+h AS (SELECT owner, repo, extension, count(*) AS files FROM analysed
+      WHERE extension IS NOT NULL AND extension <> '' GROUP BY owner, repo, extension)
+SELECT owner, repo, string_agg(extension || '=' || files, ',' ORDER BY extension) AS extensions FROM h GROUP BY owner, repo"""))
+def repo_extension_maps(spark, sf_dir):
+    """A-2: the histogram as one map per repository (written out in order to compare)."""
+    m = R.extension_maps(analysed(spark, sf_dir))
+    pairs = F.array_sort(F.map_entries("file_extensions"))
+    return m.select("owner", "repo", F.array_join(F.transform(
+        pairs, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("extensions"))
+
+
+@register("tree_branch_fallback", oracle(["fx_paths"], """
+WITH tb AS (SELECT owner, repo, b.branch, b.d AS default_branch, pos, path FROM fx_paths,
+              (VALUES ('trunk', 'trunk'), ('dev', 'trunk'), ('main', 'trunk'), ('gone', 'trunk')) b(branch, d)
+            WHERE NOT (b.branch = 'trunk' AND length(repo) % 2 = 0) AND NOT (b.branch = 'dev' AND length(owner) % 3 = 0)),
+pr AS (SELECT *, CASE WHEN branch = default_branch THEN 0 WHEN branch = 'master' THEN 1 WHEN branch = 'develop' THEN 2
+                      WHEN branch = 'dev' THEN 3 WHEN branch = 'main' THEN 4 END AS p FROM tb)
+SELECT owner, repo, branch, pos, path FROM (
+  SELECT *, min(p) OVER (PARTITION BY owner, repo) AS best FROM pr WHERE p IS NOT NULL) WHERE p = best"""))
+def tree_branch_fallback(spark, sf_dir):
+    """J-5, tree half: the default branch, else master, develop, dev, main."""
+    branches = F.array(*[F.lit(b) for b in ("trunk", "dev", "main", "gone")])
+    trees = _paths(spark, sf_dir).select("owner", "repo", "pos", "path", F.explode(branches).alias("branch"),
+                                         F.lit("trunk").alias("default_branch"))
+    trees = trees.where(~((F.col("branch") == "trunk") & (F.length("repo") % 2 == 0))
+                        & ~((F.col("branch") == "dev") & (F.length("owner") % 3 == 0)))
+    return R.resolve_tree(trees).select("owner", "repo", "branch", "pos", "path")
+
+
+@register("repo_run_summary", oracle(["fx_paths", "fx_code_files", "fx_page_urls", "fx_repo_urls"], "WITH " + runs_ctes() + """
 SELECT count(*) FILTER (WHERE error IS NULL) AS successful_repos, count(*) FILTER (WHERE error IS NOT NULL) AS failed_repos,
        CAST(coalesce(sum(total_files_analyzed) FILTER (WHERE error IS NULL), 0) AS BIGINT) AS total_files_analyzed,
-       count(*) FILTER (WHERE error IS NULL AND total_files_analyzed >= {ANALYSIS_MAX_FILES}) AS repos_limit_reached
+       CAST(0 AS BIGINT) AS repos_limit_reached
 FROM runs"""))
 def repo_run_summary(spark, sf_dir):
     """P-5 + F-13 + A-16: successful / failed analyses, files analysed, limits reached."""

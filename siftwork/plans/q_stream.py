@@ -25,8 +25,8 @@ def stream_dedupe_append(spark, sf_dir):
     the first time it is seen and appended if topical."""
     run = ST.new_run_dir(spark, "domains")
     rows = fixture(spark, sf_dir, "fx_domains")
-    ST.stage_files(rows, f"{run}/src", files=4, key="row_id")
-    s = ST.read_files(spark, f"{run}/src", rows.schema)
+    ST.stage_files(rows, f"{run}/src", key="row_id")
+    s = ST.read_files(ST.stream_session(spark), f"{run}/src", rows.schema)
     cleaned = s.where(usable_domain("domain")).select(clean_domain("domain").alias("domain")).where(F.col("domain") != "")
     firsts = ST.first_sightings(cleaned, ["domain"])
     out = firsts.where(is_topical("domain")).select(F.concat(F.lit("https://"), F.col("domain")).alias("url"), "domain")
@@ -34,6 +34,21 @@ def stream_dedupe_append(spark, sf_dir):
     return spark.read.parquet(f"{run}/sink")
 
 
+@register("stream_dedupe_bounded", oracle([], "SELECT event_id, event_type FROM events"))
+def stream_dedupe_bounded(spark, sf_dir):
+    """ST-1 with bounded state: every event arrives twice, the second time within
+    the hour; first sightings are kept for as long as the watermark allows."""
+    run = ST.new_run_dir(spark, "events")
+    ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    again = ev.withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES"))
+    both = ev.unionByName(again)
+    ST.stage_files(both, f"{run}/src", key="ts")
+    s = ST.read_files(ST.stream_session(spark), f"{run}/src", both.schema, files_per_trigger=1 << 20)
+    firsts = ST.first_sightings(s, ["event_id"], event_time="ts", delay="2 hours")
+    ST.append_to(firsts.select("event_id", "event_type"), f"{run}/sink", f"{run}/ckpt")
+    return spark.read.parquet(f"{run}/sink")
+
+
 @register("stream_progress", oracle(["fx_domains"], "WITH " + _CLEAN_SQL + """
 SELECT (SELECT count(*) FROM fx_domains) AS rows_processed,
        (SELECT count(DISTINCT clean_domain) FROM cd WHERE clean_domain <> '') AS unique_domains"""))
@@ -41,11 +56,11 @@ def stream_progress(spark, sf_dir):
     """ST-3: running rows processed and unique domains over a file stream."""
     run = ST.new_run_dir(spark, "progress")
     rows = fixture(spark, sf_dir, "fx_domains")
-    ST.stage_files(rows, f"{run}/src", files=4, key="row_id")
-    s = ST.read_files(spark, f"{run}/src", rows.schema)
+    ST.stage_files(rows, f"{run}/src", key="row_id")
+    s = ST.read_files(ST.stream_session(spark), f"{run}/src", rows.schema)
     keyed = s.select(F.when(usable_domain("domain"), clean_domain("domain")).alias("d"))
-    ST.complete_to(ST.key_counts(keyed, "d"), f"{run}/sink", f"{run}/ckpt")
-    counts = spark.read.parquet(f"{run}/sink")
+    ST.changes_to(ST.key_counts(keyed, "d"), f"{run}/sink", f"{run}/ckpt")
+    counts = ST.latest(spark, f"{run}/sink", "d", "n")
     return counts.agg(F.sum("n").cast("long").alias("rows_processed"),
                       F.count_if(F.col("d").isNotNull() & (F.col("d") != "")).alias("unique_domains"))
 
@@ -55,8 +70,8 @@ def stream_web_corpus(spark, sf_dir):
     """ST-4: pages arrive as files; extract, score, filter and append records."""
     run = ST.new_run_dir(spark, "pages")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    ST.stage_files(pages, f"{run}/src", files=4, key="page_id")
-    s = ST.read_files(spark, f"{run}/src", pages.schema)
+    ST.stage_files(pages, f"{run}/src")
+    s = ST.read_files(ST.stream_session(spark), f"{run}/src", pages.schema)
     kept = web.keep_quality_pages(web.score_pages(extract_pages(s), coherence=False))
     rec = web.retrieval_records(web.add_coherence(kept).withColumn("source_type", web.source_type("url")))
     flat = rec.select("id", "url", "title", F.col("metadata.source_type").alias("source_type"),

@@ -1,5 +1,5 @@
-"""Queries for the Python-worker paths: model scoring (U-1) and tree-parser
-HTML extraction (U-2)."""
+"""Queries for the Python-worker paths: model scoring (U-1) and HTML
+extraction (U-2)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.chat import DEFAULT_JUDGE_TOPIC, JUDGE_HEAD, JUDGE_MID, JUDGE_TAIL, judge_prompt
 from ..operators import chat as C
 from ..operators import judge as J
-from ..operators.htmltree import extract_with_parser
+from ..operators.pages import extract_pages
 from ..functions.chat import remove_prompt_echo
 from ..operators.udf import (
     GENERATION_OPTIONS, JUDGE_OPTIONS, batch_generate, stub_generation_loader, stub_judge_loader,
@@ -59,9 +59,8 @@ def model_batch_stub(spark, sf_dir):
 @register("html_tree_extract", oracle([], "WITH " + extraction_ctes("pages") + """
 SELECT page_id, title, content FROM px"""))
 def html_tree_extract(spark, sf_dir):
-    """U-2: tree-parser extraction; on these pages it equals the regex chain."""
-    pages = read_table(spark, sf_dir, "pages")
-    return extract_with_parser(pages, keys=("page_id",))
+    """U-2: parser extraction of title and cleaned main text."""
+    return extract_pages(read_table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 # One generation spec per document: its first word is the topic, its second
@@ -77,11 +76,11 @@ FROM documents
 
 
 @register("generate_pairs_stub", oracle([], "WITH " + _prompt_ctes(_SPEC_DOCS) + "," + _existing_ctes() + """,
-g AS (SELECT spec_id, entry_no, CAST(spec_id * 1000 + (entry_no - 1) // batch_size AS BIGINT) AS batch_id, md5(prompt) AS h FROM e),
+g AS (SELECT spec_id, entry_no, (entry_no - 1) // batch_size AS batch_id, md5(prompt) AS h FROM e),
 pr AS (SELECT spec_id, entry_no, batch_id, 'How do I ' || substr(h, 1, 8) || '?' AS "user",
               'Use ' || substr(h, 9, 12) || ' carefully.' AS assistant FROM g WHERE substr(h, 1, 2) <> '00'),
 hx AS (SELECT *, md5("user" || assistant) AS pair_hash FROM pr WHERE pair_hash NOT IN (SELECT pair_hash FROM ex_hash)),
-uq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_hash ORDER BY batch_id, entry_no, spec_id) AS rn FROM hx)
+uq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_hash ORDER BY spec_id, batch_id, entry_no) AS rn FROM hx)
        WHERE rn = 1)
 SELECT spec_id, entry_no, pair_hash, "user", assistant FROM uq"""))
 def generate_pairs_stub(spark, sf_dir):
@@ -94,7 +93,7 @@ def generate_pairs_stub(spark, sf_dir):
                          options=GENERATION_OPTIONS, model_name="stub-generator")
     comp = gen.where(F.col("error").isNull()).select(
         F.col("spec_id").alias("prompt_id"), F.lit(1).alias("attempt"),
-        (F.col("spec_id") * 1000 + F.col("batch_id")).alias("batch_id"), F.col("entry_no").alias("pos"),
+        F.struct("spec_id", "batch_id").alias("batch_id"), F.col("entry_no").alias("pos"),
         remove_prompt_echo("generated_text", "prompt").alias("generated_text"))
     uq = C.unique_pairs(C.extract_pairs(comp), C.existing_hashes(flat_conversations(spark, sf_dir)))
     return uq.select(F.col("prompt_id").alias("spec_id"), F.col("pos").alias("entry_no"), "pair_hash", "user", "assistant")

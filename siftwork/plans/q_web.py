@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import web
+from ..operators.running import ranked
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
 from .registry import DWORD, oracle, register
@@ -96,3 +97,14 @@ def web_filter_topk(spark, sf_dir):
     return top.select(
         "doc_id", "word_count", F.round("quality_score", 6).alias("quality_score"),
         F.round("coherence_score", 6).alias("coherence_score"))
+
+
+@register("web_filter_ranked", oracle(["fx_web_docs"], "WITH " + _QUALITY_SQL + """
+SELECT doc_id, round(quality, 6) AS quality_score, row_number() OVER (ORDER BY quality DESC, doc_id) AS place
+FROM q WHERE wc >= 50 AND quality >= 6.0"""))
+def web_filter_ranked(spark, sf_dir):
+    """F-1 + F-3 + W-1: the place of every document above the floors, by quality."""
+    kept = web.keep_quality_pages(scored_docs(spark, sf_dir, coherence=False)).select("doc_id", "quality_score")
+    placed = ranked(kept, [F.col("quality_score").desc(), F.col("doc_id").asc()], {"one": F.lit(1)})
+    return placed.select("doc_id", F.round("quality_score", 6).alias("quality_score"),
+                         F.col("one_cum").cast("long").alias("place"))

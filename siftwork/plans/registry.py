@@ -29,17 +29,6 @@ def oracle(fixtures: tuple[str, ...] | list[str], body: str) -> str:
     return pre + body
 
 
-_PLANS: dict[tuple, object] = {}
-
-
-def memo(spark: SparkSession, sf_dir: str, key, build):
-    """Lazy plans (no data) shared by several queries of one session."""
-    k = (id(spark), spark.sparkContext.applicationId, sf_dir, key)
-    if k not in _PLANS:
-        _PLANS[k] = build()
-    return _PLANS[k]
-
-
 def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:

@@ -70,9 +70,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: later steps start
     from files that every executor sees, whatever is lost meanwhile."""
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

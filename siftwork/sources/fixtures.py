@@ -154,9 +154,9 @@ FROM pages
 # Repository URLs requested for analysis: every repository of the tree table,
 # plus repository-style page URLs that have no tree (failed runs).
 _fx("fx_repo_urls", ["fx_paths", "fx_page_urls"], """
-SELECT concat('https://github.com/', owner, '/', repo) AS url, min(pos) AS pos FROM fx_paths GROUP BY owner, repo
+SELECT concat('https://github.com/', owner, '/', repo) AS url, 2 * min(pos) AS pos FROM fx_paths GROUP BY owner, repo
 UNION ALL
-SELECT url, 1000000000 + page_id AS pos FROM fx_page_urls WHERE url LIKE 'https://github.com/%'
+SELECT url, 2 * page_id + 1 AS pos FROM fx_page_urls WHERE url LIKE 'https://github.com/%'
 """)
 
 # Raw files on several branches: fx_code_files plus alternative copies so the
@@ -188,22 +188,9 @@ def _closure(names) -> list[str]:
     return out
 
 
-_CACHE: dict[tuple, DataFrame] = {}
-
-
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived view ``name`` as a DataFrame over the tables in ``sf_dir``.
-
-    The DataFrame (a lazy plan, no data) is memoised per session and folder so
-    that a query reading a view twice shares one plan fragment.
-    """
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _CACHE:
-        _CACHE[key] = _build_fixture(spark, sf_dir, name)
-    return _CACHE[key]
-
-
-def _build_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The derived view ``name`` over the tables now in ``sf_dir``: files are listed anew
+    on each call, so rows added since are seen."""
     order = _closure([name])
     base = sorted({d for n in order for d in FIXTURE_SQL[n][1] if d not in FIXTURE_SQL})
     register_tables(spark, sf_dir, base)

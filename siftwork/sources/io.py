@@ -9,7 +9,8 @@ written as JSON lines.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 CORRUPT = "_corrupt_record"
 
@@ -21,15 +22,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def holds_nothing(spark: SparkSession, path: str, fmt: str) -> bool:
+    if fmt == "json":
+        return spark.read.text(path).isEmpty()
+    return spark.read.parquet(path).isEmpty()
+
+
 def read_dataset(spark: SparkSession, path: str, schema: StructType, multiline: bool = False,
                  fmt: str = "json") -> DataFrame:
     """S-1 + S-2: typed read with an explicit schema; a missing path is an
     empty dataset; malformed JSON records surface in ``_corrupt_record``."""
+    full = schema if fmt == "parquet" else StructType(schema.fields + [StructField(CORRUPT, StringType())])
     if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], full)
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
-    full = StructType(schema.fields + [StructField(CORRUPT, StringType())])
     return (spark.read.schema(full).option("multiLine", multiline).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
@@ -37,6 +44,11 @@ def read_dataset(spark: SparkSession, path: str, schema: StructType, multiline:
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "json") -> None:
     """K-1 (UTF-8 JSON lines, no ASCII escaping), K-2 (overwrite / append),
     K-3 (append one increment), K-7 (``mode='ignore'``: keep a non-empty output)."""
+    if mode == "ignore":
+        # an output without records is no output yet
+        if path_exists(df.sparkSession, path) and not holds_nothing(df.sparkSession, path, fmt):
+            return
+        mode = "overwrite"
     w = df.write.mode(mode)
     if fmt == "json":
         w.option("encoding", "UTF-8").json(path)
@@ -44,6 +56,20 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite", fmt: str =
         w.parquet(path)
 
 
+def read_json_documents(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """S-1 on documents (one JSON array per file): the entries of the arrays, and
+    one report row per file that is no JSON array of objects, with the reason."""
+    docs = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("file"), "value", F.try_parse_json("value").alias("_v"))
+    array = F.try_variant_get("_v", "$", "array<variant>")
+    reason = F.when(F.col("_v").isNull(), "not JSON").when(array.isNull(), "not an array").when(
+        F.exists(array, lambda e: ~F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))),
+        "an entry is not an object")
+    told = docs.withColumn("reason", reason)
+    good = told.where(F.col("reason").isNull()).select(F.explode(F.from_json("value", ArrayType(schema))).alias("e"))
+    return good.select("e.*"), told.where(F.col("reason").isNotNull()).select("file", "reason")
+
+
 def append_increment(df: DataFrame, path: str, fmt: str = "json") -> None:
     """K-3: add records to an existing dataset without rewriting it."""
     write_dataset(df, path, mode="append", fmt=fmt)

@@ -6,7 +6,7 @@
   bounded form is ``withWatermark`` + ``dropDuplicatesWithinWatermark``.
 * ST-2 append accepted records as they arrive: file sink in append mode with a
   checkpoint, so a restarted query neither loses nor repeats records.
-* ST-3 running progress: a complete-mode aggregate written by foreachBatch.
+* ST-3 running progress: an update-mode aggregate; foreachBatch writes changed keys only.
 * ST-4 the stateless page pipeline applied to a stream.
 
 All runs use ``trigger(availableNow=True)``: process what is there, stop.
@@ -16,7 +16,6 @@ Checkpoints and sinks live under the shared checkpoint folder.
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,21 +24,18 @@ from pyspark.sql.types import StructType, TimestampNTZType
 from ..session import scratch_path
 
 
-@contextmanager
-def state_partitions(spark: SparkSession, n: int | None = None):
-    """Number of state-store partitions of a stateful streaming query.
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session of the same application for one streaming query.
 
-    A streaming query fixes its shuffle width at its first start (it is kept
-    in the checkpoint).  By default use the cluster's parallelism (total
-    executor cores) rather than the batch shuffle setting.
+    A streaming query fixes its shuffle width, and with it the number of state
+    stores, at its first start.  The width is a parameter (default: as many as
+    there are cores) and is set on a session of the query's own, so no other
+    query of the caller ever sees it.
     """
-    n = n or spark.sparkContext.defaultParallelism
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    return own
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
@@ -47,15 +43,18 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage_files(df: DataFrame, path: str, files: int = 4, key: str | None = None) -> None:
-    """Write a batch table as several parquet files: a file-stream source."""
-    out = df.repartitionByRange(files, key) if key else df.repartition(files)
+def stage_files(df: DataFrame, path: str, key: str | None = None) -> None:
+    """Write a batch table as a file-stream source: as many files as it has
+    partitions, in ranges of ``key`` if the order of arrival matters."""
+    out = df.repartitionByRange(key) if key else df
     out.write.mode("overwrite").parquet(path)
 
 
-def read_files(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 2) -> DataFrame:
-    """File-stream source with an explicit schema (no inference on a stream)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_files(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """File-stream source with an explicit schema (no inference on a stream);
+    by default as many files per trigger as there are cores to read them."""
+    n = files_per_trigger or max(2, spark.sparkContext.defaultParallelism)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 def first_sightings(stream: DataFrame, keys: list[str], event_time: str | None = None,
@@ -69,27 +68,32 @@ def first_sightings(stream: DataFrame, keys: list[str], event_time: str | None =
     return stream.dropDuplicates(keys)
 
 
+def finish(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
 def append_to(stream: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet") -> None:
     """ST-2: append mode file sink, run until the available input is consumed."""
-    with state_partitions(stream.sparkSession):
-        q = (stream.writeStream.format(fmt).outputMode("append").option("path", sink)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-
-
-def complete_to(agg: DataFrame, sink: str, checkpoint: str) -> None:
-    """ST-3: complete-mode aggregate; each micro-batch rewrites the table."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
-
-    with state_partitions(agg.sparkSession):
-        q = (agg.writeStream.outputMode("complete").foreachBatch(write)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finish(stream.writeStream.format(fmt).outputMode("append").option("path", sink)
+           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def changes_to(agg: DataFrame, sink: str, checkpoint: str) -> None:
+    """ST-3: each micro-batch writes the keys that it changed, under its own number;
+    a repeated micro-batch replaces its own files."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/number={number}")
+
+    finish(agg.writeStream.outputMode("update").foreachBatch(write)
+           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest(spark: SparkSession, sink: str, key: str, value: str, key_type: str = "string") -> DataFrame:
+    """The state after the last micro-batch: each key's last written value."""
+    rows = spark.read.schema(f"{key} {key_type}, {value} long, number long").parquet(sink)
+    return rows.groupBy(key).agg(F.max_by(value, "number").alias(value))
 
 
 def key_counts(stream: DataFrame, key: str) -> DataFrame:
