@@ -4,7 +4,8 @@ The standard library's streaming parser gives events.  Block elements start a ne
 line; a line has its text, its tags, its link text, the sections it stands in, and
 whether it stands inside boilerplate by nature (menu, header, footer, aside, form,
 script, style, hidden parts) or by name (class, id or role such as ``sidebar``, ``ad``
-or ``comments``), which has ratio zero.  The ratio of a line is its unlinked text
+or ``comments``), which has ratio zero.  A headline in the header of an article is
+content, and so is an article in a wrapper that only its name makes boilerplate.  The ratio of a line is its unlinked text
 length per tag.  Ratios are smoothed over neighbouring lines by a Gaussian, and a
 threshold between the two clusters of the smoothed logarithms splits content from
 the rest.  A line of content makes a region: the article or main section around
@@ -44,32 +45,40 @@ IMPLIED = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd
            "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 #: Words of class, id or role that name boilerplate.
 NAMES = frozenset("""ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments
-complementary contentinfo cookie cookies consent dialog discussion disqus footer gdpr header masthead menu modal nav
+complementary contentinfo cookie cookies consent copyright dialog discussion disqus footer gdpr header masthead menu modal nav
 navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply
 respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toc toolbar
 widget""".split())
+#: Those whose articles are not the page's own.
+READERS = frozenset("comment comments discussion disqus replies reply respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a line stands in: content, boilerplate by the name of a wrapper, an article's header, boilerplate.
+CONTENT, WRAPPED, HEADER, BOILERPLATE = range(4)
 NAME_PART = re.compile(r"[a-z]+|[0-9]+")
 GAPS = re.compile(r"\s+")
 SIGMA, REACH = 1.5, 4
 
 
-def named_boilerplate(attrs: list) -> bool:
+def named(attrs: list, section: int) -> int:
+    """The standing that an element's attributes give to what is inside."""
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            parts = NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            if not NAMES.isdisjoint(parts):
-                return True
+            parts = NAMES.intersection(NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            if parts:
+                if section and parts == {"header"}:
+                    return HEADER
+                return BOILERPLATE if section or parts & READERS else WRAPPED
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return BOILERPLATE
         elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return BOILERPLATE
+    return CONTENT
 
 
 class Line:
     __slots__ = ("parts", "tags", "linked", "section", "boiler", "text")
 
-    def __init__(self, section: int, boiler: bool):
+    def __init__(self, section: int, boiler: int):
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.section, self.boiler, self.text = section, boiler, ""
@@ -80,10 +89,10 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int, bool]] = [("", False, False, 0, False)]
+        self.stack: list[tuple[str, bool, int, int, bool]] = [("", False, CONTENT, 0, False)]
         self.open: dict[str, int] = {}
         self.sections = 0
-        self.lines = [Line(0, False)]
+        self.lines = [Line(0, CONTENT)]
 
     def new_line(self) -> None:
         _, _, boiler, section, _ = self.stack[-1]
@@ -103,17 +112,20 @@ class Lines(HTMLParser):
         if tag in SECTIONS:
             self.sections += 1
             section = self.sections
-        self.stack.append((tag, silent or tag in SILENT, boiler or tag in BOILER and not self.heads_article(tag)
-                           or tag not in ("html", "body") and named_boilerplate(attrs), section, link or tag == "a"))
+            if boiler == WRAPPED:
+                boiler = CONTENT
+        if tag in HEADINGS and boiler == HEADER:
+            boiler = CONTENT
+        if tag in BOILER:
+            boiler = max(boiler, HEADER if tag == "header" and section else BOILERPLATE)
+        if tag not in ("html", "body"):
+            boiler = max(boiler, named(attrs, section))
+        self.stack.append((tag, silent or tag in SILENT, boiler, section, link or tag == "a"))
         self.open[tag] = self.open.get(tag, 0) + 1
         if tag in BLOCKS:
             self.new_line()
         self.lines[-1].tags += 1
 
-    def heads_article(self, tag: str) -> bool:
-        """A header or fieldset inside an article belongs to it only as far as its titles do."""
-        return False
-
     def void(self, tag: str) -> None:
         if tag == "hr":
             self.new_line()
@@ -231,7 +243,7 @@ def main_text(html: str) -> str:
     by_section: dict[int, int] = {}
     run = None
     for i, line in enumerate(lines):
-        if line.boiler:
+        if line.boiler or not line.section and line.linked > 0.5 * len(line.text):
             run = None
         elif line.section:
             if line.section not in by_section:

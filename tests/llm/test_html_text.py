@@ -21,6 +21,12 @@ CASES = [
     # forms, notices, hidden parts inside the article
     (f"""<article><p>{LONG}</p><form><p>Your name</p><input><button>Send</button></form><div class="cookie-notice">We use
      cookies.</div><p hidden>no</p><p style="display: none">no</p><noscript>no</noscript><p>End</p></article>""", [LONG, "End"]),
+    # an article's own header keeps its headline; a wrapper named after a sidebar is none
+    (f"""<div class="layout with-sidebar"><header><h1>Site</h1></header><article><header class="entry-header"><h1>Headline</h1>
+     <p>By someone, yesterday</p></header><p>{LONG}</p><footer>tags</footer></article></div>""", ["Headline", LONG]),
+    # a menu that is only links, no article element
+    (f"<div><a href=a>One link</a> <a href=b>Another link</a></div><div><p>{LONG}</p><p>Short end.</p></div>"
+     "<div><a href=c>Last link of all</a></div>", [LONG, "Short end."]),
     (None, []), ("", []), ("   ", []), ("<p></p><!-- only --> <script>x</script>", []),
     ("plain text without any tag", ["plain text without any tag"]),
     ("<body><nav>menu</nav></body>", []),
