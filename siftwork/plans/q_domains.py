@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.domains import TOPICAL_KEYWORDS
 from ..operators import domains as dom
 from ..session import fresh_path
 from ..sources.fixtures import fixture
+from .oracle_values import TOPICAL_KEYWORDS
 from .registry import DWS, oracle, register
 
 _CLEAN_SQL = f"""

@@ -164,11 +164,11 @@ def file_stats(spark, sf_dir):
     return st.select("total_files", "total_characters", F.round("avg_quality_score", 6).alias("avg_quality_score"))
 
 
-@register("topic_topn", oracle([], f"""
+@register("topic_topn", oracle([], """
 SELECT topic, c_custkey, stars, rnk FROM (
   SELECT c_mktsegment AS topic, c_custkey, c_acctbal AS stars,
          row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rnk
-  FROM customer WHERE c_acctbal > {S.MIN_STARS}) WHERE rnk <= {S.MAX_RESULTS_PER_TOPIC}"""))
+  FROM customer WHERE c_acctbal > 500) WHERE rnk <= 25"""))
 def topic_topn(spark, sf_dir):
     """S-7 + W-9: per topic, best 25 by stars above the minimum."""
     c = read_table(spark, sf_dir, "customer").select(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.judge import DIMENSIONS, SCORE_KEYS
 from ..operators import judge as J
 from ..session import fresh_path
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
+from .oracle_values import DIMENSIONS, SCORE_KEYS
 from .q_pages import _strip
 from .registry import oracle, register
 
@@ -67,20 +67,20 @@ def judge_scores(spark, sf_dir):
                     fill_overall(F.col("s")).alias("overall"), F.col("s")["reason"].alias("reason"))
 
 
-@register("judge_filter", oracle(["fx_evaluations"], _SCORES_SQL + "," + _ENTRIES_SQL + f"""
-SELECT entry_id, overall FROM ev WHERE well_formed AND overall >= {J.MIN_SCORE}"""))
+@register("judge_filter", oracle(["fx_evaluations"], _SCORES_SQL + "," + _ENTRIES_SQL + """
+SELECT entry_id, overall FROM ev WHERE well_formed AND overall >= 6.0"""))
 def judge_filter(spark, sf_dir):
     """F-11 + J-3 + F-9: well-formed entries whose overall score is at least 6."""
     kept = J.keep_high_quality(evals(spark, sf_dir))
     return kept.select("entry_id", F.col("scores.overall").alias("overall"))
 
 
-@register("judge_summary", oracle(["fx_evaluations"], _SCORES_SQL + "," + _ENTRIES_SQL + f"""
+@register("judge_summary", oracle(["fx_evaluations"], _SCORES_SQL + "," + _ENTRIES_SQL + """
 SELECT count(*) AS original_count, count(*) FILTER (WHERE well_formed) AS evaluated_count,
-       count(*) FILTER (WHERE well_formed AND overall >= {J.MIN_SCORE}) AS high_quality_count,
-       count(*) - count(*) FILTER (WHERE well_formed AND overall >= {J.MIN_SCORE}) AS filtered_count,
-       {J.MIN_SCORE} ::DOUBLE AS filter_threshold,
-       round(CASE WHEN count(*) = 0 THEN NULL ELSE count(*) FILTER (WHERE well_formed AND overall >= {J.MIN_SCORE}) * 100.0 / count(*) END, 6) AS quality_rate,
+       count(*) FILTER (WHERE well_formed AND overall >= 6.0) AS high_quality_count,
+       count(*) - count(*) FILTER (WHERE well_formed AND overall >= 6.0) AS filtered_count,
+       6.0 ::DOUBLE AS filter_threshold,
+       round(CASE WHEN count(*) = 0 THEN NULL ELSE count(*) FILTER (WHERE well_formed AND overall >= 6.0) * 100.0 / count(*) END, 6) AS quality_rate,
        """ + ", ".join(f"round(avg({d}) FILTER (WHERE well_formed AND {d} > 0), 6) AS avg_{d}" for d in DIMENSIONS + ["overall"]) + """
 FROM ev"""))
 def judge_summary(spark, sf_dir):

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.codescore import (
-    BANNER_START, CODE_EXTENSIONS_BONUS, CODE_LINE_WORDS, CODE_STRUCTURE_WORDS, CODE_TECH_KEYWORDS,
-    clean_code, code_coherence_score, code_quality_score, code_word_count,
-)
-from ..functions.paths import (
-    CONFIG_EXTENSIONS, CONFIG_FILES, DOCS_PATTERNS, LAYOUT_PATTERNS, SOURCE_EXTENSIONS, TEST_PATTERNS,
-    UNWANTED_DIR_PATTERNS, UNWANTED_NAME_PATTERNS, repo_url_parts,
-)
+from ..functions.codescore import clean_code, code_coherence_score, code_quality_score, code_word_count
+from ..functions.paths import repo_url_parts
 from ..operators import repos as R
 from ..functions.text import fence
 from ..sources.fixtures import fixture
+from .oracle_values import (
+    BANNER_START, CODE_EXTENSIONS_BONUS, CODE_LINE_WORDS, CODE_STRUCTURE_WORDS, CODE_TECH_KEYWORDS, CONFIG_EXTENSIONS,
+    CONFIG_FILES, DOCS_PATTERNS, LAYOUT_PATTERNS, SOURCE_EXTENSIONS, TEST_PATTERNS, UNWANTED_DIR_PATTERNS,
+    UNWANTED_NAME_PATTERNS,
+)
 from .registry import DWS, oracle, register
 
 FIRST_N = 20   # limit of the "first N files" query

@@ -104,7 +104,7 @@ jp AS (SELECT pid AS entry_id, {_judge_prompt_sql('ut', 'atx')} AS prompt FROM x
 sc AS (SELECT entry_id, CASE WHEN substr(md5(prompt), 1, 1) = '0' THEN 'stub failure' END AS error,
               greatest(1.0, least(10.0, CAST(length(prompt) % 11 AS DOUBLE))) AS ov FROM jp)
 SELECT entry_id, CASE WHEN error IS NULL THEN ov END AS overall,
-       error IS NULL AND ov >= {J.MIN_SCORE} AS kept, error FROM sc"""))
+       error IS NULL AND ov >= 6.0 AS kept, error FROM sc"""))
 def judge_pipeline_stub(spark, sf_dir):
     """Pipeline B end to end: P-35 + P-28 judge prompts for the stored pairs,
     U-1 scoring (stub judge, failed calls become error rows), P-29 / P-30
