@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import chat_format, exact_dedup, html_text, language_id, mixing, ngram_join, packing, pitman_yor, quality_rules, tokens
