@@ -55,25 +55,6 @@ def web_quality_from(prefix: str = "_q", min_words: int = WEB_MIN_WORDS, max_wor
     return _clamp(score)
 
 
-def web_quality_score(content: Column | str, title: Column | str,
-                      min_words: int = WEB_MIN_WORDS, max_words: int = WEB_MAX_WORDS) -> Column:
-    """Quality 0-10 of a page text (P-18) as one expression (small inputs)."""
-    content = F.coalesce(col_(content), F.lit(""))
-    title = col_(title)
-    lower = F.lower(content)
-    wc = word_count(content)
-    score = F.lit(5.0)
-    score = score + F.when(wc.between(min_words, max_words), F.lit(1.0)).when(wc < min_words, F.lit(-2.0)).otherwise(F.lit(0.0))
-    score = score + F.when(title.isNotNull() & (F.length(title) > 10), F.lit(0.5)).otherwise(F.lit(0.0))
-    has_code = content.contains("```") | content.contains("<code>") | lower.contains("function")
-    score = score + F.when(has_code, F.lit(1.0)).otherwise(F.lit(0.0))
-    score = score + F.least(count_contains(lower, WEB_TECH_KEYWORDS) * F.lit(0.3), F.lit(1.5))
-    avg_sentence = word_count(F.replace(content, F.lit("."), F.lit(" "))) / (count_substr(content, ".") + 1)
-    score = score + F.when((avg_sentence >= 10) & (avg_sentence <= 25), F.lit(0.5)).otherwise(F.lit(0.0))
-    score = score + F.when(count_substr(content, "!") > wc * F.lit(0.05), F.lit(-1.0)).otherwise(F.lit(0.0))
-    return _clamp(score)
-
-
 def with_repeated_terms(df: DataFrame, content: str, out: str = "repeated_terms") -> DataFrame:
     """Adds the number of distinct lower-case tokens longer than 4 characters
     occurring at least 3 times in the row (A-15).
@@ -87,7 +68,7 @@ def with_repeated_terms(df: DataFrame, content: str, out: str = "repeated_terms"
         tmp,
         # after the strip, splitting on blank runs leaves no empty token except for
         # an empty text, and the length filter drops that one
-        F.array_sort(F.filter(F.split(py_strip(F.lower(F.coalesce(F.col(content), F.lit("")))), f"{WS}+"),
+        F.sort_array(F.filter(F.split(py_strip(F.lower(F.coalesce(F.col(content), F.lit("")))), f"{WS}+"),
                               lambda x: F.length(x) > 4)),
     )
     s = F.col(tmp)
@@ -125,4 +106,4 @@ def web_coherence_score(content: Column | str, repeated_terms: Column | str) ->
     return _clamp(score)
 
 
-__all__ = ["WS", "web_quality_score", "with_repeated_terms", "web_coherence_score", "WEB_TECH_KEYWORDS"]
+__all__ = ["WS", "with_repeated_terms", "web_coherence_score", "WEB_TECH_KEYWORDS"]

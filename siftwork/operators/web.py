@@ -119,9 +119,9 @@ def retrieval_stats(records: DataFrame) -> DataFrame:
     )
 
 
-def source_breakdown(records: DataFrame) -> DataFrame:
-    """A-8: documents per source type (partial aggregation before the shuffle)."""
-    return records.groupBy(F.col("metadata.source_type").alias("source_type")).agg(F.count(F.lit(1)).alias("documents"))
+def source_breakdown(rows: DataFrame, column: str = "metadata.source_type", count: str = "documents") -> DataFrame:
+    """A-8: rows per source type (partial aggregation before the shuffle)."""
+    return rows.groupBy(F.col(column).alias("source_type")).agg(F.count(F.lit(1)).alias(count))
 
 
 def url_frontier(seeds: DataFrame, found: DataFrame, seen: DataFrame, url: str = "url",

@@ -192,7 +192,7 @@ FROM fx_page_urls GROUP BY 1"""))
 def page_source_type(spark, sf_dir):
     """P-4 + A-8: source type from the URL authority, counted per type."""
     urls = fixture(spark, sf_dir, "fx_page_urls").withColumn("source_type", web.source_type("url"))
-    return urls.groupBy("source_type").agg(F.count(F.lit(1)).alias("pages"))
+    return web.source_breakdown(urls, "source_type", "pages")
 
 
 _RECORD_SQL = "WITH " + extraction_ctes("pages") + "," + scoring_ctes() + """

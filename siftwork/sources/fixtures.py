@@ -23,7 +23,8 @@ def _fx(name: str, deps: list[str], sql: str) -> None:
 
 
 _fx("fx_paths", ["documents"], """
-SELECT concat('org', CAST(doc_id % 5 AS STRING)) AS owner, source AS repo, doc_id AS pos,
+SELECT concat('org', CAST(doc_id % 5 AS STRING)) AS owner,
+  concat(source, '-', CAST(CAST(floor(doc_id / 400) AS BIGINT) AS STRING)) AS repo, doc_id AS pos,
   CASE doc_id % 17
     WHEN 0 THEN concat('src/components/Widget', CAST(doc_id AS STRING), '.tsx')
     WHEN 1 THEN concat('src/utils/helper', CAST(doc_id AS STRING), '.ts')
@@ -61,15 +62,15 @@ FROM documents d JOIN fx_paths p ON p.pos = d.doc_id WHERE p.type = 'blob' AND d
 _fx("fx_domains", ["documents"], """
 SELECT doc_id AS row_id,
   CASE doc_id % 9
-    WHEN 0 THEN concat('https://www.math', CAST(doc_id % 40 AS STRING), '.edu/a/b?x=1')
-    WHEN 1 THEN concat('http://Physics', CAST(doc_id % 30 AS STRING), '.org#top')
-    WHEN 2 THEN concat('summit', CAST(doc_id % 20 AS STRING), '.com:8080')
+    WHEN 0 THEN concat('https://www.math', CAST(CAST(floor(doc_id / 27) AS BIGINT) AS STRING), '.edu/a/b?x=1')
+    WHEN 1 THEN concat('http://Physics', CAST(CAST(floor(doc_id / 36) AS BIGINT) AS STRING), '.org#top')
+    WHEN 2 THEN concat('summit', CAST(CAST(floor(doc_id / 45) AS BIGINT) AS STRING), '.com:8080')
     WHEN 3 THEN concat('HTTPS://upper', CAST(doc_id AS STRING), '.com')
     WHEN 4 THEN 'bad_domain'
     WHEN 5 THEN ''
     WHEN 6 THEN NULL
-    WHEN 7 THEN concat('www.shop', CAST(doc_id % 25 AS STRING), '.co.uk?x')
-    ELSE concat('  news', CAST(doc_id % 15 AS STRING), '.net  ') END AS domain
+    WHEN 7 THEN concat('www.shop', CAST(CAST(floor(doc_id / 18) AS BIGINT) AS STRING), '.co.uk?x')
+    ELSE concat('  news', CAST(CAST(floor(doc_id / 63) AS BIGINT) AS STRING), '.net  ') END AS domain
 FROM documents
 """)
 
