@@ -23,7 +23,7 @@ def facts(plan: str) -> dict:
         "broadcasts": plan.count("BroadcastExchange"),
         "group_limit": "WindowGroupLimit" in plan,
         "top_k": "TakeOrderedAndProject" in plan,
-        "python": bool(re.search(r"MapInPandas|ArrowEvalPython|BatchEvalPython|PythonMapInArrow", plan)),
+        "python": bool(re.search(r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython", plan)),
         "pushed_filters": bool(re.search(r"PushedFilters: \[[^\]]+\]", plan)),
         "cartesian": "CartesianProduct" in plan,
     }
