@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,7 @@ def encoder(path: str):
         for i in range(0, len(fresh), 20_000):
             part = fresh[i:i + 20_000]
             for t, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[t] = np.array(e.ids, "<u4").tobytes()
+                known[t] = array("I", e.ids).tobytes()
         return [b"".join(map(known.__getitem__, tokens)) for tokens in lists]
 
     return encode
