@@ -151,6 +151,21 @@ def worth(rule: Rule, values: dict[str, np.ndarray], bad: np.ndarray) -> float:
     return (2 * int((inside & bad).sum()) - n) / n if n else -1.0
 
 
+def centred(rule: Rule, values: dict[str, np.ndarray]) -> Rule:
+    """The rule with each threshold halfway between the covered examples and the nearest
+    others beyond it: the same examples are covered, and new ones get the benefit."""
+    out = list(rule)
+    for i, c in enumerate(rule):
+        rest = [*out[:i], *out[i + 1:]]
+        x = values[c.feature][holds(tuple(rest), values)] if rest else values[c.feature]
+        inside = x > c.threshold if c.above else x <= c.threshold
+        if inside.any() and not inside.all():
+            near = x[inside].min() if c.above else x[inside].max()
+            far = x[~inside].max() if c.above else x[~inside].min()
+            out[i] = Condition(c.feature, c.above, float((near + far) / 2))
+    return tuple(out)
+
+
 def learn(values: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
     """Ordered rules that reject; every third example prunes, the others grow."""
     rules: list[Rule] = []
@@ -169,7 +184,7 @@ def learn(values: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
         covers = holds(rule, values) & left
         if (covers & bad).sum() < least or (covers & bad).sum() < PRECISION * covers.sum():
             break
-        rules.append(rule)
+        rules.append(centred(rule, {k: v[left] for k, v in values.items()}))
         left &= ~covers
     return rules
 
