@@ -45,14 +45,14 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0
 
 
-def worker_cache() -> dict:
-    """Values kept by one Python worker between its tasks."""
+def worker_cache(owner: str) -> dict:
+    """Values kept by one Python worker between the tasks of one operator; another
+    operator's are let go, so that a worker never holds the stores of several."""
     import sys
     import types
 
     name = "_siftwork_llm_worker"
-    if name not in sys.modules:
-        module = types.ModuleType(name)
-        module.kept = {}
-        sys.modules[name] = module
-    return sys.modules[name].kept
+    module = sys.modules.setdefault(name, types.ModuleType(name))
+    if getattr(module, "owner", None) != owner:
+        module.owner, module.kept = owner, {}
+    return module.kept

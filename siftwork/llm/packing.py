@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from ..session import staged as stage
 from .common import worker_cache
-from .tokens import KEPT, slices, splitter, vocabulary_path
+from .tokens import KEPT, splitter, vocabulary_path
 
 CAPACITY, END_ID = 1024, 2
 #: A bin with at most this much room is nearly full.
@@ -39,7 +39,7 @@ PER_TASK = 50_000
 def encoder(path: str):
     """text -> little-endian 32-bit ids.  The tokenizer sees each distinct
     pre-token once per worker; its ids are then joined as bytes."""
-    kept = worker_cache()
+    kept = worker_cache("packing")
     if ("ids", path) not in kept:
         from tokenizers import Tokenizer
 
@@ -53,8 +53,8 @@ def encoder(path: str):
             known.clear()
         lists = [pre_tokens(t) for t in texts]
         fresh = list(set().union(*lists).difference(known))
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i:i + 20_000]
+        for i in range(0, len(fresh), 4_000):
+            part = fresh[i:i + 4_000]
             for t, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
                 known[t] = array("I", e.ids).tobytes()
         return [b"".join(map(known.__getitem__, tokens)) for tokens in lists]
@@ -117,6 +117,19 @@ def cut(doc_id, ids: bytes, capacity: int) -> Iterator[dict]:
         start, piece = start + length, piece + 1
 
 
+def parts(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of about ``most`` bytes of text, a text never cut: only
+    one stretch at a time becomes Python strings."""
+    sizes = np.asarray(pa.compute.binary_length(batch.column("text")))
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        done = ends[first - 1] if first else 0
+        end = min(len(sizes), int(np.searchsorted(ends, done + most)) + 1)
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def emitted(rows: dict[str, list], schema: pa.Schema, step: int = 2_000) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(rows["filled"]), step):
         yield pa.RecordBatch.from_pydict({k: v[i:i + step] for k, v in rows.items()}, schema)
@@ -137,17 +150,16 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         encode = encoder(path)
         items: list[list[dict]] = []
         for batch in batches:
-            full: dict[str, list] = {"filled": [], "ready": [], "members": []}
-            texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for s in slices(texts):
-                for name, ids in zip(names[s], encode(texts[s])):
+            for part in parts(batch):
+                full: dict[str, list] = {"filled": [], "ready": [], "members": []}
+                for name, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
                     for piece in cut(name, ids + end, capacity):
                         if piece["length"] == capacity:
                             for k, v in (("filled", capacity), ("ready", True), ("members", [piece])):
                                 full[k].append(v)
                         else:
                             items.append([piece])
-            yield from emitted(full, arrow)
+                yield from emitted(full, arrow)
             if len(items) > per_task:  # a task holds a bounded number of items
                 yield from pack_items(items)
                 items = []

@@ -27,7 +27,7 @@ from .common import worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens kept per worker; the store starts anew beyond it.
-KEPT = 900_000
+KEPT = 500_000
 NO_RANK = np.int64(1) << 40
 
 
@@ -147,7 +147,7 @@ def splitter(special: list[str]):
 
 def counter(path: str):
     """list of texts -> tokens per text, with the worker's store of pre-tokens."""
-    kept = worker_cache()
+    kept = worker_cache("tokens")
     if ("merges", path) not in kept:
         merges = Merges(path)
         kept["merges", path] = merges, splitter(list(merges.special)), {}
