@@ -86,4 +86,4 @@ def test_unknown_languages_go(spark):
     rows = [(i, "some words of a text " * 3, "en", "s", 0) for i in range(8)] + [(90, "123 456", "en", "s", 0)]
     out = corpus_pipeline.known_language(spark, spark.createDataFrame(rows, COLUMNS), "")
     assert {r.doc_id for r in out.collect()} == set(range(8))
-    assert language_id.LEAST < 0.5
+    assert 1 <= language_id.LEAST < 1.2  # of chance
