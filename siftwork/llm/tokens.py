@@ -27,7 +27,7 @@ from .common import worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens kept per worker; the store starts anew beyond it.
-KEPT = 500_000
+KEPT = 600_000
 NO_RANK = np.int64(1) << 40
 
 
