@@ -21,16 +21,19 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a != b").distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Every node is linked once, and to a node that is not linked any further."""
+    roots = edges.select(F.col("b").alias("a"), F.lit(2).alias("n"))
+    twice = edges.select("a", F.lit(1).alias("n")).unionByName(roots.distinct()).groupBy("a").agg(
+        F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+    return twice.isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) of every node of the links a, b."""
     edges = stage(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                   .distinct(), "star-links")
-    mark = None
-    while True:
+    while not settled(edges):
         edges = stage(star(stage(star(edges, True), "star-large"), False), "star-small")
-        seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        mark = seen
-    return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionByName(
-        edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return stage(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+        edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "star-labels")

@@ -12,16 +12,19 @@ Two documents link when 100 * overlap >= 75 * union.  Steps, all exact:
    less than 75% of its set, no document can link with it (the union is at least
    its own set), and it is out.  This leaves the copies, near copies and little else.
 3. Equal sets are one row from here on (copies are never expanded).
-4. Prefixes.  With columns ordered by (frequent or not, key), two rows that link share a
-   column among the first n - ceil(0.75 n) + 1 of each.  Columns without a second
-   entry come first, so the part of the prefix that can meet is short.
+4. Prefixes.  With columns ordered by number of entries (one; few; then the frequent by
+   powers of two) and key, two rows that link share a column among the first
+   n - ceil(0.75 n) + 1 of each.  Columns without a second entry come first, so the
+   part of the prefix that can meet is short, and passages that very many documents
+   hold are rarely in it.
 5. Products.  For each prefix column the rows are multiplied with one row of the column
    only, the smallest id; overlaps are counted over the full rows, and pairs whose sizes
    or counts are below the bound are discarded.  Links merge rows to components.
    Columns whose rows are then all in one component are done.  The others get a
    second such turn with the largest id, and after it every pair of rows of different
-   components, compatible in size and not yet counted, is multiplied.  Pairs inside a
-   component are never formed, as they can change no component.
+   components, not yet counted, is multiplied if the bounds allow: at the first column
+   that two rows share, what each has left from there on must reach 3/7 of both sizes
+   together.  Pairs inside a component are never formed, as they can change none.
 
 The key of a column has its block and 36 bits, more blocks as there is more data: two
 different shingles of two documents share a key about once in 10**7 pairs of
@@ -45,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged as stage
-from .common import shuffle_width, text_bytes
+from .common import shuffle_width, text_bytes, worker_cache
 from .components import components
 from .words import mixed, word_hashes
 
@@ -53,7 +56,7 @@ WORDS = 5
 PERCENT = 75
 KEY_BITS = 36
 #: Columns of a batch that the map side packs together, and text bytes per block.
-BATCH, BLOCK_BYTES = 1_500_000, 20_000_000
+BATCH, BLOCK_BYTES = 700_000, 10_000_000
 #: Entries of a column from which it may count as frequent, and how many such columns are told to all tasks.
 FREQUENT_FROM, FREQUENT_MOST = 32, 1 << 17
 #: Marks, in an entry's place for the document, the number of documents of the batch that share it.
@@ -120,7 +123,7 @@ class Batch:
 
     def packets(self, batch: int, blocks: int) -> Iterator[tuple[int, int, int, bytes]]:
         flat = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
-        docs = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
+        docs = np.repeat(np.arange(len(self.sets), dtype=np.int32), [len(s) for s in self.sets])
         block, key = located(flat, blocks)
         whole = (block.astype(np.uint64) << np.uint64(KEY_BITS)) | key
         order = np.argsort(whole)
@@ -163,6 +166,7 @@ def incidence(docs: DataFrame, doc_id: str, text: str, blocks: int, size: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        worker_cache("join")
         base, made, held = TaskContext.get().partitionId() << 24, 0, Batch()
 
         def out(rows):
@@ -186,6 +190,7 @@ def incidence(docs: DataFrame, doc_id: str, text: str, blocks: int, size: int) -
 
 def shared_columns(key, table):
     """Step 1, block side: entries of columns that have another one, back to their batches."""
+    worker_cache("join")
     rows: dict[str, list] = {"kind": [], "key": [], "batch": [], "payload": []}
 
     def emit(kind, key, batch, payload):
@@ -203,7 +208,7 @@ def shared_columns(key, table):
         block = np.uint64(key[1].as_py()) << np.uint64(KEY_BITS)
         keys = np.concatenate([k for k, _ in parts])
         marks = np.concatenate([m for _, m in parts])
-        owner = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
         del parts
         order = np.argsort(keys)
         keys, marks, owner = keys[order], marks[order], owner[order]
@@ -269,8 +274,8 @@ def shared_rows(percent: int):
     return run
 
 
-def frequent_columns(rows: DataFrame) -> np.ndarray:
-    """At most FREQUENT_MOST columns: those with the most entries, by powers of two."""
+def frequent_columns(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most FREQUENT_MOST columns, those with the most entries, and the power of two of each."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload in batch.column("columns").to_pylist():
@@ -287,35 +292,41 @@ def frequent_columns(rows: DataFrame) -> np.ndarray:
             break
         least, held = size, held + count
     if least is None:
-        return np.zeros(0, np.uint64)
-    keys = [r["key"] for r in found.filter(F.col("size") >= least).select("key").collect()]
-    return np.sort(np.array(keys, np.int64).astype(np.uint64))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    told = found.filter(F.col("size") >= least).collect()
+    keys = np.array([r["key"] for r in told], np.int64).astype(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["size"] for r in told], np.int32)[order]
 
 
-def prefixes(rows: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """Step 4: key, doc_id, n for the prefix columns that other documents have."""
+def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """Step 4: key, doc_id, n for the prefix columns that other documents have; ``rest``
+    is the number of such columns from this one on."""
     told = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = told.value
+        often, sizes_of = told.value
         for batch in batches:
-            keys, ids, sizes = [], [], []
+            keys, ids, sizes, rests = [], [], [], []
             for doc_id, n, payload in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "columns"))):
                 columns = np.frombuffer(payload, "<u8")
                 length = n + (-percent * n // 100) + 1 - (n - len(columns))
                 if len(often):
-                    late = often[np.minimum(np.searchsorted(often, columns), len(often) - 1)] == columns
-                    columns = np.concatenate((columns[~late], columns[late]))
+                    at = np.minimum(np.searchsorted(often, columns), len(often) - 1)
+                    late = np.where(often[at] == columns, sizes_of[at], 0)
+                    columns = columns[np.lexsort((columns, late))]
                 keys.append(columns[:length].astype(np.int64))
+                rests.append(len(columns) - np.arange(len(keys[-1])))
                 ids.append(doc_id)
                 sizes.append(n)
             lengths = [len(k) for k in keys]
             if keys:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, np.int64), lengths)),
-                    pa.array(np.repeat(np.array(sizes, np.int64), lengths))], ["key", "doc_id", "n"])
+                    pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate(rests))],
+                    ["key", "doc_id", "n", "rest"])
 
-    return rows.select("doc_id", "n", "columns").mapInArrow(run, "key long, doc_id long, n long")
+    return rows.select("doc_id", "n", "columns").mapInArrow(run, "key long, doc_id long, n long, rest long")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -359,16 +370,27 @@ def star_pairs(placed: DataFrame, end) -> DataFrame:
 
 
 def cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of rows of a column that are in different components and can link by size."""
-    parts = stage(placed.select("key", "component").distinct(), "join-parts")
-    x = parts.select("key", F.col("component").alias("c1"))
-    y = parts.select("key", F.col("component").alias("c2"))
-    two = x.join(y, "key").filter("c1 < c2")
-    first = placed.select("key", F.col("component").alias("c1"), F.col("doc_id").alias("d1"), F.col("n").alias("n1"))
-    second = placed.select("key", F.col("component").alias("c2"), F.col("doc_id").alias("d2"), F.col("n").alias("n2"))
-    return (two.join(first, ["key", "c1"]).join(second, ["key", "c2"])
-            .filter(percent * F.greatest("n1", "n2") <= 100 * F.least("n1", "n2"))
-            .select(*ordered("d1", "d2")).distinct())
+    """Pairs of rows of a column that are in different components and can link by the
+    bounds.  The rows of a column's largest component meet the others only; the
+    others meet among themselves."""
+    held = stage(placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_rows")), "join-held")
+    largest = stage(held.groupBy("key").agg(F.max(F.struct("n_rows", "component")).alias("l")).select(
+        "key", F.col("l.component").alias("largest")), "join-largest")
+    told = stage(placed.join(largest, "key"), "join-told")
+    main = told.filter("component = largest")
+    others = told.filter("component != largest")
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        return df.select(F.col("key").alias(f"key{mark}"), *[F.col(c).alias(f"{c}{mark}") for c in (
+            "component", "doc_id", "n", "rest")])
+
+    def meet(x: DataFrame, y: DataFrame, different) -> DataFrame:
+        bound = (100 + percent) * F.least("rest1", "rest2") >= percent * (F.col("n1") + F.col("n2"))
+        return x.join(y, (F.col("key1") == F.col("key2")) & different & bound).select(*ordered("doc_id1", "doc_id2"))
+
+    apart = F.col("component1") < F.col("component2")
+    return meet(side(main, 1), side(others, 2), F.lit(True)).unionByName(
+        meet(side(others, 1), side(others, 2), apart)).distinct()
 
 
 def unsettled(prefix: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -406,12 +428,16 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     links, labels, tested = None, None, None
     for turn in (F.min, F.max, None):
         placed = unsettled(prefix, labels)
+        if labels is not None and placed.isEmpty():
+            break
         pairs = star_pairs(placed, turn) if turn else cross_pairs(placed, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "join-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = stage(overlaps(pairs, sets, percent), "join-links")
+        if labels is not None and found.isEmpty():
+            continue
         links = found if links is None else links.unionByName(found)
         labels = components(links.select("a", "b"))
     spark.sql(f"DROP TABLE {name}")

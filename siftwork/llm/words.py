@@ -77,10 +77,12 @@ def hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Steps (first, end, hashes, counts) over consecutive texts: ``counts`` has the
     number of words before each text of the step and after the last."""
-    texts = texts.cast(pa.large_string())
+    if not len(texts):
+        return
     if texts.null_count:
         texts = pa.compute.fill_null(texts, "")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(texts):
