@@ -5,12 +5,16 @@ line; a line has its text, its tags, its link text, the sections it stands in, a
 whether it stands inside boilerplate by nature (menu, header, footer, aside, form,
 script, style, hidden parts) or by name (class, id or role such as ``sidebar``, ``ad``
 or ``comments``), which has ratio zero.  A headline in the header of an article is
-content, and so is an article in a wrapper that only its name makes boilerplate.  The ratio of a line is its unlinked text
+content, and so is an article in a wrapper that only its name makes boilerplate.  An id
+names boilerplate only as a whole, and no class or id does so for a heading.  The ratio of a line is its unlinked text
 length per tag.  Ratios are smoothed over neighbouring lines by a Gaussian, and a
 threshold between the two clusters of the smoothed logarithms splits content from
 the rest.  A line of content makes a region: the article or main section around
-it if there is one, else the lines around it up to boilerplate.  The page's text is
-the lines of the heaviest region and of regions of its kind that are not teasers.
+it if there is one, else the lines around it up to boilerplate.  The only article
+of a main section is one region with what else is in the section.  The page's text is
+the lines of the heaviest region and of regions of its kind that are not teasers: an
+article under half its weight is one if its heading or last line is a link.  Without
+sections, lines of links between two lines of content belong to the text.
 
 Defined cases: null or empty html gives an empty text; unclosed elements end where
 their parents do; character references are decoded, also without semicolon;
@@ -51,6 +55,9 @@ respond search share sharing sidebar signup skip social sponsor sponsored subscr
 widget""".split())
 #: Those whose articles are not the page's own.
 READERS = frozenset("comment comments discussion disqus replies reply respond".split())
+#: Words that say where or in what shape something is on the page, not what.
+LAYOUT = frozenset("""area bar block bottom box container element global inner left list main outer overlay page panel
+primary right secondary section site top wrap wrapper""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a line stands in: content, boilerplate by the name of a wrapper, an article's header, boilerplate.
 CONTENT, WRAPPED, HEADER, BOILERPLATE = range(4)
@@ -59,11 +66,16 @@ GAPS = re.compile(r"\s+")
 SIGMA, REACH = 1.5, 4
 
 
-def named(attrs: list, section: int) -> int:
+def named(attrs: list, section: int, heading: bool) -> int:
     """The standing that an element's attributes give to what is inside."""
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            parts = NAMES.intersection(NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            if heading and name != "role":
+                continue
+            words = NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            parts = NAMES.intersection(words)
+            if name == "id" and not all(w in NAMES or w in LAYOUT or w.isdigit() for w in words):
+                continue
             if parts:
                 if section and parts == {"header"}:
                     return HEADER
@@ -76,11 +88,12 @@ def named(attrs: list, section: int) -> int:
 
 
 class Line:
-    __slots__ = ("parts", "tags", "linked", "section", "boiler", "text")
+    __slots__ = ("parts", "tags", "linked", "section", "boiler", "text", "heading")
 
     def __init__(self, section: int, boiler: int):
         self.parts: list[str] = []
         self.tags = self.linked = 0
+        self.heading = False
         self.section, self.boiler, self.text = section, boiler, ""
 
 
@@ -91,7 +104,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, int, bool]] = [("", False, CONTENT, 0, False)]
         self.open: dict[str, int] = {}
-        self.sections = 0
+        self.kinds, self.outer = [""], [0]  # of each section: its element, the section around it
         self.lines = [Line(0, CONTENT)]
 
     def new_line(self) -> None:
@@ -110,8 +123,9 @@ class Lines(HTMLParser):
             return
         _, silent, boiler, section, link = self.stack[-1]
         if tag in SECTIONS:
-            self.sections += 1
-            section = self.sections
+            self.kinds.append(tag)
+            self.outer.append(section)
+            section = len(self.outer) - 1
             if boiler == WRAPPED:
                 boiler = CONTENT
         if tag in HEADINGS and boiler == HEADER:
@@ -119,7 +133,7 @@ class Lines(HTMLParser):
         if tag in BOILER:
             boiler = max(boiler, HEADER if tag == "header" and section else BOILERPLATE)
         if tag not in ("html", "body"):
-            boiler = max(boiler, named(attrs, section))
+            boiler = max(boiler, named(attrs, section, tag in HEADINGS))
         self.stack.append((tag, silent or tag in SILENT, boiler, section, link or tag == "a"))
         self.open[tag] = self.open.get(tag, 0) + 1
         if tag in BLOCKS:
@@ -190,11 +204,13 @@ class Lines(HTMLParser):
         elif boiler != line.boiler and not data.isspace():
             self.lines.append(line := Line(section, boiler))
         line.parts.append(data)
+        line.heading = line.heading or any(self.open.get(h) for h in HEADINGS)
         if link:
             line.linked += len(data)
 
 
-def lines_of(html: str) -> list[Line]:
+def lines_of(html: str) -> tuple[list[Line], set[int]]:
+    """The lines with text, and the main sections; the only article in one is part of it."""
     parser = Lines()
     parser.feed(html)
     parser.close()
@@ -203,7 +219,15 @@ def lines_of(html: str) -> list[Line]:
         line.text = GAPS.sub(" ", "".join(line.parts)).strip()
         if line.text:
             out.append(line)
-    return out
+    mains = {k for k, tag in enumerate(parser.kinds) if tag == "main"}
+    inside: dict[int, set[int]] = {}
+    for k in {line.section for line in out if not line.boiler}:
+        if k and parser.outer[k] in mains:
+            inside.setdefault(parser.outer[k], set()).add(k)
+    joins = {next(iter(ks)): main for main, ks in inside.items() if len(ks) == 1}
+    for line in out:
+        line.section = joins.get(line.section, line.section)
+    return out, mains
 
 
 def ratios(lines: list[Line]) -> np.ndarray:
@@ -232,7 +256,7 @@ def threshold(values: np.ndarray) -> float:
 
 
 def main_text(html: str) -> str:
-    lines = lines_of(html)
+    lines, mains = lines_of(html)
     if not lines:
         return ""
     score = smoothed(np.log1p(ratios(lines)))
@@ -262,9 +286,28 @@ def main_text(html: str) -> str:
         weights = [sum(len(lines[i].text) for i in r) * (2 if lines[r[0]].section else 1) for r in regions]
     best = max(range(len(regions)), key=lambda k: (bool(lines[regions[k][0]].section), weights[k]))
     in_sections = bool(lines[regions[best][0]].section)
-    chosen = [r for r, w in zip(regions, weights) if bool(lines[r[0]].section) == in_sections
-              and (r is regions[best] or w >= 0.5 * weights[best] or not in_sections and w)]
-    return "\n".join(lines[i].text for i in sorted(i for r in chosen for i in r))
+    linked = [x.linked > 0.5 * len(x.text) for x in lines]
+    chosen: set[int] = set()
+    for r, w in zip(regions, weights):
+        section = lines[r[0]].section
+        if bool(section) != in_sections:
+            continue
+        if r is regions[best] or w >= 0.5 * weights[best] or not in_sections and w:
+            chosen.update(r)
+        elif section in mains:
+            chosen.update(i for i in r if not linked[i])
+        elif in_sections and not linked[r[-1]] and not any(linked[i] and lines[i].heading for i in r):
+            chosen.update(r)
+    if not in_sections:  # what lies between content lines, with no boilerplate between, is text too
+        before = None
+        for i, line in enumerate(lines):
+            if line.boiler:
+                before = None
+            elif content[i]:
+                if before is not None:
+                    chosen.update(range(before, i))
+                before = i
+    return "\n".join(lines[i].text for i in sorted(chosen))
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -39,6 +39,33 @@ def test_cases(html, want):
     assert H.main_text(html or "") == "\n".join(want)
 
 
+WHOLE = [
+    # headline and standfirst of a main section around its only article
+    (f"<main><h1>Headline</h1><p>Standfirst</p><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article></main>",
+     ["Headline", "Standfirst", LONG, LONG, LONG]),
+    # a shorter article goes on with the text; a teaser does not
+    (f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><h2>Part two</h2><p>{LONG}</p></article>"
+     f"<article><h2><a href=x>Other story</a></h2><p>{LONG[:200]}</p></article>",
+     [LONG, LONG, LONG, "Part two", LONG]),
+    (f"<main><h1>Headline</h1><p>{LONG}</p><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p>"
+     "<p><a href=x>Read more</a></p></article></main>", ["Headline", LONG, LONG, LONG, LONG]),
+    # ids that have a word of boilerplate among others; headings
+    (f"""<article><h2 id="related-work">Related work</h2><p>{LONG}</p><section id="search-results"><p>{LONG}</p></section>
+     <div id="notice-period"><p>Notice.</p></div><h3 class="section-header" id="discussion">Discussion</h3><p>{LONG}</p>
+     <div id="cookie-banner">We use cookies.</div><div id="commentsSection"><p>{LONG} reader</p></div></article>""",
+     ["Related work", LONG, LONG, "Notice.", "Discussion", LONG]),
+    # links between content lines, no article element
+    (f"<div id=main-nav><p>Menu of the site</p></div><div><p>{LONG}</p><p>{LONG}</p><ul><li><a href=a>A linked item</a></li></ul>"
+     f"<p>{LONG}</p><p>{LONG}</p></div><div><a href=c>One</a> <a href=d>Last</a></div><div><a href=e>Other</a></div>",
+     [LONG, LONG, "A linked item", LONG, LONG]),
+]
+
+
+@pytest.mark.parametrize("html,want", WHOLE)
+def test_nothing_of_the_text_is_dropped(html, want):
+    assert H.main_text(html) == "\n".join(want)
+
+
 def test_deep_and_long_pages_end():
     deep = "<div>" * 20_000 + LONG + "</div>" * 20_000
     assert H.main_text(deep) == LONG
