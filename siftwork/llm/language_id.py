@@ -4,9 +4,8 @@ The UTF-8 bytes of a whole text are read in windows of ``WINDOW``; in each a GRU
 runs forward and another backward, and a softmax over both states labels every
 position.  A document's probabilities are the means over all its positions.  The
 network is trained here, in numpy, by backpropagation through time with Adam, on
-windows at random places of at most ``DOCS`` labelled texts of each of the
-``LANGUAGES`` most frequent languages (a bounded sample; everything is fixed by the
-seed).  Inference is array work over thousands of windows at once inside Spark tasks.
+windows at random places of at most ``DOCS`` labelled texts of each language (a
+bounded sample of every label; everything is fixed by the seed).  Inference is array work over thousands of windows at once inside Spark tasks.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0, as
 are all texts if nothing is labelled; ties go to the language first in order;
@@ -27,8 +26,10 @@ from .common import held_out, worker_cache
 
 UNKNOWN = "und"
 WINDOW, HIDDEN = 64, 8
-DOCS, SNIPPETS, LANGUAGES = 300, 4, 64
+DOCS, SNIPPETS = 300, 4
 EPOCH_STEPS, BATCH, RATE = 260, 128, 0.02
+#: Languages that the steps are for; more take more steps, and fewer windows run together.
+LANGUAGES = 64
 #: Windows run together: their states fit a core's cache.
 TOGETHER = 8192
 SEED = 11
@@ -128,10 +129,11 @@ def train(snippets: list[bytes], labels: np.ndarray, classes: int) -> Weights:
     rng = np.random.default_rng(SEED)
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
-    for step in range(1, EPOCH_STEPS + 1):
+    steps = EPOCH_STEPS * max(1, -(-classes // LANGUAGES))
+    for step in range(1, steps + 1):
         chosen = rng.integers(0, len(snippets), BATCH)
         _, grads = loss_and_gradients(x[:, chosen], mask[:, chosen], labels[chosen], w)
-        rate = RATE * min(1.0, 2 * (1 - (step - 1) / EPOCH_STEPS))
+        rate = RATE * min(1.0, 2 * (1 - (step - 1) / steps))
         for k, g in grads.items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
@@ -195,8 +197,9 @@ def pooled(texts: pa.Array, w: Weights) -> np.ndarray:
     starts = offsets[:-1][owner] + nth * WINDOW
     sizes = np.minimum(lengths[owner] - nth * WINDOW, WINDOW)
     total = np.zeros((len(texts), len(w["c"])))
-    for low in range(0, len(owner), TOGETHER):
-        part = slice(low, low + TOGETHER)
+    together = max(1, TOGETHER // max(1, -(-len(w["c"]) // LANGUAGES)))
+    for low in range(0, len(owner), together):
+        part = slice(low, low + together)
         place = np.arange(WINDOW)[:, None]
         mask = place < sizes[part]
         x = np.where(mask, data[np.minimum(starts[part] + place, len(data) - 1)], 0)
@@ -210,12 +213,11 @@ def has_letter(text: Column) -> Column:
 
 
 def labelled_snippets(docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column) -> tuple[list, list]:
-    """Pieces at hashed places of a bounded number of texts per language.  Of a language
+    """Pieces at hashed places of a bounded number of texts of every language.  Of a language
     with many texts only those of low hash are ranked, four times as many as are used,
     and only their pieces move."""
     usable = docs.filter(F.col(lang).isNotNull() & learn & has_letter(F.col(text)))
-    often = usable.groupBy(lang).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), lang).limit(LANGUAGES).select(
-        F.col(lang).alias("_l"), "_n")
+    often = usable.groupBy(lang).agg(F.count(F.lit(1)).alias("_n")).select(F.col(lang).alias("_l"), "_n")
     length = F.char_length(text)
     mark = F.xxhash64(doc_id, length)
     places = F.array(*[F.pmod(F.xxhash64(mark, F.lit(i)), F.greatest(length - WINDOW // 2, F.lit(1)))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from siftwork.llm import language_id as L
 
@@ -97,3 +98,11 @@ def test_nothing_to_learn(docs):
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
     one = L.identify(docs([(i, "text one", "en", "a") for i in range(9)])).collect()
     assert {r.lang_pred for r in one} == {"en"}
+
+
+def test_every_label_is_learned(docs, monkeypatch):
+    """Also those beyond the 64 most frequent, and a label of one text."""
+    monkeypatch.setattr(L, "EPOCH_STEPS", 4)
+    rows = [(i, f"{chr(0x4E00 + i % 70)} word {i}", f"l{i % 70:02}", "s") for i in range(280)] + [(999, "only one", "rare", "s")]
+    classes, weights = L.fit(docs(rows), F.lit(True))
+    assert classes == [f"l{k:02}" for k in range(70)] + ["rare"] and len(weights["c"]) == 71
