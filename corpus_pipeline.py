@@ -21,7 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in none of the learned languages, go."""
+    """Documents without a letter go.  Those in none of the learned languages stay, as
+    their scores are almost never at the level of chance."""
     return language_id.keep_identified(docs)
 
 

@@ -33,8 +33,8 @@ LANGUAGES = 64
 #: Windows run together: their states fit a core's cache.
 TOGETHER = 8192
 SEED = 11
-#: A document whose score is less than this many times 1 / languages, no better than
-#: chance, is in none of the learned languages.
+#: A document whose score is less than this many times 1 / languages goes.  As a score is
+#: never below 1 / languages, hardly any does: texts in a language not learned stay.
 LEAST = 1.05
 
 Weights = dict[str, np.ndarray]
