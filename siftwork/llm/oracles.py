@@ -2,6 +2,9 @@
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Words of letters, digits and non-ASCII characters, after A-Z became a-z.
+TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 #: Texts with one backslash more after each "<" of "<|".
 ESCAPED = r"regexp_replace(x, '<(\\*)\|', '<\\\1|', 'g')"
 
@@ -40,5 +43,77 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM norm
+""",
+    "op11_decontamination": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS ws
+  FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS ws
+  FROM benchmark),
+s AS (SELECT item, ws, least(len(ws), 10) AS n FROM b WHERE len(ws) > 0),
+g AS (SELECT DISTINCT item, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS w
+  FROM s),
+p AS (SELECT rid, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i:
+        {{'at': i, 'w': array_to_string(ws[i:i + n - 1], ' ')}})) AS x
+  FROM d JOIN (SELECT DISTINCT n FROM g) ON len(ws) >= n),
+h AS (SELECT rid, p.x['at'] AS i, p.n, item FROM p JOIN g ON g.w = p.x['w'] AND g.n = p.n),
+c AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS place FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT rid, item FROM h WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+    100 * len(regexp_extract_all(x, '[A-Z]')) > 10 * length(x), regexp_matches(x, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false)] AS bad FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id),
+n AS (SELECT part, bad, count(*) AS docs, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, bad),
+i AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, i AS step, o[i] AS own,
+    o[1:i - 1] AS earlier, list_filter([1, 2, 3, 4, 5], lambda k: k != o[i]) AS others FROM o, i),
+j AS (SELECT n.*, s.*, len(list_filter(earlier, lambda k: bad[k])) = 0 AS here,
+    len(list_filter(others, lambda k: bad[k])) = 0 AS alone, bad[own] AS fails FROM n, s),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(docs) FILTER (WHERE here AND NOT fails), 0) AS kept,
+    coalesce(sum(docs) FILTER (WHERE here AND fails), 0) AS removed,
+    coalesce(sum(docs) FILTER (WHERE NOT here AND fails), 0) AS redundant,
+    coalesce(sum(docs) FILTER (WHERE alone AND fails), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE here AND fails), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE here AND fails), 0) AS toxic_lost
+  FROM j GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+""",
+    "op13_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS x FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(x, '[^\\x00-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+e AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+l AS (SELECT lang, count(*) AS v, sum(ln) AS total FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(any_value(ng), 0) AS ng FROM d
+  LEFT JOIN (SELECT lang, source, sum(n) AS ng FROM e GROUP BY lang, source) USING (lang, source) GROUP BY lang, source),
+q AS (SELECT lang, source, term, coalesce(n, 0) AS n,
+    CAST(1 + (1000000000 * (coalesce(n, 0) + 2)::HUGEINT) // (ng + 2 * v) AS BIGINT) AS p,
+    CAST(1 + (1000000000 * (ln + 2)::HUGEINT) // (total + 2 * v) AS BIGINT) AS q
+  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN e USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS f
+  FROM q a JOIN q b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM q WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 10
 """,
 }

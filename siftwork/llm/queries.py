@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import chat_format, exact_dedup, html_text, language_id, mixing, ngram_join, packing, pitman_yor, quality_rules, tokens
+from . import (
+    chat_format, decontamination, divergence, exact_dedup, filter_audit, html_text, language_id, mixing, ngram_join, packing,
+    pitman_yor, quality_rules, tokens,
+)
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +88,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the model of the documents not held out."""
     return pitman_yor.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that it shares with benchmark windows."""
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop(
+        "spans")
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of the five filters keeps and removes, by language."""
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of every language differ, and the terms each has more of."""
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
