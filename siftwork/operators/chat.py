@@ -20,6 +20,8 @@ from ..functions.chat import (
     ASSISTANT_MARKERS, USER_MARKERS, clean_content, generation_prompt, pair_hash, template_variables,
 )
 from ..functions.text import fence, py_strip
+from ..session import staged as stage
+from .retry import kept_attempts
 from .running import running_sum
 
 MIN_PAIR_CHARS = 5
@@ -148,18 +150,17 @@ def existing_hashes(flat: DataFrame) -> DataFrame:
 def unique_pairs(pairs: DataFrame, existing: DataFrame, max_attempts: int | None = None) -> DataFrame:
     """P-7 + J-1 (the SET-4 except) + W-5 + W-6.
 
-    Valid pairs not in ``existing``; per batch only the first attempt
-    (of ``max_attempts``, if given) that produced such a pair; then the first occurrence of each hash in
-    (batch, attempt, position, prompt) order.  Unlike the sequential loop, an
-    attempt whose only pairs repeat another new batch is not skipped.
+    Valid pairs not in ``existing``; per batch the first attempt (of ``max_attempts``,
+    if given) with a pair that neither ``existing`` nor an earlier batch has
+    (:func:`operators.retry.kept_attempts`); then the first occurrence of each hash in
+    (batch, attempt, position, prompt) order: the rows that a sequential generator keeps.
     """
     cand = valid_pairs(pairs).withColumn("pair_hash", pair_hash("user", "assistant"))
     if max_attempts is not None:
         cand = cand.where(F.col("attempt") <= max_attempts)
-    fresh = cand.join(existing, "pair_hash", "left_anti")
-    # partial aggregation first: a batch that holds a third of all rows sends one per task
-    first_attempt = fresh.groupBy("batch_id").agg(F.min("attempt").alias("attempt"))
-    chosen = fresh.join(first_attempt, ["batch_id", "attempt"], "left_semi")
+    # written once: the extraction behind it is used for the keys and for the rows
+    fresh = stage(cand.join(existing, "pair_hash", "left_anti"), "fresh-pairs")
+    chosen = fresh.join(kept_attempts(fresh), ["batch_id", "attempt"], "left_semi")
     w = Window.partitionBy("pair_hash").orderBy("batch_id", "attempt", "pos", "prompt_id")
     return chosen.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 

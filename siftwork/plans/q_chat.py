@@ -44,11 +44,11 @@ def _clean_steps(src: str, cols: list[str], keys: list[str], out: str) -> str:
     return ",\n".join(steps)
 
 
-def extraction_ctes() -> str:
-    """CTEs ending in ``px(prompt_id, attempt, batch_id, pos, user, assistant)`` (all rows)."""
+def extraction_ctes(view: str = "fx_completions") -> str:
+    """CTEs ending in ``px(prompt_id, attempt, batch_id, pos, user, assistant)`` (all rows of ``view``)."""
     strip_l = _strip("l")
     return f"""
-e0 AS (SELECT prompt_id, attempt, batch_id, pos, {_PROMPT_SQL} AS pr, {_ECHO_SQL} AS g FROM fx_completions),
+e0 AS (SELECT prompt_id, attempt, batch_id, pos, {_PROMPT_SQL} AS pr, {_ECHO_SQL} AS g FROM {view}),
 e1 AS (SELECT prompt_id, attempt, batch_id, pos,
          {_strip(f"CASE WHEN length(pr) > 0 AND contains(g, pr) THEN {_strip('replace(g, pr, {q}{q})'.format(q=chr(39)))} ELSE g END")} AS t FROM e0),
 e2 AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda l: {strip_l}), lambda l: l <> '') AS ls FROM e1),
@@ -87,20 +87,35 @@ ex_hash AS (SELECT DISTINCT md5({_strip("coalesce(u, '')")} || {_strip("coalesce
 """
 
 
-_UNIQUE_SQL = "WITH " + extraction_ctes() + "," + _existing_ctes() + f""",
+def unique_ctes(view: str = "fx_completions") -> str:
+    """CTEs ending in ``uq``: a loop over the batches in order (``lp``) that carries the
+    hashes taken so far and keeps each batch's first attempt with another one."""
+    return "WITH RECURSIVE " + extraction_ctes(view) + "," + _existing_ctes() + f""",
 vp AS (SELECT *, md5({_strip('"user"')} || {_strip('assistant')}) AS pair_hash FROM px
        WHERE length("user") > 5 AND length(assistant) > 5),
 fresh AS (SELECT * FROM vp WHERE pair_hash NOT IN (SELECT pair_hash FROM ex_hash)),
-ch AS (SELECT * FROM fresh WHERE attempt = (SELECT min(f2.attempt) FROM fresh f2 WHERE f2.batch_id = fresh.batch_id)),
+ba AS (SELECT batch_id, attempt, list(DISTINCT pair_hash) AS hs FROM fresh GROUP BY batch_id, attempt),
+bl AS (SELECT batch_id, list({{'a': attempt, 'hs': hs}} ORDER BY attempt) AS tries, row_number() OVER (ORDER BY batch_id) AS k
+       FROM ba GROUP BY batch_id),
+lp AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS owned, CAST(NULL AS BIGINT) AS batch_id, CAST(NULL AS BIGINT) AS attempt
+  UNION ALL
+  SELECT k, list_concat(owned, coalesce(pick.hs, [])), batch_id, CAST(pick.a AS BIGINT) FROM (
+    SELECT bl.k, lp.owned, bl.batch_id,
+           list_filter(bl.tries, lambda t: len(list_filter(t.hs, lambda h: NOT list_contains(lp.owned, h))) > 0)[1] AS pick
+    FROM lp JOIN bl ON bl.k = lp.k + 1)),
+ch AS (SELECT fresh.* FROM fresh JOIN lp ON lp.batch_id = fresh.batch_id AND lp.attempt = fresh.attempt),
 uq AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY pair_hash ORDER BY batch_id, attempt, pos, prompt_id) AS rn FROM ch)
        WHERE rn = 1)
 """
 
 
+_UNIQUE_SQL = unique_ctes()
+
+
 # ----------------------------------------------------------------- spark side
 
-def completions(spark, sf_dir):
-    fx = fixture(spark, sf_dir, "fx_completions")
+def completions(spark, sf_dir, view="fx_completions"):
+    fx = fixture(spark, sf_dir, view)
     prompt = F.concat(F.lit("Generate exactly one realistic conversation about topic "),
                       (F.col("prompt_id") % 3).cast("string"), F.lit("."))
     echoed = F.when(F.col("prompt_id") % 2 == 0, F.concat(prompt, F.lit("\n"), F.col("generated_text"))).otherwise(
@@ -109,8 +124,8 @@ def completions(spark, sf_dir):
                      remove_prompt_echo(echoed, prompt).alias("generated_text"))
 
 
-def pairs(spark, sf_dir):
-    return C.extract_pairs(completions(spark, sf_dir))
+def pairs(spark, sf_dir, view="fx_completions"):
+    return C.extract_pairs(completions(spark, sf_dir, view))
 
 
 def flat_conversations(spark, sf_dir):
@@ -119,8 +134,8 @@ def flat_conversations(spark, sf_dir):
     return flat.select("idx", "role", F.col("text").alias("content"), F.col("text").isNotNull().alias("has_content"))
 
 
-def unique(spark, sf_dir):
-    return C.unique_pairs(pairs(spark, sf_dir), C.existing_hashes(flat_conversations(spark, sf_dir)))
+def unique(spark, sf_dir, view="fx_completions"):
+    return C.unique_pairs(pairs(spark, sf_dir, view), C.existing_hashes(flat_conversations(spark, sf_dir)))
 
 
 @register("pair_extract", oracle(["fx_completions"], "WITH " + extraction_ctes() + """
@@ -137,6 +152,14 @@ def pair_unique(spark, sf_dir):
     return unique(spark, sf_dir).select("batch_id", "attempt", "pos", "prompt_id", "pair_hash", "user", "assistant")
 
 
+@register("pair_retries", oracle(["fx_retries"], unique_ctes("fx_retries") + """
+SELECT batch_id, attempt, pos, prompt_id, pair_hash, "user", assistant FROM uq"""))
+def pair_retries(spark, sf_dir):
+    """W-5 where attempts repeat earlier batches: each batch keeps its first attempt
+    with a pair that is new when its turn comes."""
+    return unique(spark, sf_dir, "fx_retries").select("batch_id", "attempt", "pos", "prompt_id", "pair_hash", "user", "assistant")
+
+
 @register("pair_union", oracle(["fx_completions"], _UNIQUE_SQL + """,
 xe AS (SELECT pid, u, a FROM xp WHERE n = 2)
 SELECT 'existing' AS origin, pid AS entry_idx, 0 AS entry_pos, u AS user_content, 'user' AS user_role, a AS assistant_content, 'assistant' AS assistant_role FROM xe

@@ -19,11 +19,13 @@ DWORD = r"[^\s\x0b\x1c-\x1f\x{85}\pZ]+"
 
 
 def oracle(fixtures: tuple[str, ...] | list[str], body: str) -> str:
-    """Prefix ``body`` with the fixture CTEs it reads (merging a leading WITH)."""
+    """Prefix ``body`` with the fixture CTEs it reads (merging a leading WITH or WITH RECURSIVE)."""
     pre = with_fixtures(*fixtures)
     body = body.strip()
     if not pre:
         return body
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE" + pre.rstrip()[4:] + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return pre.rstrip() + ",\n" + body[4:].lstrip()
     return pre + body

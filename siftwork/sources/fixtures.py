@@ -89,6 +89,20 @@ FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn =
 WHERE u.role = 'user' AND a.role = 'assistant'
 """)
 
+# Attempts that repeat one another: within 16 batches, attempt a of batch b asks about topic
+# (b + a) / 2, so earlier batches take topics and later ones must try again or keep nothing;
+# every fifth conversation repeats a stored pair and every twentieth is told whole, with a lead.
+_fx("fx_retries", ["conversations"], """
+SELECT u.conv_id AS prompt_id, CAST(floor(u.turn / 2) AS BIGINT) % 3 + 1 AS attempt, CAST(floor(u.conv_id / 4) AS BIGINT) AS batch_id, u.turn AS pos,
+  CASE WHEN u.conv_id % 5 = 0 THEN concat('User: ', u.text, chr(10), 'Assistant: ', a.text)
+    WHEN u.conv_id % 20 = 1 THEN concat('User: In short, ', u.text, chr(10), 'Assistant: Well, ', a.text)
+    ELSE concat('User: What about topic ', CAST(CAST(floor(u.conv_id / 64) AS BIGINT) AS STRING), '.',
+      CAST(CAST(floor((CAST(floor(u.conv_id / 4) AS BIGINT) % 16 + CAST(floor(u.turn / 2) AS BIGINT) % 3 + 1) / 2) AS BIGINT) AS STRING), '?', chr(10),
+      'Assistant: The same as ever.') END AS generated_text
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'
+""")
+
 _fx("fx_evaluations", ["documents"], """
 SELECT doc_id AS entry_id,
   CASE WHEN doc_id % 23 = 0 THEN 'no scores here' ELSE
