@@ -13,6 +13,11 @@ row as array expressions; cross-row work is keyed:
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,7 @@ from ..functions.chat import (
 )
 from ..functions.text import fence, py_strip
 from ..session import staged as stage
+from ..sources.json_arrays import PIECE, scan_json_arrays
 from .retry import kept_attempts
 from .running import running_sum
 
@@ -238,29 +244,98 @@ def validate_nested(entries: DataFrame, entry: str = "entry", entry_idx: str = "
     )
 
 
+def entry_violations(entries: DataFrame, entry: str = "entry", entry_idx: str = "entry_idx",
+                     keys: tuple[str, ...] = (), parsed: bool = False) -> DataFrame:
+    """V-2, every violation: one row per rule that an entry breaks, with the message
+    (null: the entry itself) and the field at fault.
+
+    Rules as in :func:`validate_nested`.  Those of messages are held against all messages
+    of a list, whatever their number; a message that is no object breaks rule 6 only, one
+    without content and role breaks rule 7 twice, and a role that is there and neither user
+    nor assistant breaks rule 8.  Texts without a violation have no row.
+    """
+    v = F.col(entry) if parsed else F.try_parse_json(F.col(entry))
+    cut = entries.select(*keys, entry_idx, v.alias("_v")).withColumns({
+        "_m": F.try_variant_get("_v", "$.messages", "variant"),
+        "_ml": F.try_variant_get("_v", "$.messages", "array<variant>")})
+
+    def broken(holds, rule: int, message=None, field: str | None = None):
+        return F.when(F.coalesce(holds, F.lit(False)), F.struct(
+            (F.lit(None) if message is None else message).cast("int").alias("message_idx"), F.lit(rule).alias("rule"),
+            F.lit(field).cast("string").alias("field")))
+
+    def of_message(m, i):
+        is_object = _kind(m) == "object"
+        has = {f: F.try_variant_get(m, f"$.{f}", "variant").isNotNull() for f in ("content", "role")}
+        role = F.try_variant_get(m, "$.role", "string")
+        return F.array(broken(~F.coalesce(is_object, F.lit(False)), 6, i),
+                       *[broken(is_object & ~has[f], 7, i, f) for f in has],
+                       broken(is_object & has["role"] & ~F.coalesce(role.isin("user", "assistant"), F.lit(False)), 8, i, "role"))
+
+    is_object = _kind(F.col("_v")) == "object"
+    whole = F.array(
+        broken(F.col("_v").isNull(), 0), broken(~is_object, 3), broken(is_object & F.col("_m").isNull(), 4, None, "messages"),
+        broken(is_object & F.col("_m").isNotNull() & F.coalesce((_kind(F.col("_m")) != "array") | (F.size("_ml") != 2), F.lit(True)),
+               5, None, "messages"))
+    inside = F.flatten(F.transform(F.when(is_object, F.col("_ml")), of_message))
+    every = F.filter(F.concat(whole, F.coalesce(inside, F.array().cast(
+        "array<struct<message_idx:int,rule:int,field:string>>"))), lambda x: x.isNotNull())
+    return cut.select(*keys, entry_idx, F.inline(every))
+
+
+def dataset_verdict(entries: DataFrame, violations: DataFrame, entry_idx: str = "entry_idx") -> DataFrame:
+    """One row: entries, invalid entries, violations in all and by rule, whether the
+    dataset is valid, and the first violation in (entry, message, rule) order."""
+    n = entries.agg(F.count(F.lit(1)).alias("entries"))
+    rules = (3, 4, 5, 6, 7, 8, 0)
+    per_entry = violations.groupBy(entry_idx).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.coalesce("message_idx", F.lit(-1)).alias("m"), "rule")).alias("_f"),
+        *[F.count_if(F.col("rule") == r).alias(f"_{r}") for r in rules])
+    summed = per_entry.agg(
+        F.count(F.lit(1)).alias("invalid_entries"), F.coalesce(F.sum("_n"), F.lit(0)).alias("violations"),
+        *[F.coalesce(F.sum(f"_{r}"), F.lit(0)).alias(f"rule_{r}") for r in rules], F.min(F.struct(entry_idx, "_f")).alias("_f"))
+    return n.crossJoin(F.broadcast(summed)).select(  # one row each
+        "entries", "invalid_entries", "violations", *[f"rule_{r}" for r in rules],
+        ((F.col("entries") > 0) & (F.col("violations") == 0)).alias("is_valid"),
+        F.col(f"_f.{entry_idx}").alias("first_entry"),
+        F.when(F.col("_f._f.m") >= 0, F.col("_f._f.m")).alias("first_message"), F.col("_f._f.rule").alias("first_rule"))
+
+
 def validate_dataset_files(spark, path: str) -> DataFrame:
     """V-2 on the reference layout: one JSON document per file.
 
     Per file: rule 0 (not JSON), 1 (not an array), 2 (empty), else the first
     violating entry rule in (entry, message, rule) order; ``is_valid`` when
-    none.  A document is read whole (one task per file), so large datasets
-    should be stored as JSON lines and validated with :func:`validate_nested`.
+    none.  A document is read whole (one task per file); :func:`validate_json_arrays`
+    reads large ones in parallel.
     """
     docs = (spark.read.text(path, wholetext=True)
             .select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("_v")))
     arr = F.try_variant_get(F.col("_v"), "$", "array<variant>")
-    files = docs.select("file", (F.when(F.col("_v").isNull(), F.lit(0)).when(arr.isNull(), 1)
-                                 .when(F.size(arr) == 0, 2)).alias("file_rule"), arr.alias("_arr"))
+    files = docs.select("file", F.coalesce(F.size(arr), F.lit(0)).alias("entries"),
+                        F.when(F.col("_v").isNull(), F.lit(0)).when(arr.isNull(), 1).when(F.size(arr) == 0, 2).alias("file_rule"),
+                        arr.alias("_arr"))
     entries = (files.where(F.col("_arr").isNotNull())
                .select("file", F.posexplode("_arr").alias("entry_idx", "entry")))
-    bad = validate_nested(entries, keys=("file",), parsed=True).where(F.col("rule").isNotNull())
-    first = bad.groupBy("file").agg(
+    return _file_verdicts(files, validate_nested(entries, keys=("file",), parsed=True))
+
+
+def validate_json_arrays(spark, path: str, piece: int | None = None) -> DataFrame:
+    """V-2 on files of any size, read by byte ranges: as :func:`validate_dataset_files`, but a
+    file that does not begin with ``[`` breaks rule 1 whether or not it is JSON."""
+    entries, files = scan_json_arrays(spark, path, piece or PIECE)
+    ruled = files.select("file", F.when(F.col("reason").isNull(), F.col("entries")).otherwise(0).alias("entries"),
+                         F.when(F.col("reason") == "not JSON", 0).when(F.col("reason").isNotNull(), 1)
+                         .when(F.col("entries") == 0, 2).alias("file_rule"))
+    return _file_verdicts(ruled, validate_nested(entries, keys=("file",)))
+
+
+def _file_verdicts(files: DataFrame, ruled: DataFrame) -> DataFrame:
+    first = ruled.where(F.col("rule").isNotNull()).groupBy("file").agg(
         F.min(F.struct("entry_idx", F.coalesce("message_idx", F.lit(-1)).alias("m"), "rule")).alias("f"),
         F.count(F.lit(1)).alias("violations"))
-    out = files.join(first, "file", "left")
-    return out.select(
-        "file", F.coalesce(F.size("_arr"), F.lit(0)).alias("entries"),
-        (F.col("file_rule").isNull() & F.col("f").isNull()).alias("is_valid"),
+    return files.join(first, "file", "left").select(
+        "file", "entries", (F.col("file_rule").isNull() & F.col("f").isNull()).alias("is_valid"),
         F.coalesce(F.col("file_rule"), F.col("f.rule")).alias("first_violation_rule"),
         F.when(F.col("file_rule").isNull(), F.col("f.entry_idx")).alias("first_violation_entry"),
         F.when(F.col("file_rule").isNull() & (F.col("f.m") >= 0), F.col("f.m")).alias("first_violation_message"),
@@ -302,6 +377,58 @@ def key_profile(entries: DataFrame, entry: str = "entry") -> DataFrame:
         "key", "value_kind", "items").agg(F.count(F.lit(1)).alias("entries"))
 
 
+def path_profile(entries: DataFrame, entry: str = "entry") -> DataFrame:
+    """A-18 at any depth: how many values (and entries with one) stand at each path, by kind
+    and, for lists, by number of items.
+
+    ``$`` is the entry, ``.name`` a key and ``[]`` any item.  A task counts the paths of
+    its rows in one parse of each and passes sums on, so what is shuffled grows with the
+    shapes, not with the entries.  Text that is no JSON is kind ``malformed``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list[int]] = {}
+
+        def rows() -> pa.RecordBatch:
+            cols = list(zip(*((*k, *n) for k, n in found.items()))) or [()] * 5
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))],
+                ["path", "kind", "items", "n", "entries"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for key, n in Counter(json_paths(text)).items():
+                    both = found.setdefault(key, [0, 0])
+                    both[0] += n
+                    both[1] += 1
+                if len(found) > 50_000:
+                    yield rows()
+        yield rows()
+
+    sums = entries.select(entry).mapInArrow(run, "path string, kind string, items int, n long, entries long")
+    return sums.groupBy("path", "kind", "items").agg(F.sum("n").alias("n"), F.sum("entries").alias("entries"))
+
+
+def json_paths(text: str | None) -> Iterator[tuple[str, str, int | None]]:
+    """path, kind and number of items of every value of one JSON text."""
+    try:
+        open_values = [("$", json.loads(text))]
+    except (TypeError, ValueError):
+        yield "$", "malformed", None
+        return
+    while open_values:
+        path, value = open_values.pop()
+        if isinstance(value, dict):
+            yield path, "object", None
+            open_values += [(f"{path}.{k}", v) for k, v in value.items()]
+        elif isinstance(value, list):
+            yield path, "array", len(value)
+            open_values += [(f"{path}[]", v) for v in value]
+        else:
+            yield path, ("null" if value is None else "boolean" if isinstance(value, bool) else
+                         "string" if isinstance(value, str) else "number"), None
+
+
 def length_limits(rows: DataFrame, content: str, order: list[str], lo: int = MIN_CONTENT_LENGTH,
                   hi: int = MAX_CONTENT_LENGTH, unique: bool = True) -> DataFrame:
     """F-12: content length within [lo, hi]; optionally first copy of each text."""

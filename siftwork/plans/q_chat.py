@@ -226,7 +226,7 @@ def flat_invalid_pairs(spark, sf_dir):
 
 
 _NESTED_SQL = """
-WITH j AS (SELECT entry_idx, entry, json_valid(entry) AS ok FROM fx_entry_json),
+WITH j AS (SELECT entry_idx, CASE WHEN json_valid(entry) THEN entry END AS entry, json_valid(entry) AS ok FROM fx_entry_json),
 r AS (SELECT entry_idx,
   CASE WHEN NOT ok THEN 0
        WHEN json_type(entry) <> 'OBJECT' THEN 3
@@ -264,10 +264,64 @@ def nested_validate_summary(spark, sf_dir):
     return C.nested_summary(C.validate_nested(fixture(spark, sf_dir, "fx_entry_json")))
 
 
+_VIOLATIONS_SQL = """
+WITH j AS (SELECT entry_idx, CASE WHEN json_valid(entry) THEN entry END AS entry FROM fx_entry_json),
+t AS (SELECT entry_idx, entry, json_type(entry) AS kind, json_type(entry, '$.messages') AS list FROM j),
+m AS (SELECT entry_idx, i AS message_idx, json_extract(entry, '$.messages[' || i || ']') AS m FROM (
+  SELECT entry_idx, entry, unnest(range(CAST(json_array_length(entry, '$.messages') AS BIGINT))) AS i FROM t WHERE kind = 'OBJECT' AND list = 'ARRAY')),
+x AS (
+  SELECT entry_idx, NULL AS message_idx, 0 AS rule, NULL AS field FROM t WHERE entry IS NULL
+  UNION ALL SELECT entry_idx, NULL, 3, NULL FROM t WHERE kind <> 'OBJECT'
+  UNION ALL SELECT entry_idx, NULL, 4, 'messages' FROM t WHERE kind = 'OBJECT' AND list IS NULL
+  UNION ALL SELECT entry_idx, NULL, 5, 'messages' FROM t WHERE kind = 'OBJECT' AND (list <> 'ARRAY' OR json_array_length(entry, '$.messages') <> 2)
+  UNION ALL SELECT entry_idx, message_idx, 6, NULL FROM m WHERE json_type(m) <> 'OBJECT'
+  UNION ALL SELECT entry_idx, message_idx, 7, 'content' FROM m WHERE json_type(m) = 'OBJECT' AND json_extract(m, '$.content') IS NULL
+  UNION ALL SELECT entry_idx, message_idx, 7, 'role' FROM m WHERE json_type(m) = 'OBJECT' AND json_extract(m, '$.role') IS NULL
+  UNION ALL SELECT entry_idx, message_idx, 8, 'role' FROM m WHERE json_type(m) = 'OBJECT' AND json_extract(m, '$.role') IS NOT NULL
+    AND (json_type(m, '$.role') <> 'VARCHAR' OR json_extract_string(m, '$.role') NOT IN ('user', 'assistant')))
+"""
+
+
+@register("nested_violations", oracle(["fx_entry_json"], _VIOLATIONS_SQL + """
+SELECT entry_idx, CAST(message_idx AS INTEGER) AS message_idx, CAST(rule AS INTEGER) AS rule, field FROM x"""))
+def nested_violations(spark, sf_dir):
+    """V-2: every rule that an entry or one of its messages breaks."""
+    return C.entry_violations(fixture(spark, sf_dir, "fx_entry_json"))
+
+
+@register("nested_verdict", oracle(["fx_entry_json"], _VIOLATIONS_SQL + """,
+o AS (SELECT *, (entry_idx, coalesce(message_idx, -1), rule) AS place FROM x)
+SELECT (SELECT count(*) FROM t) AS entries, count(DISTINCT entry_idx) AS invalid_entries, count(*) AS violations,
+       """ + ", ".join(f"count(*) FILTER (WHERE rule = {r}) AS rule_{r}" for r in (0, 3, 4, 5, 6, 7, 8)) + """,
+       (SELECT count(*) FROM t) > 0 AND count(*) = 0 AS is_valid, arg_min(entry_idx, place) AS first_entry,
+       CAST(nullif(arg_min(coalesce(message_idx, -1), place), -1) AS INTEGER) AS first_message,
+       CAST(arg_min(rule, place) AS INTEGER) AS first_rule
+FROM o"""))
+def nested_verdict(spark, sf_dir):
+    """V-2: counts by rule, the verdict and the first violation of the dataset."""
+    entries = fixture(spark, sf_dir, "fx_entry_json")
+    return C.dataset_verdict(entries, C.entry_violations(entries))
+
+
+@register("entry_paths", oracle(["fx_entry_json"], """
+WITH j AS (SELECT entry_idx, CASE WHEN json_valid(entry) THEN entry END AS entry FROM fx_entry_json),
+v AS (SELECT entry_idx, regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, t.type AS type,
+             CASE WHEN t.type = 'ARRAY' THEN CAST(json_array_length(t.value) AS INTEGER) END AS items
+      FROM j, json_tree(j.entry) t WHERE entry IS NOT NULL),
+k AS (SELECT entry_idx, path, items, CASE WHEN type IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') THEN lower(type)
+        WHEN type = 'VARCHAR' THEN 'string' ELSE 'number' END AS kind FROM v
+      UNION ALL SELECT entry_idx, '$', NULL, 'malformed' FROM j WHERE entry IS NULL)
+SELECT path, kind, items, count(*) AS n, count(DISTINCT entry_idx) AS entries FROM k GROUP BY path, kind, items"""))
+def entry_paths(spark, sf_dir):
+    """A-18: kinds and list sizes at every path of the entries, however deep."""
+    return C.path_profile(fixture(spark, sf_dir, "fx_entry_json"))
+
+
 @register("entry_profile", oracle(["fx_entry_json"], """
-WITH k AS (SELECT entry,
-  CASE WHEN NOT json_valid(entry) THEN 'malformed' WHEN json_type(entry) = 'OBJECT' THEN 'object'
-       WHEN json_type(entry) = 'ARRAY' THEN 'array' ELSE 'scalar' END AS kind FROM fx_entry_json),
+WITH j AS (SELECT CASE WHEN json_valid(entry) THEN entry END AS entry FROM fx_entry_json),
+k AS (SELECT entry,
+  CASE WHEN entry IS NULL THEN 'malformed' WHEN json_type(entry) = 'OBJECT' THEN 'object'
+       WHEN json_type(entry) = 'ARRAY' THEN 'array' ELSE 'scalar' END AS kind FROM j),
 s AS (SELECT kind,
   CASE WHEN kind = 'object' THEN array_to_string(list_sort(json_keys(entry)), ',') END AS keys,
   CASE WHEN kind = 'object' AND json_extract(entry, '$.messages') IS NOT NULL THEN
@@ -281,7 +335,8 @@ def entry_profile(spark, sf_dir):
 
 
 @register("entry_key_profile", oracle(["fx_entry_json"], """
-WITH o AS (SELECT entry, unnest(json_keys(entry)) AS key FROM fx_entry_json WHERE json_valid(entry) AND json_type(entry) = 'OBJECT'),
+WITH j AS (SELECT CASE WHEN json_valid(entry) THEN entry END AS entry FROM fx_entry_json),
+o AS (SELECT entry, unnest(json_keys(entry)) AS key FROM j WHERE json_type(entry) = 'OBJECT'),
 t AS (SELECT key, json_extract(entry, '$.' || key) AS value FROM o),
 k AS (SELECT key, CASE json_type(value) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'scalar' END AS value_kind,
              CASE WHEN json_type(value) = 'ARRAY' THEN CAST(json_array_length(value) AS INTEGER) END AS items FROM t)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..operators import chat as C
 from ..session import fresh_path
 from ..sources.fixtures import fixture
+from ..sources.json_arrays import read_json_arrays
 from ..sources.io import append_increment, read_dataset, read_json_documents, write_dataset
 from ..sources.tables import read_table
 from .q_chat import _NESTED_SQL
-from .registry import oracle, register
+from .registry import ORACLES, oracle, register
 
 CONVERSATION_SCHEMA = StructType([
     StructField("conv_id", LongType()), StructField("turn", LongType()),
@@ -74,10 +75,10 @@ def sink_ignore(spark, sf_dir):
 
 
 def _documents(spark, sf_dir, path):
-    """One JSON document per 16 conversations: an array of entries, but some are broken
+    """One JSON document per 4 conversations: an array of their entries, but some are broken
     off, objects, or empty."""
-    e = fixture(spark, sf_dir, "fx_entry_json")
-    bucket = F.floor(F.col("entry_idx") / 16).cast("long")
+    e = fixture(spark, sf_dir, "fx_entry_json").where(F.try_parse_json("entry").isNotNull())
+    bucket = F.floor(F.col("entry_idx") / 4000000).cast("long")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_idx", "entry"))), lambda x: x["entry"]), ",")
     docs = e.groupBy(bucket.alias("bucket")).agg(joined.alias("all"))
     kind = F.col("bucket") % 5
@@ -87,7 +88,8 @@ def _documents(spark, sf_dir, path):
 
 
 _BUCKETS_SQL = _NESTED_SQL + """,
-e AS (SELECT v.*, v.entry_idx // 16 AS bucket, row_number() OVER (PARTITION BY v.entry_idx // 16 ORDER BY v.entry_idx) - 1 AS place FROM v),
+e AS (SELECT v.*, v.entry_idx // 4000000 AS bucket, row_number() OVER (PARTITION BY v.entry_idx // 4000000 ORDER BY v.entry_idx) - 1 AS place
+      FROM v WHERE coalesce(rule, -1) <> 0),
 f AS (SELECT bucket, bucket % 5 AS kind, count(*) AS n, min(place) FILTER (WHERE rule IS NOT NULL) AS first_at FROM e GROUP BY bucket)
 """
 
@@ -108,7 +110,7 @@ def validate_files(spark, sf_dir):
 
 
 @register("read_rejects", oracle(["fx_entry_json"], _BUCKETS_SQL + """,
-bad AS (SELECT entry_idx // 16 AS bucket, bool_or(json_type(entry) <> 'OBJECT') AS odd FROM fx_entry_json GROUP BY 1)
+bad AS (SELECT entry_idx // 4000000 AS bucket, bool_or(json_type(entry) <> 'OBJECT') AS odd FROM j WHERE ok GROUP BY 1)
 SELECT f.bucket, CASE WHEN kind = 1 THEN 'not JSON' WHEN kind = 2 THEN 'not an array' ELSE 'an entry is not an object' END AS reason
 FROM f JOIN bad ON bad.bucket = f.bucket WHERE kind IN (1, 2) OR (kind IN (0, 4) AND odd)"""))
 def read_rejects(spark, sf_dir):
@@ -118,3 +120,50 @@ def read_rejects(spark, sf_dir):
     schema = StructType([StructField("foo", LongType())])
     _, rejects = read_json_documents(spark, path, schema)
     return rejects.select(F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("bucket"), "reason")
+
+
+_ENTRY_SCHEMA = StructType([StructField("messages", StringType()), StructField("conversation", StringType()),
+                            StructField("meta", StructType([StructField("conv", LongType()), StructField("turns", ArrayType(LongType()))]))])
+#: Documents of some entries are read in pieces of this many bytes, so that every one has several.
+_SMALL_PIECE = 4096
+
+_ENTRIES_SQL = _BUCKETS_SQL + """,
+bad AS (SELECT entry_idx // 4000000 AS bucket, bool_or(json_type(entry) <> 'OBJECT') AS odd FROM j WHERE ok GROUP BY 1)
+SELECT e.bucket, CAST(e.place AS BIGINT) AS entry_idx, CAST(json_extract(j.entry, '$.meta.conv') AS BIGINT) AS conv,
+       json_array_length(j.entry, '$.meta.turns') AS n_turns, json_extract_string(j.entry, '$.conversation') AS conversation
+FROM e JOIN j ON j.entry_idx = e.entry_idx JOIN bad ON bad.bucket = e.bucket
+WHERE e.bucket % 5 IN (0, 4) AND NOT odd"""
+
+#: What the queries show of an entry.
+_ENTRY_COLUMNS = ("meta.conv AS conv", "CASE WHEN meta.turns IS NOT NULL THEN CAST(size(meta.turns) AS BIGINT) END AS n_turns",
+                  "conversation")
+
+
+@register("read_documents", oracle(["fx_entry_json"], _ENTRIES_SQL.replace(
+    "SELECT e.bucket, CAST(e.place AS BIGINT) AS entry_idx, CAST", "SELECT CAST")))
+def read_documents(spark, sf_dir):
+    """S-1: the entries of all dataset files that are arrays of objects."""
+    path = fresh_path(spark, "documents")
+    _documents(spark, sf_dir, path)
+    entries, _ = read_json_documents(spark, path, _ENTRY_SCHEMA)
+    return entries.selectExpr(*_ENTRY_COLUMNS)
+
+
+@register("read_arrays", oracle(["fx_entry_json"], _ENTRIES_SQL))
+def read_arrays(spark, sf_dir):
+    """S-1 by byte ranges: the same entries with their places, each file read in many pieces."""
+    path = fresh_path(spark, "documents")
+    _documents(spark, sf_dir, path)
+    entries, _ = read_json_arrays(spark, path, _ENTRY_SCHEMA, piece=_SMALL_PIECE)
+    bucket = F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long")
+    return entries.withColumn("bucket", bucket).selectExpr("bucket", "entry_idx", *_ENTRY_COLUMNS)
+
+
+@register("validate_arrays", ORACLES["validate_files"])
+def validate_arrays(spark, sf_dir):
+    """V-2 by byte ranges: the verdicts of validate_files, each file read in many pieces."""
+    path = fresh_path(spark, "documents")
+    _documents(spark, sf_dir, path)
+    out = C.validate_json_arrays(spark, path, piece=_SMALL_PIECE)
+    bucket = F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long")
+    return out.select(bucket.alias("bucket"), "entries", "is_valid", "first_violation_rule", "first_violation_entry")

@@ -113,18 +113,35 @@ SELECT doc_id AS entry_id,
 FROM documents
 """)
 
-_fx("fx_entry_json", ["conversations"], """
-SELECT conv_id AS entry_idx,
-  CASE conv_id % 8
-    WHEN 0 THEN concat('{"messages":[{"content":"q', CAST(conv_id AS STRING), '","role":"user"},{"content":"a","role":"assistant"}]}')
-    WHEN 1 THEN '[1,2]'
-    WHEN 2 THEN '{"foo":1}'
-    WHEN 3 THEN '{"messages":[{"content":"only one","role":"user"}]}'
-    WHEN 4 THEN '{"messages":["x",{"content":"a","role":"assistant"}]}'
-    WHEN 5 THEN '{"messages":[{"content":"q"},{"content":"a","role":"assistant"}]}'
-    WHEN 6 THEN '{"messages":[{"content":"q","role":"system"},{"content":"a","role":"assistant"}]}'
-    ELSE '{"messages":{"content":"q"}}' END AS entry
-FROM conversations WHERE turn = 0
+def _json_text(col: str) -> str:
+    """SQL of a JSON string literal that holds ``col`` (null: empty)."""
+    out = f"coalesce({col}, '')"
+    for found, put in (("chr(92)", "concat(chr(92), chr(92))"), ("chr(34)", "concat(chr(92), chr(34))"),
+                       ("chr(10)", "concat(chr(92), 'n')"), ("chr(13)", "concat(chr(92), 'r')"),
+                       ("chr(9)", "concat(chr(92), 't')")):
+        out = f"replace({out}, {found}, {put})"
+    return f"concat(chr(34), {out}, chr(34))"
+
+
+_FIRST, _SECOND = (f"concat('{{\"content\":', {_json_text(f'{t}.text')}, ',\"role\":', {_json_text(f'{t}.role')}, '}}')" for t in "ua")
+_META = """concat('"meta":{"conv":', CAST(u.conv_id AS STRING), ',"turns":[', CAST(u.turn AS STRING),
+      CASE WHEN a.turn IS NULL THEN '' ELSE concat(',', CAST(a.turn AS STRING)) END, '],"tags":[{"name":"first","value":',
+      CASE WHEN u.turn = 0 THEN 'true' ELSE 'null' END, '}', CASE WHEN u.turn = 2 THEN ',7.5,["x"]' ELSE '' END, ']}')"""
+
+# One entry per two turns of a conversation, with the whole texts of both; its last turn
+# may stand alone.  Six in thirteen entries have a defect, some of them two.
+_fx("fx_entry_json", ["conversations"], f"""
+SELECT u.conv_id * 1000000 + CAST(floor(u.turn / 2) AS BIGINT) AS entry_idx,
+  CASE WHEN (u.conv_id + u.turn) % 13 = 5 THEN concat('{{"messages":[{{"role":', {_json_text('u.role')}, '}},{{"content":', {_json_text('a.text')}, ',"role":"bot"}}]}}')
+    WHEN (u.conv_id + u.turn) % 13 = 6 THEN concat('{{"messages":[', {_json_text('u.text')}, ',{{"said":', {_json_text('a.text')}, '}}]}}')
+    WHEN (u.conv_id + u.turn) % 13 = 7 THEN concat('{{"messages":{{"content":', {_json_text('u.text')}, '}},', {_META}, '}}')
+    WHEN (u.conv_id + u.turn) % 13 = 8 THEN concat('[', {_json_text('u.text')}, ',', {_json_text('a.text')}, ']')
+    WHEN (u.conv_id + u.turn) % 13 = 9 THEN concat('{{"messages":[', {_FIRST}, ',{{"content":"', substr(u.text, 1, 40))
+    WHEN (u.conv_id + u.turn) % 13 = 10 THEN concat('{{"messages":[', {_FIRST}, ',', {_FIRST}, ',{{"content":null,"role":7}}],', {_META}, '}}')
+    WHEN (u.conv_id + u.turn) % 13 = 11 THEN concat('{{"conversation":', {_json_text('u.text')}, '}}')
+    ELSE concat('{{"messages":[', {_FIRST}, CASE WHEN a.turn IS NULL THEN '' ELSE concat(',', {_SECOND}) END, '],', {_META}, '}}') END AS entry
+FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.turn % 2 = 0
 """)
 
 # Page texts for the web scorers: the driver documents carry no technical
