@@ -10,6 +10,7 @@ from ..session import fresh_path
 from ..sources.fixtures import fixture
 from ..sources.json_arrays import read_json_arrays
 from ..sources.io import append_increment, read_dataset, read_json_documents, write_dataset
+from ..sources.replace import read_current, replace_dataset
 from ..sources.tables import read_table
 from .q_chat import _NESTED_SQL
 from .registry import ORACLES, oracle, register
@@ -47,6 +48,20 @@ def sink_overwrite(spark, sf_dir):
     return _back(spark, path)
 
 
+@register("sink_rewrite", oracle([], """
+SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'
+UNION ALL SELECT conv_id, turn + 1000, role, concat(text, '!') FROM conversations WHERE role = 'assistant' AND text IS NOT NULL"""))
+def sink_rewrite(spark, sf_dir):
+    """K-2 onto the path being read: a dataset replaced by rows that are read from it."""
+    path = fresh_path(spark, "rewrite")
+    replace_dataset(_turns(spark, sf_dir), path)
+    stored = read_current(spark, path, CONVERSATION_SCHEMA).select("conv_id", "turn", "role", "text")
+    louder = stored.where("role = 'assistant' AND text IS NOT NULL").withColumns(
+        {"turn": F.col("turn") + 1000, "text": F.concat("text", F.lit("!"))})
+    replace_dataset(stored.where("role <> 'system'").unionByName(louder), path)
+    return read_current(spark, path, CONVERSATION_SCHEMA).select("conv_id", "turn", "role", "text")
+
+
 @register("sink_append", oracle([], "SELECT conv_id, turn, role, text FROM conversations"))
 def sink_append(spark, sf_dir):
     """S-2 + K-3: no dataset is an empty one; increments are added to it."""
