@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.chat import CLEAN_PREFIXES, VARIABLE_GROUPS, judge_prompt, remove_prompt_echo
+from ..functions.chat import CLEAN_PREFIXES, VARIABLE_GROUPS, judge_prompt, pair_hash, remove_prompt_echo
 from ..operators import chat as C
+from ..session import fresh_path, staged as stage
 from ..sources.fixtures import fixture
+from ..sources.history import add_keys, unseen
 from ..sources.tables import read_table
 from .q_pages import _strip
 from .registry import DWS, oracle, register
@@ -160,6 +162,19 @@ def pair_retries(spark, sf_dir):
     return unique(spark, sf_dir, "fx_retries").select("batch_id", "attempt", "pos", "prompt_id", "pair_hash", "user", "assistant")
 
 
+@register("pair_history", oracle(["fx_completions"], _UNIQUE_SQL + """
+SELECT prompt_id, pos, pair_hash FROM fresh"""))
+def pair_history(spark, sf_dir):
+    """J-1 + SET-4 against an index kept over three runs: valid pairs that no run has stored."""
+    path = fresh_path(spark, "pair-history")
+    stored = stage(C.existing_hashes(flat_conversations(spark, sf_dir)), "stored-hashes")
+    third = F.pmod(F.xxhash64("pair_hash"), F.lit(3))
+    for run in range(3):
+        add_keys(stored.where(third == run), "pair_hash", path)
+    cand = C.valid_pairs(pairs(spark, sf_dir)).withColumn("pair_hash", pair_hash("user", "assistant"))
+    return unseen(stage(cand, "candidates"), "pair_hash", path).select("prompt_id", "pos", "pair_hash")
+
+
 @register("pair_union", oracle(["fx_completions"], _UNIQUE_SQL + """,
 xe AS (SELECT pid, u, a FROM xp WHERE n = 2)
 SELECT 'existing' AS origin, pid AS entry_idx, 0 AS entry_pos, u AS user_content, 'user' AS user_role, a AS assistant_content, 'assistant' AS assistant_role FROM xe

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from ..operators import chat as C
 from ..session import fresh_path
 from ..sources.fixtures import fixture
+from ..sources.history import add_keys, unseen
 from ..sources.json_arrays import read_json_arrays
 from ..sources.io import append_increment, read_dataset, read_json_documents, write_dataset
 from ..sources.replace import read_current, replace_dataset
@@ -182,3 +183,14 @@ def validate_arrays(spark, sf_dir):
     out = C.validate_json_arrays(spark, path, piece=_SMALL_PIECE)
     bucket = F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long")
     return out.select(bucket.alias("bucket"), "entries", "is_valid", "first_violation_rule", "first_violation_entry")
+
+
+@register("url_history", oracle(["fx_page_urls"], """
+SELECT page_id, url FROM fx_page_urls WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 < 2)"""))
+def url_history(spark, sf_dir):
+    """J-4 against an index kept over two runs: the URLs that neither has scraped."""
+    path = fresh_path(spark, "url-history")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    for run in (0, 1):
+        add_keys(pages.where(F.col("page_id") % 3 == run), "url", path)
+    return unseen(fixture(spark, sf_dir, "fx_page_urls"), "url", path).select("page_id", "url")
