@@ -8,7 +8,7 @@ row as array expressions; cross-row work is keyed:
 * first-occurrence-per-hash is ``row_number() = 1`` per hash, planned as a
   WindowGroupLimit, so a hash repeated millions of times forwards one row per
   map task;
-* flat positions come from per-conversation counts plus a blocked prefix sum.
+* flat positions are prefix sums over ranges of (conversation, turn).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from ..functions.text import fence, py_strip
 from ..session import staged as stage
 from ..sources.json_arrays import PIECE, scan_json_arrays
 from .retry import kept_attempts
-from .running import running_sum
+from .running import ranked, running_sum
 
 MIN_PAIR_CHARS = 5
 MIN_CONTENT_LENGTH = 10
@@ -108,12 +108,10 @@ def valid_pairs(pairs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- layouts
 
 def flat_positions(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """Global 0-based position ``idx`` of each row in (group, order) order,
-    from per-group counts and a blocked prefix sum (no single-task window)."""
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    offs = running_sum(counts, group, ["_n"]).withColumn("_off", F.col("_n_cum") - F.col("_n")).select(group, "_off")
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.join(offs, group).withColumn("idx", F.col("_off") + F.row_number().over(w) - 1).drop("_off")
+    """Global 0-based position ``idx`` of each row in (group, order) order, from ranges of
+    that order: a conversation that holds a third of all rows is spread over many."""
+    placed = ranked(rows, [F.col(group), F.col(order)], {"_one": F.lit(1)})
+    return placed.withColumn("idx", F.col("_one_cum") - 1).drop("_one", "_one_cum")
 
 
 def flat_to_pairs(flat: DataFrame, idx: str = "idx") -> DataFrame:
@@ -178,7 +176,7 @@ def batch_shortfall(prompts: DataFrame, produced: DataFrame, batch_size: int) ->
     batches = prompts.select("batch_id").distinct()
     got = produced.groupBy("batch_id").agg(F.count(F.lit(1)).alias("produced"))
     per = batches.join(got, "batch_id", "left").fillna(0, ["produced"])
-    cum = running_sum(per, "batch_id", ["produced"])
+    cum = running_sum(stage(per, "batches"), "batch_id", ["produced"])
     out = cum.crossJoin(F.broadcast(n))  # one-row side
     requested = F.least(F.lit(batch_size), F.col("num_entries") - (F.col("produced_cum") - F.col("produced")))
     return out.select("batch_id", requested.cast("long").alias("requested"), F.col("produced").cast("long").alias("produced"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.judge import DIMENSIONS, fill_overall, keyed_lines, parse_scores
 from ..functions.text import fence
+from ..sources.io import write_observed
 
 MIN_SCORE = 6.0
 INVALID_ENTRY = "Invalid entry format"
@@ -50,15 +51,23 @@ def keep_high_quality(evals: DataFrame, min_score: float = MIN_SCORE) -> DataFra
     return evals.where(F.col("error").isNull() & (F.col("scores.overall") >= min_score))
 
 
-def evaluation_summary(evals: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """A-10 + A-11: counts, kept rate (%), and mean of each score over values > 0."""
+def summary_columns(min_score: float = MIN_SCORE) -> list:
+    """A-10 + A-11: the counts and the mean of each score over values > 0."""
     ok = F.col("error").isNull()
     kept = ok & (F.col("scores.overall") >= min_score)
     avgs = [F.avg(F.when(ok & (F.col(f"scores.{d}") > 0), F.col(f"scores.{d}"))).alias(f"avg_{d}")
             for d in DIMENSIONS + ["overall"]]
-    agg = evals.agg(F.count(F.lit(1)).alias("original_count"), F.count_if(ok).alias("evaluated_count"),
-                    F.count_if(kept).alias("high_quality_count"), *avgs)
-    return agg.select(
+    return [F.count(F.lit(1)).alias("original_count"), F.count_if(ok).alias("evaluated_count"),
+            F.count_if(kept).alias("high_quality_count"), *avgs]
+
+
+def evaluation_summary(evals: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """A-10 + A-11: counts, kept rate (%), and mean scores of stored evaluations."""
+    return finished_summary(evals.agg(*summary_columns(min_score)), min_score)
+
+
+def finished_summary(counted: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    return counted.select(
         "original_count", "evaluated_count", "high_quality_count",
         (F.col("original_count") - F.col("high_quality_count")).alias("filtered_count"),
         F.lit(min_score).alias("filter_threshold"),
@@ -72,10 +81,12 @@ def write_evaluation(entries: DataFrame, evals: DataFrame, out_dir: str, min_sco
     """K-6: the filtered dataset and the evaluation report from one evaluation.
 
     The evaluation is checkpointed once (reliable, in the shared checkpoint
-    folder) so both outputs read the same judged rows without recomputation.
+    folder) so both outputs read the same judged rows without recomputation; the summary
+    is kept by the tasks that write the evaluations.
     """
     ev = evals.checkpoint(eager=True)
     kept = entries.join(keep_high_quality(ev, min_score).select(key), key, "left_semi")
     kept.write.mode("overwrite").json(f"{out_dir}/dataset")
-    evaluation_summary(ev, min_score).write.mode("overwrite").json(f"{out_dir}/evaluation_report/summary")
-    ev.where(F.col("error").isNull()).write.mode("overwrite").json(f"{out_dir}/evaluation_report/evaluations")
+    counted = write_observed(ev, f"{out_dir}/evaluation_report/evaluations", summary_columns(min_score),
+                             keep=F.col("error").isNull(), mode="overwrite")
+    finished_summary(counted, min_score).write.mode("overwrite").json(f"{out_dir}/evaluation_report/summary")

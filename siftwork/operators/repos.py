@@ -26,6 +26,7 @@ from ..functions.paths import (
 )
 from ..functions.text import fence, md5_prefix
 from ..functions.webscore import with_repeated_terms
+from ..session import staged as stage
 
 # Fixed values that must equal the reference defaults.
 FIRST_FILES = 50            # limit of the "first N files" form
@@ -226,17 +227,18 @@ def repo_runs(urls: DataFrame, paths: DataFrame, contents: DataFrame,
               max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """P-5 + S-3 + analysis per requested URL.
 
-    Returns (results, analysed): results has one row per URL with ``error``
+    Returns (results, analysed), both staged: results has one row per URL with ``error``
     (invalid URL / no repository files) or the metrics; F-13 keeps rows with
     a null error.
     """
     owner, repo, err = repo_url_parts("url")
     req = urls.select("url", "pos", owner.alias("owner"), repo.alias("repo"), err.alias("error"))
     # one pass over the tree: does the repository exist, and does it have wanted entries
-    flags = paths.groupBy(*KEY).agg(F.bool_or(~is_unwanted("path")).alias("_has"))
+    flags = stage(paths.groupBy(*KEY).agg(F.bool_or(~is_unwanted("path")).alias("_has")), "repo-flags")
     usable = flags.where(F.col("_has")).select(*KEY)
-    analysed = analyse_paths(paths.join(req.where("error IS NULL").select(*KEY).distinct(), KEY, "left_semi"),
-                             contents, max_files)
+    # written once, without contents: the metrics and the file corpus both start from it
+    analysed = stage(analyse_paths(paths.join(req.where("error IS NULL").select(*KEY).distinct(), KEY, "left_semi"),
+                                   contents, max_files).drop("content"), "analysed")
     metrics = repo_metrics(analysed, usable)
     res = (req.join(flags, KEY, "left")
            .withColumn("error", F.coalesce(
@@ -248,7 +250,7 @@ def repo_runs(urls: DataFrame, paths: DataFrame, contents: DataFrame,
     res = res.withColumn("files_limit_reached",
                          F.when(F.col("error").isNull(), F.lit(False) if max_files is None
                                 else F.col("total_files_analyzed") >= max_files))
-    return fence(res), analysed
+    return stage(res, "repo-runs"), analysed
 
 
 def run_summary(results: DataFrame) -> DataFrame:
@@ -339,11 +341,16 @@ def file_records(scored: DataFrame, min_quality: float = MIN_FILE_QUALITY, min_w
     )
 
 
-def file_stats(records: DataFrame) -> DataFrame:
+def file_stat_columns() -> list:
     """A-9: files, total characters, average quality (0 when there are none)."""
-    return records.agg(
+    return [
         F.count(F.lit(1)).alias("total_files"),
         F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("total_characters"),
         F.coalesce(F.avg("metadata.quality_score"), F.lit(0.0)).alias("avg_quality_score"),
-    )
+    ]
+
+
+def file_stats(records: DataFrame) -> DataFrame:
+    """A-9 of stored records."""
+    return records.agg(*file_stat_columns())
 

@@ -4,7 +4,8 @@ A window ordered over a whole table runs in one task.  Here the rows are dealt
 by ranges of the order, so each task holds a stretch of it; one total per range
 (as many rows as there are shuffle partitions, whatever the table holds) gives
 the offsets, and a window inside each range does the rest.  The dealt rows are
-written once: ranges come from a sample, and both uses must see the same ones.
+written once: ranges come from a sample, and both uses must see the same ones.  The
+sample reads the input a first time, so callers stage an input that is dear to compute.
 """
 
 from __future__ import annotations

@@ -109,14 +109,19 @@ def retrieval_records(scored: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def retrieval_stats(records: DataFrame) -> DataFrame:
-    """A-7: one row of dataset statistics (null averages on an empty set)."""
-    return records.agg(
+def retrieval_stat_columns() -> list:
+    """A-7: dataset statistics (null averages on an empty set)."""
+    return [
         F.count(F.lit(1)).alias("total_documents"),
         F.avg("metadata.quality_score").alias("avg_quality_score"),
         F.avg("metadata.coherence_score").alias("avg_coherence_score"),
         F.coalesce(F.sum("metadata.word_count"), F.lit(0)).cast("long").alias("total_words"),
-    )
+    ]
+
+
+def retrieval_stats(records: DataFrame) -> DataFrame:
+    """A-7 of stored records: one row."""
+    return records.agg(*retrieval_stat_columns())
 
 
 def source_breakdown(rows: DataFrame, column: str = "metadata.source_type", count: str = "documents") -> DataFrame:

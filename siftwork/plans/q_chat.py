@@ -183,11 +183,11 @@ SELECT 'generated', batch_id, pos, "user", 'user', assistant, 'assistant' FROM u
 def pair_union(spark, sf_dir):
     """SET-1 + P-31: existing entries then generated entries as nested
     messages (flattened for comparison)."""
-    flat = flat_conversations(spark, sf_dir).withColumnRenamed("has_content", "has_content")
+    flat = flat_conversations(spark, sf_dir)
     ex = C.flat_to_pairs(flat).where(F.col("n") == 2).select(
         F.lit("existing").alias("origin"), F.col("pair_idx").alias("entry_idx"), F.lit(0).cast("long").alias("entry_pos"),
         "user", "assistant")
-    gen = unique(spark, sf_dir).select(F.lit("generated").alias("origin"), F.col("batch_id").cast("long").alias("entry_idx"),
+    gen = C.unique_pairs(pairs(spark, sf_dir), C.existing_hashes(flat)).select(F.lit("generated").alias("origin"), F.col("batch_id").cast("long").alias("entry_idx"),
                                        F.col("pos").cast("long").alias("entry_pos"), "user", "assistant")
     entries = C.nested_entries(ex.unionByName(gen))
     m = F.col("messages")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import repos as R
 from ..operators import search as S
+from ..session import fresh_path
 from ..sources.fixtures import fixture
+from ..sources.io import write_observed
 from ..sources.tables import read_table
 from .q_repos import analysis_ctes, analysed, runs, runs_ctes
 from .q_web import _KW_SQL
-from .registry import DWORD, DWS, oracle, register
+from .registry import DWORD, DWS, ORACLES, oracle, register
 
 _FX = ["fx_paths", "fx_code_files"]
 _FX_RUNS = ["fx_paths", "fx_code_files", "fx_page_urls", "fx_repo_urls"]
@@ -164,6 +166,13 @@ def file_stats(spark, sf_dir):
     return st.select("total_files", "total_characters", F.round("avg_quality_score", 6).alias("avg_quality_score"))
 
 
+@register("files_written", ORACLES["file_stats"])
+def files_written(spark, sf_dir):
+    """A-9 in one pass: the statistics of the file records, kept while they are written."""
+    st = write_observed(_records(spark, sf_dir), fresh_path(spark, "file-records"), R.file_stat_columns())
+    return st.select("total_files", "total_characters", F.round("avg_quality_score", 6).alias("avg_quality_score"))
+
+
 @register("topic_topn", oracle([], """
 SELECT topic, c_custkey, stars, rnk FROM (
   SELECT c_mktsegment AS topic, c_custkey, c_acctbal AS stars,

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import web
 from ..operators.pages import extract_pages
+from ..session import fresh_path
 from ..sources.fixtures import fixture
+from ..sources.io import write_observed
 from ..sources.tables import read_table
-from .registry import DWORD, DWS, oracle, register
+from .registry import DWORD, DWS, ORACLES, oracle, register
 from .q_web import _KW_SQL
 
 # ---------------------------------------------------------------- oracle side
@@ -226,6 +228,14 @@ def retrieval_stats(spark, sf_dir):
                      F.round("avg_coherence_score", 6).alias("avg_coherence_score"), "total_words")
 
 
+@register("retrieval_written", ORACLES["retrieval_stats"])
+def retrieval_written(spark, sf_dir):
+    """A-7 in one pass: the statistics of the records, kept while they are written."""
+    st = write_observed(_records(spark, sf_dir), fresh_path(spark, "records"), web.retrieval_stat_columns())
+    return st.select("total_documents", F.round("avg_quality_score", 6).alias("avg_quality_score"),
+                     F.round("avg_coherence_score", 6).alias("avg_coherence_score"), "total_words")
+
+
 @register("web_corpus_topk", oracle([], "WITH " + extraction_ctes("pages") + "," + scoring_ctes() + """
 SELECT substr(md5(url), 1, 12) AS id, url, title, source_type, round(quality, 6) AS quality_score,
        round(coherence, 6) AS coherence_score, word_count

@@ -80,4 +80,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     from files that every executor sees, whatever is lost meanwhile."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the driver delete a scratch table when it ends: results read it until then."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

@@ -8,7 +8,7 @@ written as JSON lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -56,6 +56,19 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite", fmt: str =
         w.parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, stats: list[Column], keep: Column | None = None, mode: str = "error",
+                   fmt: str = "json") -> DataFrame:
+    """Write a dataset (the rows that ``keep`` holds for) and take the statistics of all of
+    ``df`` from the same pass (A-7, A-9, A-10): one row of the aggregates ``stats``, which
+    the writing tasks keep as they go, so neither the work behind ``df`` nor the written files
+    are read again."""
+    spark, seen = df.sparkSession, Observation()
+    told = df.observe(seen, *stats)
+    write_dataset(told if keep is None else told.where(keep), path, mode=mode, fmt=fmt)
+    schema = df.limit(0).agg(*stats).schema
+    return spark.createDataFrame([tuple(seen.get[f.name] for f in schema)], schema)
+
+
 def read_json_documents(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """S-1 on documents (one JSON array per file): the entries of the arrays, and
     one report row per file that is no JSON array of objects, with the reason."""
