@@ -88,22 +88,21 @@ def web_coherence_inputs(content: Column | str, prefix: str = "_c") -> dict[str,
     }
 
 
+def _coherence(paragraphs: Column, dots: Column, repeated_terms: Column | str) -> Column:
+    repeated = F.least(col_(repeated_terms) * F.lit(0.2), F.lit(1.0))
+    return _clamp(F.lit(5.0) + F.when(paragraphs, F.lit(1.0)).otherwise(F.lit(0.0))
+                  + F.when(dots >= 3, repeated).otherwise(F.lit(0.0)))
+
+
 def web_coherence_from(repeated_terms: Column | str, prefix: str = "_c") -> Column:
-    score = F.lit(5.0)
-    score = score + F.when(F.col(f"{prefix}para"), F.lit(1.0)).otherwise(F.lit(0.0))
-    rep = F.least(col_(repeated_terms) * F.lit(0.2), F.lit(1.0))
-    score = score + F.when(F.col(f"{prefix}dots") >= 3, rep).otherwise(F.lit(0.0))
-    return _clamp(score)
+    """Coherence 0-10 (P-19) from staged inputs."""
+    return _coherence(F.col(f"{prefix}para"), F.col(f"{prefix}dots"), repeated_terms)
 
 
 def web_coherence_score(content: Column | str, repeated_terms: Column | str) -> Column:
     """Coherence 0-10 (P-19) given the A-15 count for the same content."""
-    content = F.coalesce(col_(content), F.lit(""))
-    score = F.lit(5.0)
-    score = score + F.when(py_strip(content).contains("\n\n"), F.lit(1.0)).otherwise(F.lit(0.0))
-    rep = F.least(col_(repeated_terms) * F.lit(0.2), F.lit(1.0))
-    score = score + F.when(count_substr(content, ".") >= 3, rep).otherwise(F.lit(0.0))
-    return _clamp(score)
+    inputs = web_coherence_inputs(content, "")
+    return _coherence(inputs["para"], inputs["dots"], repeated_terms)
 
 
 __all__ = ["WS", "with_repeated_terms", "web_coherence_score", "WEB_TECH_KEYWORDS"]
