@@ -9,11 +9,14 @@ counted.  A special string inside a text is one token, as the tokenizer's defaul
 has it, and ends the pre-token before it.
 
 Defined cases: null and empty text have 0 bytes and 0 tokens.  Texts are whole,
-however long; rows are independent, so repeated rows and ids are no matter.
+however long, and so are pre-tokens: one of more than ``LONG`` bytes is merged by the same
+rule with a heap.  Rows are independent, so repeated rows, repeated ids and rows without an
+id are no matter; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -28,6 +31,8 @@ from .common import worker_cache
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens kept per worker; the store starts anew beyond it.
 KEPT = 600_000
+#: Bytes of a pre-token beyond which it is merged on its own.
+LONG = 512
 NO_RANK = np.int64(1) << 40
 
 
@@ -38,11 +43,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def pattern() -> str:
-    """The vocabulary's pre-token pattern, white space as Unicode has it."""
+    """The vocabulary's pre-token pattern, white space as Unicode has it.  Words and numbers
+    are tried first: they begin with a letter, a digit or a space, contractions with a quote."""
     import public_tokenizers
 
-    return public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(
+    found = public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(
         r"\S", r"\P{White_Space}")
+    first = r" ?\p{L}+| ?\p{N}+|"
+    return first + found.replace(first, "", 1) if first in found else found
 
 
 def byte_symbols() -> dict[int, str]:
@@ -70,6 +78,7 @@ class Merges:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         names = byte_symbols()
         self.of_byte = np.array([vocab[names[b]] for b in range(256)], np.int64)
+        self.pairs: dict[int, tuple[int, int]] | None = None
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +120,52 @@ class Merges:
         return flat[order], own[order]
 
     def counts(self, pieces: list[bytes]) -> np.ndarray:
-        return np.bincount(self.survivors(pieces)[1], minlength=len(pieces))
+        """Symbols left of every piece.  A round goes over all symbols of a piece for one of its
+        ranks, so a piece of more than ``LONG`` bytes is merged on its own with a heap."""
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG]
+        if not long:
+            return np.bincount(self.survivors(pieces)[1], minlength=len(pieces))
+        out = np.zeros(len(pieces), np.int64)
+        short = np.ones(len(pieces), bool)
+        short[long] = False
+        rest = np.flatnonzero(short)
+        out[rest] = np.bincount(self.survivors([pieces[i] for i in rest])[1], minlength=len(rest))
+        for i in long:
+            out[i] = self.long_count(pieces[i])
+        return out
+
+    def long_count(self, piece: bytes) -> int:
+        """Symbols left of one piece: its pairs in a heap by rank and place, so each merge looks
+        at its two neighbours only."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        pairs, width, n = self.pairs, int(self.width), len(piece)
+        symbol = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks, at = self.find(np.array(symbol[:-1]), np.array(symbol[1:]))
+        first = np.flatnonzero(ranks < NO_RANK)
+        heap = list(zip(ranks[first].tolist(), first.tolist(), self.made[at[first]].tolist(), (self.keys[at[first]]).tolist()))
+        heapq.heapify(heap)
+        left = n
+        while heap:
+            _, i, made, key = heapq.heappop(heap)
+            j = after[i] if symbol[i] is not None else n
+            if j >= n or symbol[i] * width + symbol[j] != key:
+                continue  # one of the two has been merged since
+            symbol[i], symbol[j] = made, None
+            left -= 1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                key = made * width + symbol[k]
+                if key in pairs:
+                    heapq.heappush(heap, (pairs[key][0], i, pairs[key][1], key))
+            h = before[i]
+            if h >= 0:
+                key = symbol[h] * width + made
+                if key in pairs:
+                    heapq.heappush(heap, (pairs[key][0], h, pairs[key][1], key))
+        return left
 
 
 def leftmost(merge: np.ndarray) -> np.ndarray:
@@ -151,10 +205,9 @@ def counter(path: str):
     if ("merges", path) not in kept:
         merges = Merges(path)
         kept["merges", path] = merges, splitter(list(merges.special)), {}
-    merges, pre_tokens, _ = kept["merges", path]
+    merges, pre_tokens, known = kept["merges", path]
 
     def count(texts: list[str]) -> list[int]:
-        known = kept["merges", path][2]
         if len(known) > KEPT:
             known.clear()
         known.update(dict.fromkeys(merges.special, 1))
@@ -163,7 +216,11 @@ def counter(path: str):
         for i in range(0, len(fresh), 50_000):
             part = fresh[i:i + 50_000]
             known.update(zip(part, merges.counts([t.encode() for t in part]).tolist()))
-        return [sum(map(known.__getitem__, tokens)) for tokens in lists]
+        out = [sum(map(known.__getitem__, tokens)) for tokens in lists]
+        for t in fresh:
+            if len(t) > LONG:  # the store is bounded by entries, so it holds short ones
+                del known[t]
+        return out
 
     return count
 

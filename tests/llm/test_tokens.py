@@ -82,3 +82,62 @@ def test_packing_round_trip(docs, library, capacity, per_task):
 def test_best_fit_is_best_fit():
     bins = P.best_fit(np.array([6, 5, 4, 4, 1]), 10)
     assert sorted(sorted(b) for b in bins) == [[0, 2], [1, 3, 4]]
+
+
+def test_long_pre_tokens(library):
+    rng = random.Random(9)
+    merges = T.Merges(T.vocabulary_path())
+    pieces = ["x" * 20_000, "ab" * 5_000, "aaab" * 700, "東京" * 400, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzE", k=100_000)),
+              " " + "the" * 900, "q" * T.LONG, "q" * (T.LONG + 1), "short"]
+    assert merges.counts([p.encode() for p in pieces]).tolist() == [
+        len(library.encode(p, add_special_tokens=False).ids) for p in pieces]
+
+
+def test_a_megabyte_without_a_gap(docs, library):
+    text = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    want = len(library.encode(text, add_special_tokens=False).ids)
+    assert T.token_counts(docs([(1, text)])).first().n_tokens == want
+
+
+def test_encoder_equals_the_library(library):
+    texts = [*strange_texts(400), " " * 1_000_000, "", "<|endoftext|><|endoftext|>"]
+    got = P.Encoder(T.vocabulary_path())(texts)
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_code_points_are_cut_alike(library):
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}.  {chr(c)} x" for c in range(0x110000)
+             if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 37 == 0)]
+    got = P.Encoder(T.vocabulary_path())(texts)
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_proof_of_the_fast_encoder(tmp_path):
+    import json
+
+    path = T.vocabulary_path()
+    merges, tokens = T.Merges(path), P.token_bytes(path)
+    assert P.by_bytes(merges, tokens) and P.Encoder(path).fast is not None
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    # two merges change places, so a later id is merged first
+    listed = spec["model"]["merges"]
+    listed[300], listed[40_000] = listed[40_000], listed[300]
+    (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+    other = str(tmp_path / "v.json")
+    assert not P.by_bytes(T.Merges(other), P.token_bytes(other))
+    encoder = P.Encoder(other)
+    assert encoder.fast is None
+    texts = strange_texts(60)
+    slow = Tokenizer.from_file(other)
+    assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in slow.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_repeated_and_missing_ids(docs):
+    rows = [(1, "one two"), (1, "one two"), (1, "three"), (None, "four"), (None, None), (2, "")]
+    counted = T.token_counts(docs(rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in counted) == [(0, 0), (0, 4), (1, 5), (1, 7), (1, 7), (2, 0)]
+    packed = P.pack(docs(rows)).collect()
+    assert len(packed) == 6 and sum(r.doc_id is None for r in packed) == 2
+    places = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
