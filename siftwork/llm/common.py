@@ -36,6 +36,12 @@ def held_out(col: str, modulus: int, remainder: int = 2) -> Column:
     return F.coalesce(F.pmod(crc_of(col), F.lit(modulus)) == remainder, F.lit(False))
 
 
+def whole_rows(df: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as one struct ``row`` beside the named columns, so that no name of a
+    caller's column meets one of an operator's; ``select("row.*")`` gives it back."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,8 +14,8 @@ and one changed sentence leaves the other chunks as they were.
 
 Defined cases: a null text equals the empty text; of several rows with the largest
 doc_id of a group one stays; a row without doc_id stays only if its group has no
-other; a group of such rows has a null keep_id.  Other columns are ignored, and an
-empty table gives an empty result.
+other; a group of such rows has a null keep_id.  Other columns, whatever their names, are
+ignored (``keep_one`` carries them), and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged as stage
-from .common import lower_ascii, text_or_empty
+from .common import lower_ascii, text_or_empty, whole_rows
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 
@@ -97,15 +97,15 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = exact_dedup(docs, doc_id, text).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha"))
-    told = docs.withColumn("_sha_of", F.sha2(lower_ascii(text_or_empty(text)), 256))
-    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_sha_of") == F.col("_sha"))
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    told = whole_rows(docs, id=F.col(doc_id), sha=F.sha2(lower_ascii(text_or_empty(text)), 256))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
     stays = told.join(kept, same, "left_semi")
     # rows repeated with one id: one of them
-    often = (stays.groupBy(doc_id, "_sha_of").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-             .select(F.col(doc_id).alias("_kept_id"), F.col("_sha_of").alias("_sha")))
+    often = (stays.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+             .select(F.col("id").alias("kept_id"), F.col("sha").alias("kept_sha")))
     often = stage(often, "dedup-repeated")
     if often.isEmpty():
-        return stays.drop("_sha_of")
+        return stays.select("row.*")
     return (stays.join(often, same, "left_anti")
-            .unionByName(stays.join(often, same, "left_semi").dropDuplicates([doc_id, "_sha_of"])).drop("_sha_of"))
+            .unionByName(stays.join(often, same, "left_semi").dropDuplicates(["id", "sha"])).select("row.*"))

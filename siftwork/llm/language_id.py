@@ -9,7 +9,8 @@ bounded sample of every label; everything is fixed by the seed).  Inference is a
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0, as
 are all texts if nothing is labelled; ties go to the language first in order;
-rows are judged one by one, so repeated rows and ids are no matter.
+rows are judged one by one, so repeated rows and ids are no matter.  Other columns, whatever
+their names, are ignored (``keep_identified`` carries them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -216,21 +217,22 @@ def labelled_snippets(docs: DataFrame, doc_id: str, text: str, lang: str, learn:
     """Pieces at hashed places of a bounded number of texts of every language.  Of a language
     with many texts only those of low hash are ranked, four times as many as are used,
     and only their pieces move."""
-    usable = docs.filter(F.col(lang).isNotNull() & learn & has_letter(F.col(text)))
-    often = usable.groupBy(lang).agg(F.count(F.lit(1)).alias("_n")).select(F.col(lang).alias("_l"), "_n")
-    length = F.char_length(text)
-    mark = F.xxhash64(doc_id, length)
+    usable = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"),
+                         learn.alias("learn")).filter(F.col("lang").isNotNull() & F.col("learn") & has_letter(F.col("text")))
+    often = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("name"), "n")
+    length = F.char_length("text")
+    mark = F.xxhash64("id", length)
     places = F.array(*[F.pmod(F.xxhash64(mark, F.lit(i)), F.greatest(length - WINDOW // 2, F.lit(1)))
                        for i in range(SNIPPETS)])
-    pieces = F.transform(places, lambda at: F.substring(F.col(text), at.cast("int") + 1, F.lit(WINDOW)))
-    low = (usable.join(F.broadcast(often), F.col(lang) == F.col("_l"))
-           .filter(F.pmod(mark, F.lit(1 << 30)) / float(1 << 30) < F.lit(4.0 * DOCS) / F.col("_n"))
-           .select(F.col("_l"), mark.alias("_mark"), pieces.alias("_pieces")))
-    order = Window.partitionBy("_l").orderBy("_mark", F.hash("_pieces"))
-    rows = (low.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= DOCS)
-            .select("_l", "_k", F.posexplode("_pieces").alias("i", "s")).collect())
-    rows.sort(key=lambda r: (r["_l"], r["_k"], r["i"]))
-    return [r["s"].encode() for r in rows], [r["_l"] for r in rows]
+    pieces = F.transform(places, lambda at: F.substring(F.col("text"), at.cast("int") + 1, F.lit(WINDOW)))
+    low = (usable.join(F.broadcast(often), F.col("lang") == F.col("name"))
+           .filter(F.pmod(mark, F.lit(1 << 30)) / float(1 << 30) < F.lit(4.0 * DOCS) / F.col("n"))
+           .select("name", mark.alias("mark"), pieces.alias("pieces")))
+    order = Window.partitionBy("name").orderBy("mark", F.hash("pieces"))
+    rows = (low.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= DOCS)
+            .select("name", "k", F.posexplode("pieces").alias("i", "s")).collect())
+    rows.sort(key=lambda r: (r["name"], r["k"], r["i"]))
+    return [r["s"].encode() for r in rows], [r["name"] for r in rows]
 
 
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"):

@@ -18,7 +18,8 @@ by ranges, so a source that holds a third of all rows is spread over many tasks.
 
 Defined cases: null text has size 0; null source is a source of its own; a source
 without words has target 0, and its documents rate 0; repeated rows are documents
-of their own.  An empty table gives an empty result.
+of their own.  Other columns, whatever their names, are ignored (``mixed_documents`` carries
+them).  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.running import ranked
 from ..session import staged as stage
-from .common import n_words, text_or_empty
+from .common import n_words, text_or_empty, whole_rows
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -105,14 +106,12 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The rows of ``docs``, each as often as the mix takes it.  Rows equal in id,
     source and text are taken together: one of them, as often as all of them."""
     taken = mix(docs, doc_id, text, source, **params).groupBy("doc_id", "source", "text_key").agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), "_copies",
-        "_rows")
+        F.sum("copies").alias("times"), F.count(F.lit(1)).alias("n_rows")).filter("times > 0")
     taken = stage(taken, "mix-taken")
-    keyed = docs.withColumn("_key_of", F.xxhash64(text))
-    joined = keyed.join(taken, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source"))
-                        & (F.col("_key_of") == F.col("_key")))
-    if not taken.filter("_rows > 1").isEmpty():
-        joined = joined.filter("_rows = 1").unionByName(
-            joined.filter("_rows > 1").dropDuplicates([doc_id, source, "_key_of"]))
-    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    keyed = whole_rows(docs, id=F.col(doc_id), of=F.col(source), key=F.xxhash64(text))
+    joined = keyed.join(taken, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source"))
+                        & (F.col("key") == F.col("text_key")))
+    if not taken.filter("n_rows > 1").isEmpty():
+        joined = joined.filter("n_rows = 1").unionByName(
+            joined.filter("n_rows > 1").dropDuplicates(["id", "of", "key"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

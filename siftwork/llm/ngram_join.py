@@ -32,8 +32,10 @@ documents, which moves an overlap by one.
 
 Defined cases: fewer than five words are one shingle as a whole; a text without
 words, null or empty has no set and links with nothing; its component is its own
-id.  Rows with one doc_id are one document as far as components go.  Rows without
-doc_id get their set size and a null component, and take part in no link.
+id.  Rows with one doc_id are one document as far as components go, whatever their texts.  Rows without
+doc_id get their set size and a null component, and take part in no link.  Other columns,
+whatever their names, are ignored (``keep_representatives`` carries them); an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -47,8 +49,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged as stage
-from .common import shuffle_width, text_bytes, worker_cache
+from ..session import delete_at_exit, fresh_path, staged as stage
+from .common import shuffle_width, text_bytes, whole_rows, worker_cache
 from .components import components
 from .words import mixed, word_hashes
 
@@ -406,8 +408,9 @@ def unsettled(prefix: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS,
                   percent: int = PERCENT, blocks: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, labels): doc_id, n, set_key per row of ``docs``; set_key and rep,
-    the smallest doc_id with that set; and id, component for every rep that links."""
+    """(rows, classes, labels): doc_id, n, set_key per row of ``docs``; set_key, its number
+    node and rep, the smallest doc_id with that set; and id, component for every node that
+    links.  Nodes are sets, so an id that stands for several texts has a node for each."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
     blocks = blocks or max(width, -(-text_bytes(docs, text) // BLOCK_BYTES))
@@ -417,13 +420,24 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     rows = stage(back.groupBy("key").applyInArrow(shared_rows(percent), ROWS), "join-rows")
     members = rows.filter("kind = 0").select("doc_id", "n", "set_key")
     classes = stage(members.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep")), "join-classes")
+        F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "join-classes")
     live = rows.filter("kind = 0 AND columns IS NOT NULL").select("doc_id", "n", "set_key", "columns").join(
-        classes, "set_key").filter("doc_id = rep").select("doc_id", "n", "columns")
-    # sets are bucketed by id, so that counting overlaps never moves them again
-    name = f"join_sets_{uuid.uuid4().hex}"
-    live.dropDuplicates(["doc_id"]).write.bucketBy(width, "doc_id").format("parquet").saveAsTable(name)
-    sets = spark.table(name)
+        classes, "set_key").filter("doc_id = rep").select(F.col("node").alias("doc_id"), "n", "columns")
+    # sets are bucketed by id, so that counting overlaps never moves them again; their files
+    # lie in the shared folder and go with it
+    name, path = f"join_sets_{uuid.uuid4().hex}", fresh_path(spark, "join-sets")
+    (live.dropDuplicates(["doc_id"]).write.bucketBy(width, "doc_id").format("parquet")
+     .option("path", path).saveAsTable(name))
+    delete_at_exit(spark, path)
+    try:
+        links, labels = linked_sets(rows, spark.table(name), percent)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    return members, classes, labels
+
+
+def linked_sets(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links a, b between sets, and the component of every set that has one."""
     prefix = stage(prefixes(sets, frequent_columns(rows), percent), "join-prefix")
     links, labels, tested = None, None, None
     for turn in (F.min, F.max, None):
@@ -440,15 +454,30 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
             continue
         links = found if links is None else links.unionByName(found)
         labels = components(links.select("a", "b"))
-    spark.sql(f"DROP TABLE {name}")
-    return members, classes, labels
+    return links, labels
+
+
+def united(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels``, with the components of the sets of one doc_id made one."""
+    several = stage(members.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low < high").select("doc_id"), "join-several")
+    if several.isEmpty():
+        return labels
+    nodes = stage(members.join(several, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(
+        classes, "set_key").select("doc_id", "node"), "join-nodes")
+    first = nodes.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(
+        nodes.join(first, "doc_id").select(F.col("node").alias("a"), "b")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     members, classes, labels = jaccard_links(docs, doc_id, text, **params)
-    placed = stage(classes.join(labels, classes["rep"] == labels["id"], "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component")), "join-components")
+    labels = united(members, classes, labels)
+    told = stage(classes.join(labels, classes["node"] == labels["id"], "left").select(
+        "set_key", "rep", F.coalesce("component", "node").alias("group")), "join-groups")
+    least = told.groupBy("group").agg(F.min("rep").alias("component"))
+    placed = stage(told.join(least, "group").select("set_key", "component"), "join-components")
     linked = members.join(placed, "set_key", "left")
     return linked.select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -457,8 +486,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component the smallest
-    doc_id (all rows that have it); rows without words, without links or without id stay."""
-    gone = stage(near_duplicates(docs, doc_id, text, **params).filter("component_id != doc_id")
-                 .select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay, with all columns: of each component the row with the
+    smallest doc_id; rows without words, without links or without id stay.  Where ids are
+    repeated every row is a document of its own here, so no text goes for another's link."""
+    rows = whole_rows(docs, id=F.col(doc_id))
+    if docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1").isEmpty():
+        gone = stage(near_duplicates(docs, doc_id, text, **params).filter("component_id != doc_id")
+                     .select(F.col("doc_id").alias("gone")), "join-gone")
+        return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    numbered = stage(rows.withColumn("number", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())), "join-numbered")
+    found = near_duplicates(numbered.select("number", F.col("row")[text].alias("text")), "number", "text", **params)
+    placed = stage(found.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("number"), "component_id")
+                   .join(numbered.select("number", "id"), "number"), "join-placed-rows")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("id", "number"))["number"].alias("first"))
+    gone = stage(placed.join(first, "component_id").filter("number != first").select(F.col("number").alias("gone")), "join-gone")
+    return numbered.join(gone, F.col("number") == F.col("gone"), "left_anti").select("row.*")

@@ -12,7 +12,9 @@ the id), of which only the statistics are collected; all else covers all rows.
 Defined cases: a null or empty text has no words and zero statistics; windows and
 lines are compared by content (windows by a 64-bit hash of their words); repeated
 rows get a row each; labels that are null or without a document are ignored; with
-too few examples of either kind the list is empty and only the base decides.
+too few examples of either kind the list is empty and only the base decides.  An empty
+table gives an empty result.  Other columns are carried by ``statistics``, so none may have the
+name of a statistic; the query passes ids and texts only.
 """
 
 from __future__ import annotations

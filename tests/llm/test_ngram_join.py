@@ -144,3 +144,26 @@ def test_packed_keys():
     marks = (np.arange(len(keys)) % 60_000).astype(np.uint16)
     a, b = J.unpacked(J.packed(keys, marks))
     assert (a == keys).all() and (b == marks).all()
+
+
+def words_of(mark, n=60):
+    return [f"{mark}{i}" for i in range(n)]
+
+
+def test_two_texts_under_one_id(docs):
+    a, b, c = words_of("a"), words_of("b"), words_of("c")
+    text = lambda w, k=None: " ".join(w if k is None else [*w[:k], "x", *w[k + 1:]])
+    rows = [(1, text(a)), (1, text(b)), (2, text(a, 3)), (3, text(b, 50)), (4, text(c)), (5, text(c, 9)), (5, text(words_of("e"))),
+            (6, text(words_of("e"), 2)), (7, text(words_of("f"))), (7, text(words_of("f")))]
+    got = {(r.doc_id, r.component_id) for r in J.near_duplicates(docs(rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7)}
+
+
+def test_no_text_goes_for_another_of_its_id(docs):
+    a, b, c = words_of("a"), words_of("b"), words_of("c")
+    near = " ".join([*a[:30], "x", *a[31:]])
+    kept = J.keep_representatives(docs([(5, " ".join(a)), (5, " ".join(b)), (2, near), (4, " ".join(c)), (None, near)]))
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in kept.collect()) == [(0, "a0"), (2, "a0"), (4, "c0"), (5, "b0")]
+    # both texts of one id are near copies of others: each component keeps the one of the smallest id
+    kept = J.keep_representatives(docs([(1, " ".join(a)), (1, " ".join(b)), (2, near), (3, " ".join([*b[:9], "y", *b[10:]]))]))
+    assert sorted((r.doc_id, r.text[:2]) for r in kept.collect()) == [(1, "a0"), (1, "b0")]
