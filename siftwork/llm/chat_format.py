@@ -47,8 +47,9 @@ def unescape_role(role: Column) -> Column:
 
 def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
                          text: str = "text", loss_role: str = LOSS_ROLE) -> DataFrame:
-    """One row per conversation: ``formatted`` and ``loss_runs``, the lengths in
-    code points of alternating stretches without and with loss (first without)."""
+    """One row per conversation: ``formatted`` and its mask ``loss_runs``, for each block
+    the lengths in code points of alternating stretches without and with loss (first
+    without); flattened, that is the mask of the whole."""
     turn_struct = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
                            F.coalesce(F.col(text), F.lit("")).alias("text"))
     grouped = (turns.select(F.col(conv_id).alias("conv_id"), turn_struct.alias("t"))
@@ -70,14 +71,14 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
         F.array_join(b["texts"], SEP).alias("body"),
         F.lit(END + "\n").alias("tail"), (b["role"] == loss_role).alias("loss"))))
     # with loss: head, text, separator, text, ..., text, end; a zero keeps the alternation
-    runs = F.flatten(F.transform(F.arrays_zip("parts", "blocks"), lambda z: F.when(
+    runs = F.transform(F.arrays_zip("parts", "blocks"), lambda z: F.when(
         z["parts"]["loss"],
         F.concat(F.array(F.char_length(z["parts"]["head"])),
                  F.slice(F.flatten(F.transform(z["blocks"]["texts"],
                                                lambda x: F.array(F.char_length(x), F.lit(len(SEP))))),
                          F.lit(1), 2 * F.size(z["blocks"]["texts"]) - 1),
                  F.array(F.char_length(z["parts"]["tail"]), F.lit(0)))).otherwise(F.array(
-                     F.char_length(F.concat(z["parts"]["head"], z["parts"]["body"], z["parts"]["tail"])), F.lit(0)))))
+                     F.char_length(F.concat(z["parts"]["head"], z["parts"]["body"], z["parts"]["tail"])), F.lit(0))))
     return parts.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
@@ -86,8 +87,8 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
         runs.alias("loss_runs"))
 
 
-def read_back(formatted: DataFrame, column: str = "formatted", loss_role: str = LOSS_ROLE) -> DataFrame:
-    """Parses ``formatted`` alone: adds ``turns`` (role, text) and ``loss_texts``."""
+def read_back(formatted: DataFrame, column: str = "formatted") -> DataFrame:
+    """Parses ``formatted`` alone: adds ``turns`` (role, text)."""
     chunks = F.split(F.col(column), r"<\|im_start\|>")
     # nothing stands before the first mark
     blocks = F.transform(F.slice(chunks, F.lit(2), F.size(chunks) - 1), lambda c: F.struct(
@@ -97,14 +98,28 @@ def read_back(formatted: DataFrame, column: str = "formatted", loss_role: str =
     with_blocks = formatted.withColumn("_blocks", blocks)
     turns = F.flatten(F.transform("_blocks", lambda b: F.transform(
         b["texts"], lambda t: F.struct(b["role"].alias("role"), unescape(t).alias("text")))))
-    return (with_blocks.withColumn("turns", turns)
-            .withColumn("loss_texts", F.transform(F.filter("turns", lambda t: t["role"] == loss_role),
-                                                  lambda t: t["text"])).drop("_blocks"))
+    return with_blocks.withColumn("turns", turns).drop("_blocks")
+
+
+def under_loss(formatted: DataFrame, column: str = "formatted", runs: str = "loss_runs") -> DataFrame:
+    """Adds ``loss_texts``, what the mask alone cuts out of ``formatted``, unescaped.  Each
+    block is cut by its own runs, so the cost grows with the text, not with its square."""
+    blocks = F.split(F.col(column), r"(?=<\|im_start\|>)")
+
+    def cut(z: Column) -> Column:
+        ends = F.aggregate(z["r"], F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        stretches = F.transform(z["r"], lambda n, i: F.struct(n.alias("n"), i.alias("i"), F.get(ends, i).alias("at")))
+        # each text has a mark or a separator before it, so the empty last stretch is none
+        held = F.filter(stretches, lambda s: (s["i"] % 2 == 1) & (s["i"] < F.size(z["r"]) - 1))
+        return F.transform(held, lambda s: unescape(F.substring(z["b"], s["at"] + 1, s["n"])))
+
+    zipped = F.arrays_zip(F.filter(blocks, lambda b: b != "").alias("b"), F.col(runs).alias("r"))
+    return formatted.withColumn("loss_texts", F.flatten(F.transform(zipped, cut)))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """The columns of the contract, from the formatted string."""
-    back = read_back(formatted)
+    back = under_loss(read_back(formatted))
     listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     return back.select(

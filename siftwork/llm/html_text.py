@@ -4,7 +4,8 @@ The standard library's streaming parser gives events.  Block elements start a ne
 line; a line has its text, its tags, its link text, the sections it stands in, and
 whether it stands inside boilerplate by nature (menu, header, footer, aside, form,
 script, style, hidden parts) or by name (class, id or role such as ``sidebar``, ``ad``
-or ``comments``), which has ratio zero.  A headline in the header of an article is
+or ``comments``), which has ratio zero.  An element that holds more than half of the
+page's unlinked text is no boilerplate for its name, nor is such a form.  A headline in the header of an article is
 content, and so is an article in a wrapper that only its name makes boilerplate.  An id
 names boilerplate only as a whole, and no class or id does so for a heading.  The ratio of a line is its unlinked text
 length per tag.  Ratios are smoothed over neighbouring lines by a Gaussian, and a
@@ -19,7 +20,8 @@ sections, lines of links between two lines of content belong to the text.
 Defined cases: null or empty html gives an empty text; unclosed elements end where
 their parents do; character references are decoded, also without semicolon;
 white space inside a line is one space; lines are joined by one newline.  Rows are
-independent, whole pages are read, and nesting of any depth takes no recursion.
+independent, so repeated rows and ids are no matter; whole pages are read, and nesting of any
+depth takes no recursion.  Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text is never content.
 SILENT = frozenset("""head script style noscript template svg math canvas iframe object video audio select button
 textarea datalist title""".split())
+#: Fields whose choices are blocks of their own, but part no line.
+CHOICES = frozenset(["select", "datalist"])
 BOILER = frozenset("nav header footer aside form menu dialog fieldset".split())
 SECTIONS = frozenset(["article", "main"])
 #: Elements that end an open one of the same kind (as HTML's implied end tags do).
@@ -58,70 +62,95 @@ READERS = frozenset("comment comments discussion disqus replies reply respond".s
 #: Words that say where or in what shape something is on the page, not what.
 LAYOUT = frozenset("""area bar block bottom box container element global inner left list main outer overlay page panel
 primary right secondary section site top wrap wrapper""".split())
+#: Words that change nothing in a name inside an article: "related posts" is boilerplate, "related work" is not.
+KINDS = LAYOUT | frozenset("""actions ads article articles button buttons card content count entry form icon icons item items
+label link links module news post posts prompt slot stories story text title tools unit user""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that only usually are boilerplate: one that holds most of a page's text is not.
+LIFTED = frozenset("form fieldset dialog".split())
+#: Linked lines in a row that do not end a run of text.
+LINKS = 2
 #: What a line stands in: content, boilerplate by the name of a wrapper, an article's header, boilerplate.
-CONTENT, WRAPPED, HEADER, BOILERPLATE = range(4)
+#: by an element or its name, and boilerplate whatever it holds.
+CONTENT, WRAPPED, HEADER, BOILERPLATE, READER = range(5)
 NAME_PART = re.compile(r"[a-z]+|[0-9]+")
 GAPS = re.compile(r"\s+")
 SIGMA, REACH = 1.5, 4
 
 
-def named(attrs: list, section: int, heading: bool) -> int:
+def words_of(value: str) -> list[str]:
+    return NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+
+
+def named(tag: str, attrs: list, section: int) -> int:
     """The standing that an element's attributes give to what is inside."""
+    heading = tag in HEADINGS
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             if heading and name != "role":
                 continue
-            words = NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            parts = NAMES.intersection(words)
+            words = words_of(value)
             if name == "id" and not all(w in NAMES or w in LAYOUT or w.isdigit() for w in words):
                 continue
+            parts = NAMES.intersection(words)
+            if section and name == "class":
+                parts = set().union(*(NAMES.intersection(ws) for ws in map(words_of, value.split())
+                                      if all(w in NAMES or w in KINDS or w.isdigit() for w in ws)))
+                if tag == "section":
+                    parts -= {"discussion"}  # of results, unless a wrapper says otherwise
             if parts:
                 if section and parts == {"header"}:
                     return HEADER
-                return BOILERPLATE if section or parts & READERS else WRAPPED
+                return READER if parts & READERS else BOILERPLATE if section else WRAPPED
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return BOILERPLATE
+            return READER
         elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            return BOILERPLATE
+            return READER
     return CONTENT
 
 
 class Line:
-    __slots__ = ("parts", "tags", "linked", "section", "boiler", "text", "heading")
+    __slots__ = ("parts", "tags", "linked", "section", "boiler", "text", "heading", "mark")
 
-    def __init__(self, section: int, boiler: int):
+    def __init__(self, section: int, boiler: int, mark: int):
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.heading = False
-        self.section, self.boiler, self.text = section, boiler, ""
+        self.section, self.boiler, self.text, self.mark = section, boiler, "", mark
 
 
 class Lines(HTMLParser):
-    """Events to lines; the stack has (tag, silent, boilerplate, section, link)."""
+    """Events to lines; the stack has (tag, silent, boilerplate, section, link, mark).  A mark is the
+    nearest element around that is boilerplate only if it holds little: ``marks`` has the one
+    around it, and the standing that its inside has without it."""
 
-    def __init__(self) -> None:
+    def __init__(self, lifted: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, int, bool]] = [("", False, CONTENT, 0, False)]
+        self.stack: list[tuple[str, bool, int, int, bool, int]] = [("", False, CONTENT, 0, False, 0)]
+        self.marks: list[int] = [0]
+        self.lifted = lifted
         self.open: dict[str, int] = {}
         self.kinds, self.outer = [""], [0]  # of each section: its element, the section around it
-        self.lines = [Line(0, CONTENT)]
+        self.lines = [Line(0, CONTENT, 0)]
 
     def new_line(self) -> None:
-        _, _, boiler, section, _ = self.stack[-1]
+        _, silent, boiler, section, _, mark = self.stack[-1]
+        if silent:
+            return  # choices of a form field, for one, do not part the line that they stand in
         if self.lines[-1].parts:
-            self.lines.append(Line(section, boiler))
+            self.lines.append(Line(section, boiler, mark))
         else:
-            self.lines[-1].section, self.lines[-1].boiler = section, boiler
+            line = self.lines[-1]
+            line.section, line.boiler, line.mark = section, boiler, mark
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         for other in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            if self.open.get(other) and tag in IMPLIED[other]:
+            if self.open.get(other) and tag in IMPLIED[other] and (not self.stack[-1][1] or other == "option"):
                 self.close_near(other, tag)
         if tag in VOID:
             self.void(tag)
             return
-        _, silent, boiler, section, link = self.stack[-1]
+        _, silent, boiler, section, link, mark = self.stack[-1]
         if tag in SECTIONS:
             self.kinds.append(tag)
             self.outer.append(section)
@@ -130,11 +159,17 @@ class Lines(HTMLParser):
                 boiler = CONTENT
         if tag in HEADINGS and boiler == HEADER:
             boiler = CONTENT
+        own = CONTENT
         if tag in BOILER:
-            boiler = max(boiler, HEADER if tag == "header" and section else BOILERPLATE)
+            own = HEADER if tag == "header" and section else BOILERPLATE if tag in LIFTED else READER
         if tag not in ("html", "body"):
-            boiler = max(boiler, named(attrs, section, tag in HEADINGS))
-        self.stack.append((tag, silent or tag in SILENT, boiler, section, link or tag == "a"))
+            own = max(own, named(tag, attrs, section))
+        if own in (WRAPPED, BOILERPLATE) and not silent:
+            self.marks.append(mark)
+            mark = len(self.marks) - 1
+            if mark in self.lifted:
+                own = CONTENT
+        self.stack.append((tag, silent or tag in SILENT, max(boiler, own), section, link or tag == "a", mark))
         self.open[tag] = self.open.get(tag, 0) + 1
         if tag in BLOCKS:
             self.new_line()
@@ -178,42 +213,71 @@ class Lines(HTMLParser):
         for i in range(len(self.stack) - 1, 0, -1):
             held = self.stack[i][0]
             if held == tag:
-                if inline:
+                if tag in CHOICES:
+                    for inner in self.stack[i:]:
+                        self.open[inner[0]] -= 1
+                    del self.stack[i:]
+                    self.relink()
+                elif inline:
                     self.open[tag] -= 1
                     del self.stack[i]
                     self.relink()
                 else:
                     self.cut(i)
                 return
-            if inline and held in BLOCKS:
+            if inline and held in BLOCKS and tag not in CHOICES:
                 return
 
     def relink(self) -> None:
-        tag, silent, boiler, section, link = self.stack[-1]
+        tag, silent, boiler, section, link, mark = self.stack[-1]
         self.lines[-1].tags += 1
         if link and not self.open.get("a"):
-            self.stack[-1] = (tag, silent, boiler, section, False)
+            self.stack[-1] = (tag, silent, boiler, section, False, mark)
 
     def handle_data(self, data: str) -> None:
-        _, silent, boiler, section, link = self.stack[-1]
+        _, silent, boiler, section, link, mark = self.stack[-1]
         if silent:
             return
         line = self.lines[-1]
         if not line.parts:
-            line.section, line.boiler = section, boiler
+            line.section, line.boiler, line.mark = section, boiler, mark
         elif boiler != line.boiler and not data.isspace():
-            self.lines.append(line := Line(section, boiler))
+            self.lines.append(line := Line(section, boiler, mark))
         line.parts.append(data)
         line.heading = line.heading or any(self.open.get(h) for h in HEADINGS)
         if link:
             line.linked += len(data)
 
 
-def lines_of(html: str) -> tuple[list[Line], set[int]]:
-    """The lines with text, and the main sections; the only article in one is part of it."""
-    parser = Lines()
+def parsed(html: str, lifted: frozenset[int] = frozenset()) -> Lines:
+    parser = Lines(lifted)
     parser.feed(html)
     parser.close()
+    return parser
+
+
+def holding_most(parser: Lines) -> frozenset[int]:
+    """Marks of the elements that hold more than half of the page's unlinked text, apart from
+    what is boilerplate by nature: such a one is a wrapper, whatever it is named.  Of nested
+    ones the inner is judged first, and the outer by what is left to it."""
+    held = [0] * len(parser.marks)
+    for line in parser.lines:
+        if line.boiler != READER:
+            held[line.mark] += max(0, sum(map(len, line.parts)) - line.linked)
+    total = sum(held)
+    lifted = set()
+    for mark in range(len(held) - 1, 0, -1):
+        if 2 * held[mark] > total:
+            lifted.add(mark)
+            held[parser.marks[mark]] += held[mark]
+    return frozenset(lifted)
+
+
+def lines_of(html: str) -> tuple[list[Line], set[int]]:
+    """The lines with text, and the main sections; the only article in one is part of it."""
+    parser = parsed(html)
+    if len(parser.marks) > 1 and (lifted := holding_most(parser)):
+        parser = parsed(html, lifted)
     out = []
     for line in parser.lines:
         line.text = GAPS.sub(" ", "".join(line.parts)).strip()
@@ -265,10 +329,14 @@ def main_text(html: str) -> str:
     # regions: a section's lines together, other lines by runs between boilerplate
     regions: list[list[int]] = []
     by_section: dict[int, int] = {}
-    run = None
+    run, links = None, []  # linked lines between two lines of a run belong to it, if they are few
     for i, line in enumerate(lines):
-        if line.boiler or not line.section and line.linked > 0.5 * len(line.text):
-            run = None
+        if line.boiler:
+            run, links = None, []
+        elif not line.section and line.linked > 0.5 * len(line.text):
+            links.append(i)
+            if len(links) > LINKS:
+                run = None
         elif line.section:
             if line.section not in by_section:
                 by_section[line.section] = len(regions)
@@ -276,9 +344,10 @@ def main_text(html: str) -> str:
             regions[by_section[line.section]].append(i)
         else:
             if run is None:
-                run = len(regions)
+                run, links = len(regions), []
                 regions.append([])
-            regions[run].append(i)
+            regions[run] += [*links, i]
+            links = []
     weights = [sum(len(lines[i].text) for i in r if content[i]) for r in regions]
     if not weights:
         return ""

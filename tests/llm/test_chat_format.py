@@ -18,16 +18,18 @@ def by_hand(rows):
 
 def check(spark, rows):
     df = spark.createDataFrame([(*r, "clash", 0) for r in rows], SCHEMA)
-    done = C.read_back(C.format_conversations(df)).collect()
+    done = C.under_loss(C.read_back(C.format_conversations(df))).collect()
     want = by_hand(rows)
     assert {r.conv_id for r in done} == set(want) and len(done) == len(want)
     for r in done:
         turns = [(t.role, t.text) for t in r.turns]
         assert turns == want[r.conv_id]
         assert r.n_blocks == 1 + sum(a[0] != b[0] for a, b in zip(turns, turns[1:]))
-        assert len(r.loss_runs) % 2 == 0 and sum(r.loss_runs) == len(r.formatted)
+        flat = [n for runs in r.loss_runs for n in runs]
+        assert all(len(runs) % 2 == 0 for runs in r.loss_runs) and sum(flat) == len(r.formatted)
+        assert r.loss_texts == [t for role, t in turns if role == C.LOSS_ROLE]
         at, loss = 0, []
-        for k, n in enumerate(r.loss_runs):
+        for k, n in enumerate(flat):
             if k % 2:
                 loss.append(r.formatted[at:at + n])
             at += n
@@ -46,6 +48,18 @@ def test_odd_turns(spark):
     ])
 
 
+def test_digest_reads_the_mask(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, 0, "user", "ask", "", 0), (1, 1, "assistant", "answer", "", 0)], SCHEMA)
+    done = C.format_conversations(df)
+    assert C.digest(done).first().loss_chars == 6
+    # a mask that says something else is believed
+    other = done.withColumn("loss_runs", F.transform("loss_runs", lambda r: F.when(F.size(r) > 2, F.transform(
+        r, lambda n, i: F.when(i == 1, n - 2).when(i == 2, n + 2).otherwise(n))).otherwise(r)))
+    assert C.digest(other).first().loss_chars == 4
+
+
 def test_empty_table(spark):
     assert C.digest(C.format_conversations(spark.createDataFrame([], SCHEMA))).count() == 0
 

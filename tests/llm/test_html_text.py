@@ -61,6 +61,29 @@ WHOLE = [
 ]
 
 
+PARAGRAPH = f"<p>{LONG}</p>"
+WHOLE += [
+    # wrappers named after what they also hold, and forms around the page, hold the text
+    (f'<div class="layout has-sidebar"><div class="content">{PARAGRAPH}{PARAGRAPH}</div><div class="sidebar"><p>Side.</p></div></div>',
+     [LONG, LONG]),
+    (f'<form id="aspnetForm"><nav>menu</nav><article><h1>T</h1>{PARAGRAPH}</article><form><input><p>Name</p></form></form>', ["T", LONG]),
+    (f'<form id="aspnetForm"><div id="page">{PARAGRAPH}{PARAGRAPH}</div><div class="cookie-notice">We use cookies.</div></form>',
+     [LONG, LONG]),
+    (f'<div class="promo-layout"><div class="sidebar-wrapper">{PARAGRAPH}{PARAGRAPH}</div></div>', [LONG, LONG]),
+    # readers' comments and hidden parts stay out, however long
+    (f'<div class="post">{PARAGRAPH}</div><div class="comments">{PARAGRAPH * 9}</div><div hidden>{PARAGRAPH * 9}</div>', [LONG]),
+    # class words inside an article that are no names of boilerplate
+    (f"""<article>{PARAGRAPH}<section class="discussion"><h2>Discussion</h2>{PARAGRAPH}</section><div class="related-work"><h2>Work</h2>
+     <p>Others.</p></div><p class="share-price">Price 3</p><div class="related-posts"><p>no</p></div><div class="share-buttons">no</div>
+     <p>End</p></article>""", [LONG, "Discussion", LONG, "Work", "Others.", "Price 3", "End"]),
+    # one linked item, no article element, and what comes after it
+    (f"<div>{PARAGRAPH}{PARAGRAPH}<ul><li><a href=a>Linked item</a></li></ul><p>Closing words.</p></div>",
+     [LONG, LONG, "Linked item", "Closing words."]),
+    # a form field in a sentence
+    (f"<article><p>Choose <select><option>a<option>b</select> one. {LONG}</p></article>", [f"Choose one. {LONG}"]),
+]
+
+
 @pytest.mark.parametrize("html,want", WHOLE)
 def test_nothing_of_the_text_is_dropped(html, want):
     assert H.main_text(html) == "\n".join(want)
@@ -81,3 +104,44 @@ def test_table(spark):
     assert sorted((-1 if r.page_id is None else r.page_id, r.text) for r in got) == want
     assert all(r.n_chars == len(r.text) for r in got)
     assert H.extract_main_text(df.limit(0)).count() == 0
+
+
+def page(rng):
+    """A generated page: its blocks of text, in random wrappers among random boilerplate."""
+    sentence = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n)).capitalize() + "."
+    blocks, inside = [], []
+    for _ in range(rng.randint(3, 9)):
+        text = sentence(rng.randint(25, 70))
+        blocks.append(text)
+        inside.append(f"<p>{text}</p>")
+        if rng.random() < 0.3:
+            head = sentence(3)[:-1]
+            blocks.append(head)
+            level = rng.randint(2, 4)
+            inside.append(f'<h{level} id="related-{level}">{head}</h{level}>')
+            last = sentence(40)
+            blocks.append(last)
+            inside.append(f"<p>{last}</p>")
+    links = "".join(f"<li><a href=/{i}>{sentence(2)}</a></li>" for i in range(rng.randint(4, 9)))
+    around = {"top": [f"<nav><ul>{links}</ul></nav>", f'<header class="site-header"><p>{sentence(6)}</p></header>', f"<div id=cookie-banner>{sentence(9)}</div>"],
+              "end": [f"<footer><p>{sentence(8)}</p></footer>", f'<div class="comments"><p>{sentence(30)}</p></div>', f'<div class="ad">{sentence(9)}</div>',
+                      f"<form><p>{sentence(4)}</p><input></form>", f"<aside><p>{sentence(20)}</p></aside>"]}
+    body = "".join(inside)
+    for wrap in rng.sample(['<div class="layout has-sidebar">{}</div>', "<article>{}</article>", "<main>{}</main>", '<div class="post">{}</div>',
+                            '<form id="aspnetForm">{}</form>'], rng.randint(1, 3)):
+        body = wrap.format(body)
+    top, end = (rng.sample(x, rng.randint(1, len(x))) for x in around.values())
+    return f"<html><body>{''.join(top)}{body}{''.join(end)}</body></html>", blocks
+
+
+def test_recall_and_precision_on_generated_pages():
+    import random
+
+    rng = random.Random(17)
+    found = wanted = right = 0
+    for _ in range(400):
+        html, blocks = page(rng)
+        got = H.main_text(html).split("\n")
+        assert got != [""]
+        found, wanted, right = found + len(got), wanted + len(blocks), right + len(set(got) & set(blocks))
+    assert right / wanted > 0.995 and right / found > 0.99, (right / wanted, right / found)
