@@ -23,7 +23,7 @@ def test_same_rows_as_the_anti_join(spark, tmp_path, buckets, slices):
         spark.createDataFrame([(None, -1), ("", -2)], "k string, n long"))
     assert H.unseen(rows, "k", path, buckets, slices).count() == 2002
     added = spark.createDataFrame([], "k string")
-    for run in range(3):
+    for run in range(2 if buckets == 4 else 3):
         new = spark.range(run * 40, run * 40 + 60).select(F.concat(F.lit("k"), F.col("id") * 5).alias("k")).unionByName(
             spark.createDataFrame([(None,), ("",)] if run == 1 else [], "k string"))
         H.add_keys(new.unionByName(new), "k", path, buckets, slices)
