@@ -419,8 +419,8 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     back = sent.groupBy("kind", "key").applyInArrow(shared_columns, PACKET)
     rows = stage(back.groupBy("key").applyInArrow(shared_rows(percent), ROWS), "join-rows")
     members = rows.filter("kind = 0").select("doc_id", "n", "set_key")
-    classes = stage(members.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "join-classes")
+    classes = numbered_sets(stage(members.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
+        F.min("doc_id").alias("rep")), "join-classes"))
     live = rows.filter("kind = 0 AND columns IS NOT NULL").select("doc_id", "n", "set_key", "columns").join(
         classes, "set_key").filter("doc_id = rep").select(F.col("node").alias("doc_id"), "n", "columns")
     # sets are bucketed by id, so that counting overlaps never moves them again; their files
@@ -436,6 +436,20 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return members, classes, labels
 
 
+def numbered_sets(classes: DataFrame) -> DataFrame:
+    """``classes`` with node: rep, as originals mostly have smaller ids than their near copies, which
+    makes them good centres; further sets of one rep get numbers below all of these."""
+    several = stage(classes.groupBy("rep").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last"))
+                    .filter("first < last").select(F.col("rep").alias("of"), "first"), "join-several-sets")
+    if several.isEmpty():
+        return classes.withColumn("node", F.col("rep"))
+    least = classes.agg(F.min("rep")).first()[0]
+    further = classes.join(several, F.col("rep") == F.col("of"), "left").withColumn(
+        "node", F.when(F.col("set_key") > F.col("first"), F.lit(least - 1) - F.monotonically_increasing_id())
+        .otherwise(F.col("rep")))
+    return stage(further.select("set_key", "rep", "node"), "join-classes")
+
+
 def linked_sets(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links a, b between sets, and the component of every set that has one."""
     prefix = stage(prefixes(sets, frequent_columns(rows), percent), "join-prefix")
