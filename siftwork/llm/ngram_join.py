@@ -18,7 +18,7 @@ Two documents link when 100 * overlap >= 75 * union.  Steps, all exact:
    part of the prefix that can meet is short, and passages that very many documents
    hold are rarely in it.
 5. Products.  For each prefix column the rows are multiplied with one row of the column
-   only, the smallest id; overlaps are counted over the full rows, and pairs whose sizes
+   only, the one with the smallest part that no other document has; overlaps are counted over the full rows, and pairs whose sizes
    or counts are below the bound are discarded.  Links merge rows to components.
    Columns whose rows are then all in one component are done.  The others get a
    second such turn with the largest id, and after it every pair of rows of different
@@ -46,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import delete_at_exit, fresh_path, staged as stage
@@ -303,16 +303,18 @@ def frequent_columns(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
     """Step 4: key, doc_id, n for the prefix columns that other documents have; ``rest``
-    is the number of such columns from this one on."""
+    is the number of such columns from this one on, ``own`` the part of the set, in
+    thousandths, that no other document has."""
     told = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, sizes_of = told.value
         for batch in batches:
-            keys, ids, sizes, rests = [], [], [], []
+            keys, ids, sizes, rests, owns = [], [], [], [], []
             for doc_id, n, payload in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "columns"))):
                 columns = np.frombuffer(payload, "<u8")
                 length = n + (-percent * n // 100) + 1 - (n - len(columns))
+                owns.append(1000 * (n - len(columns)) // n)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, columns), len(often) - 1)
                     late = np.where(often[at] == columns, sizes_of[at], 0)
@@ -325,10 +327,10 @@ def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
             if keys:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, np.int64), lengths)),
-                    pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate(rests))],
-                    ["key", "doc_id", "n", "rest"])
+                    pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate(rests)),
+                    pa.array(np.repeat(np.array(owns, np.int64), lengths))], ["key", "doc_id", "n", "rest", "own"])
 
-    return rows.select("doc_id", "n", "columns").mapInArrow(run, "key long, doc_id long, n long, rest long")
+    return rows.select("doc_id", "n", "columns").mapInArrow(run, "key long, doc_id long, n long, rest long, own long")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -363,9 +365,19 @@ def ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def star_pairs(placed: DataFrame, end) -> DataFrame:
-    """Rows of a column with the one of smallest or largest id, across components."""
-    centres = placed.groupBy("key").agg(end("doc_id").alias("centre"), F.min("component").alias("low"),
+def least_own() -> Column:
+    """The row of a column with the smallest part that no other has, which is the original rather
+    than one of its near copies, as each of these has changes of its own."""
+    return F.min(F.struct("own", "doc_id"))["doc_id"]
+
+
+def last() -> Column:
+    return F.max("doc_id")
+
+
+def star_pairs(placed: DataFrame, centre) -> DataFrame:
+    """Rows of a column with one of them, the centre, across components."""
+    centres = placed.groupBy("key").agg(centre().alias("centre"), F.min("component").alias("low"),
                                         F.max("component").alias("high")).filter("low < high")
     joined = placed.join(stage(centres.select("key", "centre"), "join-centres"), "key").filter("doc_id != centre")
     return joined.select(*ordered("doc_id", "centre")).distinct()
@@ -437,8 +449,7 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def numbered_sets(classes: DataFrame) -> DataFrame:
-    """``classes`` with node: rep, as originals mostly have smaller ids than their near copies, which
-    makes them good centres; further sets of one rep get numbers below all of these."""
+    """``classes`` with node: rep; further sets of one rep get numbers below all of these."""
     several = stage(classes.groupBy("rep").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last"))
                     .filter("first < last").select(F.col("rep").alias("of"), "first"), "join-several-sets")
     if several.isEmpty():
@@ -454,7 +465,7 @@ def linked_sets(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     """Links a, b between sets, and the component of every set that has one."""
     prefix = stage(prefixes(sets, frequent_columns(rows), percent), "join-prefix")
     links, labels, tested = None, None, None
-    for turn in (F.min, F.max, None):
+    for turn in (least_own, last, None):
         placed = unsettled(prefix, labels)
         if labels is not None and placed.isEmpty():
             break
