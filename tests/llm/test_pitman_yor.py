@@ -213,3 +213,33 @@ def test_frequent_words_do_not_depend_on_partitions(spark, monkeypatch):
     often = next(iter(often))[2][0]
     for words, total in (with_told, in_pieces):
         assert total == 200 and set(words.tolist()) == {int(P.START), int(often)}
+
+
+def test_every_context_has_a_restaurant(docs):
+    """No word is frequent here, and every dish has one customer, so one table: scores by hand."""
+    rows = [(i, f"s{i} x{i % 7} y{i} z{i % 5} e{i}") for i in range(60) if not held(i)]
+    rows += [(i, "x1 z3 e2 x2 y9 new y9 E4 s1") for i in range(60) if held(i)]
+    learned = [tokens(x) for i, x in rows if not held(i)]
+    pairs = [p for ts in learned for p in zip(["start", *ts], ts)]
+    assert len(set(pairs)) == len(pairs)
+    inside, root = Counter(u for u, _ in pairs), Counter(w for _, w in pairs)
+    kinds, customers, d = len(root), len(pairs), 0.75
+    n1, n2 = (sum(n == k for n in root.values()) for k in (1, 2))
+    root_d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
+    root_d = min(0.95, max(0.05, root_d))
+
+    def p(u, w):
+        of_root = ((root[w] - root_d if root[w] else 0) + (1 + root_d * kinds) / (kinds + 1)) / (1 + customers)
+        return ((1 - d if (u, w) in set(pairs) else 0) + (1 + d * inside[u]) * of_root) / (1 + inside[u])
+
+    want = {i: sum(math.log10(p(u, w)) for u, w in zip(["start", *tokens(x)], tokens(x))) for i, x in rows}
+    got = {r.doc_id: r.score for r in P.lm_scores(docs(rows), contexts=1, shards=3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_rare_and_frequent_contexts_score_alike(docs):
+    """Which contexts are told to all decides where a dish is kept, not what it is worth."""
+    df = docs(corpus(150, 5))
+    one, two = ({r.doc_id: r.score for r in P.lm_scores(df, contexts=c, shards=3).collect()} for c in (1, 60_000))
+    assert abs(sum(one.values()) / sum(two.values()) - 1) < 0.01
+    assert np.corrcoef([one[i] for i in one], [two[i] for i in one])[0, 1] > 0.999
