@@ -25,6 +25,20 @@ from ..functions.text import fence
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(htmlregion)
 
+#: Pages whose results a task holds before it passes them on, whatever the size of Spark's batches.
+STEP = 128
+
+
+def read_batches(batches: Iterator[pa.RecordBatch], keep: list[str], html: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns to keep, with title, text and code blocks of each page, ``STEP`` pages at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, STEP):
+            part = batch.slice(first, STEP)
+            read = [htmlregion.read_page(h.as_py()) for h in part.column(html)]
+            found = [pa.array([r[0] for r in read], pa.string()), pa.array([r[1] for r in read], pa.string()),
+                     pa.array([r[2] for r in read], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + found, names)
+
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``title`` (P-11) and ``content`` (P-12/13/14); drops the HTML."""
@@ -35,11 +49,7 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = [htmlregion.read_page(h.as_py()) for h in batch.column(html)]
-            found = [pa.array([r[0] for r in read], pa.string()), pa.array([r[1] for r in read], pa.string()),
-                     pa.array([r[2] for r in read], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + found, names)
+        return read_batches(batches, keep, html, names)
 
     staged = pages.select(*keep, html).mapInArrow(run, schema)
     staged = staged.withColumn("_clean", clean_text_formatting(F.col("_text")))
