@@ -91,9 +91,11 @@ def code_coherence_score(content: Column | str) -> Column:
     return F.least(F.lit(10.0), F.greatest(F.lit(0.0), score))
 
 
-def complexity_inputs(content: Column | str, prefix: str = "_x") -> dict[str, Column]:
-    """P-23 counters: non-blank lines, functions, classes, control keywords."""
-    content = F.coalesce(col_(content), F.lit(""))
+def complexity_inputs(content: Column | str, ext: Column | str, prefix: str = "_x") -> dict[str, Column]:
+    """P-23 counters: non-blank lines, functions, classes, control keywords; null, and no scan of
+    the text, where the extension has no complexity."""
+    scored = F.lower(F.coalesce(col_(ext), F.lit(""))).isin(COMPLEXITY_EXTENSIONS)
+    content = F.when(scored, F.coalesce(col_(content), F.lit("")))
     return {
         f"{prefix}lines": F.regexp_count(content, F.lit(rf"{_BOL}[^\n]*?{_NONWS}[^\n]*")),
         f"{prefix}funcs": F.regexp_count(content, F.lit(r"(?dU)function[\s\x1c-\x1f]+\w+|const[\s\x1c-\x1f]+\w+[\s\x1c-\x1f]*=.*=>")),
@@ -111,13 +113,13 @@ def complexity_from(ext: Column | str, prefix: str = "_x") -> Column:
             .otherwise(F.least(F.lit(10.0), cx)))
 
 
-def file_quality_inputs(content: Column | str, path: Column | str) -> dict[str, Column]:
+def file_quality_inputs(content: Column | str, path: Column | str, ext: Column | str) -> dict[str, Column]:
     """Staged per-row counters for P-22/23/24 (one regex scan each)."""
     content = col_(content)
     lower = F.lower(F.coalesce(content, F.lit("")))
     return {
         **web_quality_inputs(content, col_(path)),
-        **complexity_inputs(content),
+        **complexity_inputs(content, ext),
         "_freact": count_contains(lower, REACT_PATTERNS),
         "_fexport": F.coalesce(content, F.lit("")).contains("export default"),
         "_fprops": F.coalesce(content, F.lit("")).contains("PropTypes") | F.coalesce(content, F.lit("")).contains("interface"),

@@ -306,7 +306,7 @@ def scored_files(files: DataFrame, contents: DataFrame) -> DataFrame:
     raw = wanted_contents(contents, files).select(*FILE_KEY, F.col("content").alias("raw_content"))
     j = files.drop("content").join(raw, FILE_KEY, "inner").where(
         F.col("raw_content").isNotNull() & (F.col("raw_content") != ""))
-    staged = fence(j.withColumns(file_quality_inputs("raw_content", "path")))
+    staged = fence(j.withColumns(file_quality_inputs("raw_content", "path", "extension")))
     out = staged.withColumns(file_quality_from("raw_content", "extension", "is_source"))
     return out.drop(*[c for c in staged.columns if c.startswith("_")])
 
