@@ -40,8 +40,9 @@ and not held out; with no training text V and N are 0 and all words unknown.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,11 @@ from .words import mixed, word_hashes
 CONTEXTS = 1 << 15
 TOLD = 1 << 17
 BATCH, SHARD_BYTES = 1_000_000, 20_000_000
+#: More shards than these hold SHARD_BYTES / 2 of text at least: every two shards may write to each other.
+FEW_SHARDS = 64
 MOST_DOCS = 1 << 16
+#: Bytes of payload (before packing) that go to Spark at once.
+PIECE = 1 << 20
 #: A task that has counted more words than these tells them and begins anew.
 MOST_WORDS = 2_000_000
 SWEEPS = 4
@@ -102,8 +107,41 @@ def rows_of(rows) -> pa.RecordBatch:
                                       ["kind", "key", "batch", "payload"])
 
 
+def packed(payload: bytes) -> bytes:
+    """Spark holds and moves the packed bytes; only the Python that reads a payload unpacks it."""
+    return len(payload).to_bytes(8, "little") + pa.compress(payload, "zstd", asbytes=True)
+
+
+def unpacked(payload: pa.BinaryScalar) -> pa.Buffer:
+    buffer = payload.as_buffer()
+    size = int.from_bytes(buffer[:8], "little")
+    return pa.decompress(buffer[8:], size, "zstd") if size else pa.py_buffer(b"")
+
+
+def pieces(rows: Iterable) -> Iterator[pa.RecordBatch]:
+    """Packets with packed payloads, a few at a time."""
+    out, size = [], 0
+    for kind, key, batch, payload in rows:
+        out.append((kind, key, batch, packed(payload)))
+        size += len(payload)
+        if size >= PIECE:
+            yield rows_of(out)
+            out, size = [], 0
+    if out:
+        yield rows_of(out)
+
+
+def trimmed() -> None:
+    """Give the freed memory of this worker back: the next task may run in another one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table_of(rows) -> pa.Table:
-    return pa.Table.from_batches([rows_of(rows)]) if rows else pa.table(
+    trimmed()
+    return pa.Table.from_batches(pieces(rows)) if rows else pa.table(
         {"kind": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()),
          "payload": pa.array([], pa.binary())})
 
@@ -152,8 +190,11 @@ def batches_of(batches: Iterator[pa.RecordBatch], training_only: bool) -> Iterat
                 if out.size >= BATCH or len(out.ids) >= MOST_DOCS // 2:
                     yield base + made, out
                     made, out = made + 1, Batch()
+                    trimmed()
     if out.ids:
         yield base + made, out
+    del out
+    trimmed()
 
 
 def grouped(words: np.ndarray, others: np.ndarray, values: np.ndarray, other: str = "<u2") -> bytes:
@@ -272,20 +313,17 @@ def counted(docs: DataFrame, told, shards: int) -> DataFrame:
         for number, batch in batches_of(batches, False):
             distinct, learned, at, before_at = numbered(batch)
             place = position(frequent, distinct) + 1
-            out = after_frequent(number, distinct, place, at[learned], before_at[learned])
-            if out:
-                yield rows_of(out)
+            yield from pieces(after_frequent(number, distinct, place, at[learned], before_at[learned]))
             rare = (place[before_at] == 0) & (learned | (place[at] == 0))
             for out in after_rare(number, distinct, place, at[rare], before_at[rare], learned[rare]):
-                if out:
-                    yield rows_of(out)
+                yield from pieces(out)
 
     return docs.mapInArrow(run, PACKET)
 
 
 def entries(table, kind: int, value: str, other: str = "<u2") -> list[np.ndarray]:
     """All entries of the packets of a kind."""
-    found = [ungrouped(x.as_buffer(), value, other) for k, x in zip(table.column("kind").to_pylist(), table.column("payload"))
+    found = [ungrouped(unpacked(x), value, other) for k, x in zip(table.column("kind").to_pylist(), table.column("payload"))
              if k == kind]
     return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, t) for t in ("<u8", other, value)]
 
@@ -293,7 +331,7 @@ def entries(table, kind: int, value: str, other: str = "<u2") -> list[np.ndarray
 def merged(key, table):
     """All counts of a shard: words, and dishes sorted by word and context; the restaurants of its rare
     contexts, with dishes sorted by context and word."""
-    out = []
+    out, shard = [], shard_in(table)
     words, contexts, counts = entries(table, AFTER, "u1")
     if len(words):
         distinct, at = np.unique(words, return_inverse=True)
@@ -301,7 +339,7 @@ def merged(key, table):
         dishes, at = np.unique((at.astype(np.int64) << 16) | contexts, return_inverse=True)
         n = np.bincount(at, counts, len(dishes))
         times = np.bincount(dishes >> 16, minlength=len(distinct))
-        out.append((DISHES, key[0].as_py(), -1, b"".join((
+        out.append((DISHES, shard, -1, b"".join((
             np.array([len(distinct), len(dishes)], "<i8").tobytes(), distinct.astype("<u8").tobytes(),
             times.astype("<u4").tobytes(), (dishes & 0xFFFF).astype("<u2").tobytes(), n.astype("<u4").tobytes()))))
     one, places, n_one = entries(table, OFTEN, "u1")
@@ -315,7 +353,7 @@ def merged(key, table):
         dishes, n = dishes[n > 0], n[n > 0]
         times = np.bincount(dishes >> 32, minlength=len(contexts))
         contexts, times = contexts[times > 0], times[times > 0]
-        out.append((RESTAURANTS, key[0].as_py(), -1, b"".join((
+        out.append((RESTAURANTS, shard, -1, b"".join((
             np.array([len(contexts), len(names), len(dishes)], "<i8").tobytes(), contexts.astype("<u8").tobytes(),
             names.astype("<u8").tobytes(), times.astype("<u4").tobytes(), (dishes & 0xFFFFFFFF).astype("<u4").tobytes(),
             n.astype("<u4").tobytes()))))
@@ -568,11 +606,15 @@ def payload_of(table, kind: int):
     """The shard's model of this kind; an empty one if it has none."""
     found = [x for k, b, x in zip(table.column("kind").to_pylist(), table.column("batch").to_pylist(), table.column("payload"))
              if k == kind and b < 0]
-    return found[0].as_buffer() if found else EMPTY
+    return unpacked(found[0]) if found else EMPTY
+
+
+def shard_in(*tables) -> int:
+    return next(t.column("key")[0].as_py() for t in tables if t.num_rows)
 
 
 def mail_of(table, kind: int) -> list[tuple[int, pa.Buffer]]:
-    return sorted(((b, x.as_buffer()) for k, b, x in zip(
+    return sorted(((b, unpacked(x)) for k, b, x in zip(
         table.column("kind").to_pylist(), table.column("batch").to_pylist(), table.column("payload")) if k == kind),
         key=lambda x: x[0])
 
@@ -629,7 +671,7 @@ def rare_sums(told, sweeps: int, shards: int):
     """The rare contexts' shards after these sweeps: the tables of their words."""
     def run(key, model, mail):
         shared: Shared = told.value
-        shard = key[0].as_py()
+        shard = shard_in(model, mail)
         rare = Rare(payload_of(model, RESTAURANTS), shared, roots_told(mail)[0])
         for k in range(sweeps):
             rare.sweep(k, shard)
@@ -655,7 +697,7 @@ def word_sums(told, sweeps: int):
     """The words' shards after these sweeps: root customers for those who ask, and sums for all."""
     def run(key, model, mail):
         shared: Shared = told.value
-        shard, payload = key[0].as_py(), payload_of(model, DISHES)
+        shard, payload = shard_in(model, mail), payload_of(model, DISHES)
         n_words = int(np.frombuffer(payload, "<i8", 1)[0])
         words = arrays(payload, ("<u8", n_words), at=16)[0]
         asked, tables = ledgers(mail, n_words)
@@ -683,8 +725,9 @@ def word_sums(told, sweeps: int):
         for sender, at in asked:
             of, there = np.minimum(at >> 1, max(n_words - 1, 0)), at % 2 == 0
             then, told_root, n = (np.where(there, x[of], 0) if n_words else np.zeros(len(at)) for x in (first, root, counts))
-            out.append((ROOT, sender, (sweeps << 32) | shard, changes(then, told_root) if sweeps else
-                        np.concatenate((told_root, n)).astype("<u4").tobytes()))
+            letter = changes(then, told_root) if sweeps else np.concatenate((told_root, n)).astype("<u4").tobytes()
+            if letter or not sweeps:  # no letter: as at first
+                out.append((ROOT, sender, (sweeps << 32) | shard, letter))
         n = len(shared.frequent) + 1
         # after the vectors: root customers, rare words, and n1 and n2 of dishes and of rare words
         parts = [np.bincount(dishes.contexts, dishes.tables, n), np.bincount(dishes.place[often], root[often], n)]
@@ -699,22 +742,42 @@ def word_sums(told, sweeps: int):
     return run
 
 
-def exchanged(model: DataFrame, mail: DataFrame, shared: Shared, sweeps: int, shards: int) -> DataFrame:
+def shards_for(width: int, size: int) -> int:
+    """Shards for texts of this size: as many as the shuffle is wide, if they are not too small or too large."""
+    return max(min(width, max(FEW_SHARDS, 2 * size // SHARD_BYTES)), -(-size // SHARD_BYTES))
+
+
+def homes_of(spark, shards: int) -> list[int]:
+    """A number for every shard by which Spark deals each to a partition of its own. Any other numbers
+    that differ give the same results, with several shards in some partitions and none in others."""
+    found = spark.range(32 * shards).groupBy(F.pmod(F.hash("id"), F.lit(shards)).alias("at")).agg(F.min("id").alias("id"))
+    known = {r["at"]: r["id"] for r in found.collect()}
+    return [known.get(s, 32 * shards + s) for s in range(shards)]
+
+
+def at_home(packets: DataFrame, homes: list[int]) -> DataFrame:
+    """The packets with their shard's number; documents of a batch keep their key, which is below 0."""
+    numbers = F.lit(homes).cast("array<bigint>")
+    return packets.withColumn("home", F.when(F.col("key") < 0, F.col("key")).otherwise(
+        F.get(numbers, F.col("key").cast("int"))))
+
+
+def exchanged(model: DataFrame, mail: DataFrame, shared: Shared, sweeps: int, homes: list[int]) -> DataFrame:
     """Run the shards up to this many sweeps, add what all must know of the state, and return
     the mail with what single shards must."""
     told = model.sparkSession.sparkContext.broadcast(shared)
-    n = len(shared.frequent) + 1
+    n, shards = len(shared.frequent) + 1, len(homes)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2 if sweeps else 4) * n + 6, "<i8")
         for batch in batches:
             for sums in batch.column("payload"):
-                total += np.frombuffer(sums.as_buffer(), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["payload"])
+                total += np.frombuffer(unpacked(sums), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([packed(total.tobytes())], pa.binary())], ["payload"])
 
     def both(kind: int, letters: DataFrame, run) -> DataFrame:
-        return stage(model.filter(F.col("kind") == kind).groupBy("key").cogroup(letters.groupBy("key")).applyInArrow(
-            run, PACKET), "lm-mail")
+        return stage(model.filter(F.col("kind") == kind).groupBy("home").cogroup(
+            at_home(letters, homes).groupBy("home")).applyInArrow(run, PACKET), "lm-mail")
 
     sent = both(RESTAURANTS, mail.filter(F.col("kind") == ROOT), rare_sums(told, sweeps, shards))
     back = both(DISHES, mail.filter(F.col("kind") == LEDGER).unionByName(sent.filter(F.col("kind") == TABLES)),
@@ -723,7 +786,7 @@ def exchanged(model: DataFrame, mail: DataFrame, shared: Shared, sweeps: int, sh
     width = max(1, min(32, shuffle_width(model.sparkSession) // 8))
     vectors = sent.unionByName(back).filter(F.col("kind") == VECTOR).select("payload").mapInArrow(
         add, "payload binary").repartition(width).mapInArrow(add, "payload binary").collect()
-    flat = sum((np.frombuffer(r["payload"], "<i8") for r in vectors), np.zeros((2 if sweeps else 4) * n + 6, "<i8")).astype(float)
+    flat = sum((np.frombuffer(unpacked(pa.scalar(bytes(r["payload"]))), "<i8") for r in vectors), np.zeros((2 if sweeps else 4) * n + 6, "<i8")).astype(float)
     told.unpersist()
     totals = flat[-6:]
     shared.tables.append(flat[:n])
@@ -739,18 +802,18 @@ def exchanged(model: DataFrame, mail: DataFrame, shared: Shared, sweeps: int, sh
     return mail.unionByName(back.filter(F.col("kind") != VECTOR))
 
 
-def told_dishes(model: DataFrame, mail: DataFrame, told, most: int) -> tuple[np.ndarray, np.ndarray]:
+def told_dishes(model: DataFrame, mail: DataFrame, told, most: int, homes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Keys (word's place, context) and log10 probabilities of dishes with 1/most of the tokens."""
     def run(key, model, mail):
         payload = payload_of(model, DISHES)
         dishes = Dishes(payload, told.value, ledgers(mail, int(np.frombuffer(payload, "<i8", 1)[0]))[1])
         chosen = (dishes.counts * most >= told.value.tokens) & (dishes.place[dishes.word_at] > 0) & dishes.own
-        p = np.log10(dishes.predictive(key[0].as_py())[0][chosen])
+        p = np.log10(dishes.predictive(shard_in(model, mail))[0][chosen])
         keys = (dishes.place[dishes.word_at][chosen] << 16) | dishes.contexts[chosen]
         return pa.table({"key": pa.array(keys, pa.int64()), "p": pa.array(p, pa.float64())})
 
-    found = model.filter(F.col("kind") == DISHES).groupBy("key").cogroup(
-        mail.filter(F.col("kind") == LEDGER).groupBy("key")).applyInArrow(run, "key long, p double").toArrow()
+    found = model.filter(F.col("kind") == DISHES).groupBy("home").cogroup(
+        at_home(mail.filter(F.col("kind") == LEDGER), homes).groupBy("home")).applyInArrow(run, "key long, p double").toArrow()
     keys, p = found.column("key").to_numpy(), found.column("p").to_numpy()
     order = np.argsort(keys)
     return keys[order], p[order]
@@ -791,7 +854,7 @@ def sent_tokens(docs: DataFrame, told, dishes, shards: int) -> DataFrame:
                 of = before[part]
                 out += dealt(kind, number, shards, shard_at(of, shards), of, others[at[part]],
                              docs_at[part], other)
-            yield rows_of(out)
+            yield from pieces(out)
 
     return docs.mapInArrow(run, PACKET)
 
@@ -865,9 +928,9 @@ def after_rare(model, mail, shared: Shared, shard: int):
 
 def scored(told):
     """Shard side: the shard's models, then each batch's tokens looked up in them."""
-    def run(key, table):
+    def run(key, model, table):
         shared: Shared = told.value
-        shard = key[0].as_py()
+        shard = shard_in(model, table)
         if shard < 0:  # the documents of a batch
             return pa.table({"kind": table.column("kind"), "key": table.column("batch"),
                              "batch": table.column("batch"), "payload": table.column("payload")})
@@ -877,9 +940,9 @@ def scored(told):
         found: dict[int, list] = {}
         for side, types in ((after_frequent, {AFTER: "<u2"}), (after_rare, {OFTEN: "<u2", SELDOM: "<u8"})):
             here = [i for i, k in enumerate(kinds) if k in types]
-            look_up = side(table, table, shared, shard) if here else None
+            look_up = side(model, table, shared, shard) if here else None
             for i in here:
-                words, others, docs = ungrouped(payloads[i].as_buffer(), "<u2", types[kinds[i]])
+                words, others, docs = ungrouped(unpacked(payloads[i]), "<u2", types[kinds[i]])
                 found.setdefault(numbers[i], []).append((docs, *look_up(words, others)))
         out = []
         for number, parts in found.items():
@@ -896,7 +959,7 @@ def scored(told):
 def gathered(tokens: int):
     """Batch side: sums over the shards for each document."""
     def run(key, table):
-        kinds, payloads = table.column("kind").to_pylist(), [p.as_buffer() for p in table.column("payload")]
+        kinds, payloads = table.column("kind").to_pylist(), [unpacked(p) for p in table.column("payload")]
         info = next(p for k, p in zip(kinds, payloads) if k == 0)
         n = int(np.frombuffer(info, "<i8", 1)[0])
         known_id = np.frombuffer(info, "u1", n, 8).astype(bool)
@@ -918,25 +981,25 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
               contexts: int = CONTEXTS, told_share: int = TOLD, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    shards = shards or max(shuffle_width(spark), -(-text_bytes(docs, text) // SHARD_BYTES))
+    shards = shards or shards_for(shuffle_width(spark), text_bytes(docs, text))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
                        held_out(doc_id, modulus, remainder).alias("held_out"))
     frequent, tokens = frequent_words(rows, contexts)
     told = sc.broadcast(frequent)
     # bucketed by shard, so that the exchanges move the mail only
-    name, path = f"lm_model_{uuid.uuid4().hex}", fresh_path(spark, "lm-model")
-    (counted(rows, told, shards).groupBy("key").applyInArrow(merged, PACKET).write.bucketBy(shards, "key")
+    name, path, homes = f"lm_model_{uuid.uuid4().hex}", fresh_path(spark, "lm-model"), homes_of(spark, shards)
+    counts = at_home(counted(rows, told, shards), homes).repartition(shards, "home")
+    (at_home(counts.groupBy("home").applyInArrow(merged, PACKET), homes).write.bucketBy(shards, "home")
      .format("parquet").option("path", path).saveAsTable(name))
     delete_at_exit(spark, path)
     try:
         model, mail, shared = spark.table(name), spark.createDataFrame([], PACKET), Shared(frequent, tokens)
         for sweeps in range(SWEEPS + 1):
-            mail = exchanged(model, mail, shared, sweeps, shards)
+            mail = exchanged(model, mail, shared, sweeps, homes)
         state = sc.broadcast(shared)
-        dishes = sc.broadcast(told_dishes(model, mail, state, told_share))
+        dishes = sc.broadcast(told_dishes(model, mail, state, told_share, homes))
     finally:
         spark.sql(f"DROP TABLE {name}")
-    model = spark.read.schema(PACKET).parquet(path)
-    packets = sent_tokens(rows, state, dishes, shards).unionByName(model).unionByName(mail)
-    sums = packets.groupBy("key").applyInArrow(scored(state), PACKET)
+    packets = at_home(sent_tokens(rows, state, dishes, shards).unionByName(mail), homes)
+    sums = model.groupBy("home").cogroup(packets.groupBy("home")).applyInArrow(scored(state), PACKET)
     return sums.groupBy("key").applyInArrow(gathered(tokens), SCORES)

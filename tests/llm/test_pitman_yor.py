@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from siftwork.llm import pitman_yor as P
 
@@ -243,3 +244,29 @@ def test_rare_and_frequent_contexts_score_alike(docs):
     one, two = ({r.doc_id: r.score for r in P.lm_scores(df, contexts=c, shards=3).collect()} for c in (1, 60_000))
     assert abs(sum(one.values()) / sum(two.values()) - 1) < 0.01
     assert np.corrcoef([one[i] for i in one], [two[i] for i in one])[0, 1] > 0.999
+
+
+def test_every_shard_has_a_partition(spark):
+    """Shards were dealt by the hash of their number, several to some tasks and none to others."""
+    shards = 23
+    homes = P.homes_of(spark, shards)
+    assert len(set(homes)) == shards
+    rows = spark.createDataFrame([(0, k, 0, b"") for k in [*range(shards), -2, -3]], P.PACKET)
+    dealt = P.at_home(rows, homes).repartition(shards, "home").select("key", F.spark_partition_id().alias("at")).collect()
+    assert sorted(r.at for r in dealt if r.key >= 0) == list(range(shards))
+    assert sorted(r.key for r in dealt if r.key < 0) == [-3, -2]
+
+
+def test_packets_are_packed_and_sent_a_few_at_a_time():
+    payloads = [np.full(P.PIECE // 4, k, "<u2").tobytes() for k in range(8)] + [b""]
+    batches = list(P.pieces((P.AFTER, k, 5, x) for k, x in enumerate(payloads)))
+    assert len(batches) > 3 and max(b.nbytes for b in batches) < P.PIECE // 8
+    found = [(r, P.unpacked(x).to_pybytes()) for b in batches for r, x in zip(b.column("key").to_pylist(), b.column("payload"))]
+    assert found == list(enumerate(payloads))
+
+
+def test_shards_follow_the_size_of_the_texts():
+    """Every two shards may write to each other: a wide shuffle of a small table made hundreds of them."""
+    assert [P.shards_for(w, 50_000_000) for w in (8, 51, 211)] == [8, 51, 64]
+    assert P.shards_for(3000, 30_000_000_000) == 3000 and P.shards_for(8, 30_000_000_000) == 1500
+    assert P.shards_for(8, 0) == 8
