@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import delete_at_exit, fresh_path
+from ..session import delete_at_exit, delete_now, fresh_path
 from ..session import staged as stage
 from .common import held_out, shuffle_width, text_bytes, worker_cache
 from .words import mixed, word_hashes
@@ -268,10 +268,14 @@ def frequent_words(docs: DataFrame, contexts: int) -> tuple[np.ndarray, int]:
                 kept, counts, size = kept[:0], counts[:0], 0
         yield told_of(kept, counts, size)
 
-    told = stage(docs.mapInArrow(run, "word long, n long, tokens long"), "lm-told")
+    schema, path = "word long, n long, tokens long", fresh_path(docs.sparkSession, "lm-told")
+    docs.mapInArrow(run, schema).write.parquet(path)
+    delete_at_exit(docs.sparkSession, path)
+    told = docs.sparkSession.read.schema(schema).parquet(path)
     total = told.agg(F.sum("tokens")).first()[0] or 0
     chosen = told.groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") * contexts >= total) & (F.col("n") > 1))
     words = np.array([r["word"] for r in chosen.select("word").collect()] + [int(START)], np.int64)
+    delete_now(docs.sparkSession, path)
     return np.unique(words.astype(np.uint64)), total
 
 
